@@ -221,7 +221,7 @@ def reclassify(df: DataFrame) -> DataFrame:
     pre, post = L.REASONS["RECLASSIFIED"].split("{}")
     return (df.withColumn("reclassified", no_scope)
               .withColumn("bucket", F.when(no_scope, new_bucket).otherwise(F.col("bucket")))
-              .withColumn("reasons", F.when(no_scope, F.array(
+              .withColumn("reasons", F.when(F.col("reclassified"), F.array(
                   F.col("reason"), F.concat(F.lit(pre), F.col("bucket"), F.lit(post))))
                   .otherwise(F.array(F.col("reason")))))
 
