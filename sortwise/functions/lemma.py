@@ -33,24 +33,37 @@ class Lexicon:
         if len(self.static) + len(self.learned) > self.MAX_INLINE_FORMS:
             raise ValueError("lexicon too large to inline; use the join-based lemmatiser")
         self.infinitives = sorted(set(self.static.values()) | set(L.EXTRA_INFINITIVES))
+        self._cache: dict = {}
 
     @staticmethod
-    def _map(d: dict[str, str]) -> Column:
-        kv = []
-        for k, v in d.items():
-            kv += [F.lit(k), F.lit(v)]
-        return F.create_map(*kv)
+    def _sql_str(x: str) -> str:
+        return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    def lemmas(self, norm: Column) -> Column:
+        """array of lemmas, one per token of ``norm``."""
+        return F.transform(tokens(norm), self.lemma)
 
     def lemma(self, x: Column) -> Column:
-        out = F.when(x.isin(list(self.static)),
-                     F.try_element_at(self._map(self.static), x))
+        """static map, else learned map, else the token (maps are built as one
+        SQL literal each: a single call into the JVM)."""
+        static = list(self.static)
+        out = F.when(x.isin(static), F.try_element_at(self._static_map(), x))
         if self.learned:
             out = out.when(x.isin(list(self.learned)),
-                           F.try_element_at(self._map(self.learned), x))
+                           F.try_element_at(self._learned_map(), x))
         return out.otherwise(x)
 
-    def lemmas(self, norm: Column) -> Column:
-        return F.transform(tokens(norm), self.lemma)
+    def _static_map(self) -> Column:
+        if "smap" not in self._cache:
+            q = self._sql_str
+            self._cache["smap"] = "map(" + ", ".join(f"{q(k)}, {q(v)}" for k, v in self.static.items()) + ")"
+        return F.expr(self._cache["smap"])
+
+    def _learned_map(self) -> Column:
+        if "lmap" not in self._cache:
+            q = self._sql_str
+            self._cache["lmap"] = "map(" + ", ".join(f"{q(k)}, {q(v)}" for k, v in self.learned.items()) + ")"
+        return F.expr(self._cache["lmap"])
 
     def lemma_text(self, norm: Column) -> Column:
         return F.array_join(self.lemmas(norm), " ")

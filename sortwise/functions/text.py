@@ -102,9 +102,29 @@ def first_found(c: Column, pairs) -> Column:
     return expr
 
 
+def sql_str(x: str) -> str:
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def literal_array(literals) -> Column:
+    """array<string> literal built as one SQL expression (one JVM call)."""
+    return F.expr("array(" + ", ".join(sql_str(x) for x in literals) + ")")
+
+
 def found_in_order(c: Column, literals) -> Column:
     """array of the literals contained in ``c``, in list order."""
-    return F.filter(F.array(*[F.lit(x) for x in literals]), lambda k: F.instr(c, k) > 0)
+    return F.filter(literal_array(literals), lambda k: F.instr(c, k) > 0)
+
+
+def explode_values(df, arr: Column, name: str):
+    """Rows of the non-null elements of ``arr``.
+
+    ``explode`` makes the optimiser infer ``size(arr) > 0`` and push that
+    predicate down through every projection below it, substituting the whole
+    chain of derived columns into it (the plan grows by orders of magnitude).
+    ``explode_outer`` infers no filter; the null filter on the generated
+    column cannot move below the generator."""
+    return df.select(F.explode_outer(arr).alias(name)).where(F.col(name).isNotNull())
 
 
 # ---------------------------------------------------------------------------

@@ -142,6 +142,10 @@ def rules(f: Features) -> list[tuple[str, Column]]:
 
 def reason(f: Features, rule_id: Column) -> Column:
     """Reason text of the winning rule; templates are filled from the row."""
+    return _memo(("reason", id(f.lex)), lambda: _reason(f, rule_id))
+
+
+def _reason(f: Features, rule_id: Column) -> Column:
     n = f.n
     R = L.REASONS
 
@@ -167,7 +171,22 @@ def reason(f: Features, rule_id: Column) -> Column:
     return expr
 
 
+_MEMO: dict = {}
+
+
+def _memo(key, build):
+    """Column trees are independent of any DataFrame; building one costs
+    thousands of JVM calls, so each is built once per process."""
+    if key not in _MEMO:
+        _MEMO[key] = build()
+    return _MEMO[key]
+
+
 def first_rule(f: Features) -> Column:
+    return _memo(("first_rule", id(f.lex)), lambda: _first_rule(f))
+
+
+def _first_rule(f: Features) -> Column:
     expr = None
     for rid, cond in rules(f):
         expr = F.when(cond, F.lit(rid)) if expr is None else expr.when(cond, F.lit(rid))
@@ -175,18 +194,16 @@ def first_rule(f: Features) -> Column:
 
 
 def bucket_of(rule_id: Column) -> Column:
-    kv = []
-    for rid in L.RULE_IDS:
-        kv += [F.lit(rid), F.lit(L.RULE_BUCKETS[rid])]
-    return F.try_element_at(F.create_map(*kv), rule_id)
+    kv = ", ".join(f"'{rid}', '{L.RULE_BUCKETS[rid]}'" for rid in L.RULE_IDS)
+    return F.try_element_at(F.expr(f"map({kv})"), rule_id)
 
 
 def prepare(df: DataFrame, lex: Lexicon, text_col: str = "message") -> DataFrame:
     """message (stripped), norm and lemmas."""
     return (df.withColumn("message", T.strip_ws(F.coalesce(F.col(text_col).cast("string"),
                                                            F.lit(""))))
-              .withColumn("norm", T.normalize(F.col("message")))
-              .withColumn("lemmas", lex.lemmas(F.col("norm"))))
+              .withColumns({"norm": _memo("norm", lambda: T.normalize(F.col("message")))})
+              .withColumn("lemmas", _memo(("lemmas", id(lex)), lambda: lex.lemmas(F.col("norm")))))
 
 
 def classify(df: DataFrame, lex: Lexicon | None = None, text_col: str = "message",
@@ -208,7 +225,8 @@ def evidence(df: DataFrame, lex: Lexicon | None = None, text_col: str = "message
     if not prepared:
         df = prepare(df, lex, text_col)
     f = Features(lex)
-    hits = F.array(*[F.when(cond, F.lit(rid)) for rid, cond in rules(f)])
+    hits = _memo(("evidence", id(lex)),
+                 lambda: F.array(*[F.when(cond, F.lit(rid)) for rid, cond in rules(f)]))
     return df.withColumn("matched_rules", F.filter(hits, lambda x: x.isNotNull()))
 
 

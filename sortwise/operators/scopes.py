@@ -58,10 +58,20 @@ def detect_scopes(norm: Column) -> Column:
             .otherwise(tail))
 
 
+_MEMO: dict = {}
+
+
+def norm_scopes() -> Column:
+    """detect_scopes(col('norm')), built once per process."""
+    if "scopes" not in _MEMO:
+        _MEMO["scopes"] = detect_scopes(F.col("norm"))
+    return _MEMO["scopes"]
+
+
 def with_scopes(df: DataFrame, bucket_col: str = "bucket") -> DataFrame:
     """Scopes only for rows judged 'system' (others get an empty array)."""
     return df.withColumn("scope", F.when(F.col(bucket_col) == "system",
-                                         detect_scopes(F.col("norm"))).otherwise(empty()))
+                                         norm_scopes()).otherwise(empty()))
 
 
 def scope_pattern_table(spark) -> DataFrame:
@@ -83,5 +93,5 @@ def first_pattern_join(df: DataFrame, patterns: DataFrame, key: str = "msg_id")
 
 def scope_demand(df: DataFrame) -> DataFrame:
     """Number of messages needing each scope."""
-    return (df.select(F.explode("scope").alias("scope"))
+    return (T.explode_values(df, F.col("scope"), "scope")
               .groupBy("scope").agg(F.count(F.lit(1)).alias("n_messages")))

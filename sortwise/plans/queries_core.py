@@ -88,7 +88,7 @@ def shadowing(ev):
     """Per rule, how many messages satisfy it and how many it wins
     (the first satisfied rule wins).  Partial aggregation before the
     shuffle: the shuffle carries at most 43 rows per partition."""
-    m = (ev.select(F.explode("matched_rules").alias("rule_id"))
+    m = (T.explode_values(ev, F.col("matched_rules"), "rule_id")
            .groupBy("rule_id").agg(F.count(F.lit(1)).alias("matches")))
     w = (ev.select(F.col("matched_rules")[0].alias("rule_id"))
            .groupBy("rule_id").agg(F.count(F.lit(1)).alias("wins")))
@@ -117,7 +117,7 @@ _SCOPE_ALL_SQL = (f"WITH {S.features_cte(S.msg_stream_sql())} SELECT CAST(msg_id
 def scopes_stream(spark, sf):
     df = C.prepare(TB.msg_stream(spark, sf), C.default_lexicon())
     return df.select(F.col("msg_id").cast("bigint").alias("msg_id"),
-                     F.array_join(D.detect_scopes(F.col("norm")), ",").alias("scope"))
+                     F.array_join(D.norm_scopes(), ",").alias("scope"))
 
 
 @register("scopes_conversations", "D1",
@@ -126,7 +126,7 @@ def scopes_stream(spark, sf):
 def scopes_conversations(spark, sf):
     df = C.prepare(TB.msg_conv(spark, sf), C.default_lexicon())
     return df.select(F.col("msg_id").cast("bigint").alias("msg_id"),
-                     F.array_join(D.detect_scopes(F.col("norm")), ",").alias("scope"))
+                     F.array_join(D.norm_scopes(), ",").alias("scope"))
 
 
 @register("scope_demand", "D2", f"""WITH {S.triage_ctes(S.msg_stream_sql())},
@@ -142,7 +142,7 @@ e AS (SELECT UNNEST({S.scopes_sql()}) AS scope FROM feat)
 SELECT scope, CAST(count(*) AS BIGINT) AS n_messages FROM e GROUP BY scope""")
 def scope_demand_all(spark, sf):
     df = C.prepare(TB.msg_stream(spark, sf), C.default_lexicon())
-    d = D.scope_demand(df.withColumn("scope", D.detect_scopes(F.col("norm"))))
+    d = D.scope_demand(df.withColumn("scope", D.norm_scopes()))
     return d.select("scope", F.col("n_messages").cast("bigint").alias("n_messages"))
 
 

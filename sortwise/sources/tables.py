@@ -22,6 +22,19 @@ def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy per-row work at least one partition per core.
+
+    A small input (one parquet row group) scans as a single partition, which
+    would run the whole cascade on one core.  Only then is the relation
+    redistributed round-robin; a large input already has at least as many
+    splits as cores and is left untouched (no shuffle)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
 def phrase_key(event_id, user_id):
     """(event_id^2 + user_id) mod 37, computed without 64-bit overflow."""
     e = F.pmod(event_id, F.lit(N_PHRASES))
@@ -40,6 +53,7 @@ def msg_stream(spark: SparkSession, sf_dir: str, blank_signups: bool = False) ->
              .select(F.col("event_id").alias("msg_id"), F.col("user_id").alias("sender"), "ts",
                      "event_type", F.col("value").alias("latency_ms"), "message",
                      F.col("final_bucket").alias("expected"), "rule"))
+    out = spread(out)
     if blank_signups:
         out = out.withColumn("message", F.when(F.col("event_type") == "signup", F.lit(""))
                              .otherwise(F.col("message")))
@@ -49,7 +63,7 @@ def msg_stream(spark: SparkSession, sf_dir: str, blank_signups: bool = False) ->
 def msg_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns: conv_id, turn, msg_id, message."""
     c = read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
-    return (c.where(F.col("role") == "user")
+    return spread(c.where(F.col("role") == "user")
              .select("conv_id", "turn",
                      (F.col("conv_id") * F.lit(1_000_000) + F.col("turn")).alias("msg_id"),
                      F.col("text").alias("message")))
@@ -57,5 +71,5 @@ def msg_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def msg_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
-    return d.select(F.col("doc_id").alias("msg_id"), F.col("text").alias("message"),
-                    "lang", "source")
+    return spread(d.select(F.col("doc_id").alias("msg_id"), F.col("text").alias("message"),
+                           "lang", "source"))
