@@ -43,3 +43,4 @@ def _join(col, sep=","):
 # imports kept below the registry so query modules can use ``register``
 from . import queries_core  # noqa: E402,F401
 from . import queries_more  # noqa: E402,F401
+from . import queries_stream  # noqa: E402,F401

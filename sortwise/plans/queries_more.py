@@ -406,7 +406,7 @@ def lexicon_coverage_documents(spark, sf):
 # ---------------------------------------------------------------------------
 _CTX_SQL = """CASE WHEN event_type = 'click' THEN 'en' WHEN event_type = 'purchase' THEN '' END AS ctx_lang,
   CASE WHEN event_type = 'purchase' THEN 'gpt-4o-mini' END AS ctx_model,
-  CASE WHEN event_type IN ('click', 'error') THEN round(latency_ms / 20, 2) END AS ctx_temperature"""
+  CASE WHEN event_type IN ('click', 'error') THEN latency_ms / 20 END AS ctx_temperature"""
 
 
 def _payload_src():

@@ -64,7 +64,7 @@ def stream_payloads(ms: DataFrame) -> DataFrame:
     ctx = F.struct(
         F.when(et == "click", F.lit("en")).when(et == "purchase", F.lit("")).alias("lang"),
         F.when(et == "purchase", F.lit("gpt-4o-mini")).alias("model"),
-        F.when(et.isin("click", "error"), F.round(F.col("latency_ms") / 20, 2)).alias("temperature"))
+        F.when(et.isin("click", "error"), F.col("latency_ms") / 20).alias("temperature"))
 
     def m(role, content):
         return F.struct(F.lit(role).cast("string").alias("role"), F.lit(content).alias("content"))
