@@ -81,11 +81,18 @@ def has(c: Column, literal: str) -> Column:
     return F.instr(c, literal) > 0
 
 
+SHORT_LIST = 3
+
+
 def has_any(c: Column, literals) -> Column:
     """Does ``c`` contain any literal as a substring (no word limits)."""
     literals = list(literals)
-    if len(literals) == 1:
-        return has(c, literals[0])
+    if len(literals) <= SHORT_LIST:
+        # a few byte-level searches beat one regex (no UTF-16 decode of the text)
+        out = has(c, literals[0])
+        for x in literals[1:]:
+            out = out | has(c, x)
+        return out
     return c.rlike(trie_regex(literals))
 
 
@@ -182,7 +189,8 @@ def sentence_marks(orig: Column) -> Column:
 # ---------------------------------------------------------------------------
 def is_question(orig: Column) -> Column:
     low = F.lower(orig)
-    first = F.element_at(F.concat(tokens(low), F.array(F.lit(""))), 1)
+    # first whitespace-separated word (anchored: reads only the text's head)
+    first = F.regexp_extract(low, f"^[{WS_CLASS}]*([^{WS_CLASS}]+)", 1)
     asks = (F.instr(orig, "?") > 0) | first.isin(L.QUESTION_FIRST_WORDS) \
         | has_any(low, L.QUESTION_PHRASES)
     return ~has_any(low, L.QUESTION_PERSONAL) & ~has_any(low, L.QUESTION_DETAILED) & asks

@@ -109,7 +109,8 @@ def rules(f: Features) -> list[tuple[str, Column]]:
          & ~any_(n, L.DESTINATION_NAMES) & ~any_(n, L.DESTINATION_SPECIFIERS)),
         ("R18", any_(n, [p for p, _ in L.OTHER_DESTINATIONS])
          & ~any_(n, L.OTHER_DESTINATION_SPECIFIERS)),
-        ("R19", any_(n, L.DOUBLE_INTENT_CONNECTORS) & (F.size(f.double_intent_verbs()) >= 2)
+        ("R19", any_(n, L.DOUBLE_INTENT_CONNECTORS) & any_(n, L.DOUBLE_INTENT_VERBS)
+         & (F.size(f.double_intent_verbs()) >= 2)
          & ~any_(n, L.DOUBLE_INTENT_CAPACITY)),
         ("R20", any_(n, [p for p, _ in L.POLYSEMOUS])),
         ("R21", f.long_conv),
@@ -133,7 +134,7 @@ def rules(f: Features) -> list[tuple[str, Column]]:
         ("R38", any_(F.concat(F.lit(" "), n, F.lit(" ")), L.PERSONAL_PRONOUNS)),
         ("R39", (len_o < 10) & any_(n, L.FALLBACK_GREETINGS)),
         ("R40", len_o < 10),
-        ("R41", F.exists(T.tokens(n), lambda t: t.isin(L.FALLBACK_INTERROGATIVES))
+        ("R41", F.exists(F.col("tokens"), lambda t: t.isin(L.FALLBACK_INTERROGATIVES))
          & ~has(o, "?") & ~any_(n, L.FALLBACK_TECHNICAL)),
         ("R42", len_o < 20),
         ("R43", F.lit(True)),
@@ -203,7 +204,9 @@ def prepare(df: DataFrame, lex: Lexicon, text_col: str = "message") -> DataFrame
     return (df.withColumn("message", T.strip_ws(F.coalesce(F.col(text_col).cast("string"),
                                                            F.lit(""))))
               .withColumns({"norm": _memo("norm", lambda: T.normalize(F.col("message")))})
-              .withColumn("lemmas", _memo(("lemmas", id(lex)), lambda: lex.lemmas(F.col("norm")))))
+              .withColumn("tokens", _memo("tokens", lambda: T.tokens(F.col("norm"))))
+              .withColumn("lemmas", _memo(("lemmas", id(lex)),
+                                          lambda: F.transform(F.col("tokens"), lex.lemma))))
 
 
 def classify(df: DataFrame, lex: Lexicon | None = None, text_col: str = "message",
