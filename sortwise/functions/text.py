@@ -118,9 +118,25 @@ def literal_array(literals) -> Column:
     return F.expr("array(" + ", ".join(sql_str(x) for x in literals) + ")")
 
 
+CHUNK = 16
+
+
 def found_in_order(c: Column, literals) -> Column:
-    """array of the literals contained in ``c``, in list order."""
-    return F.filter(literal_array(literals), lambda k: F.instr(c, k) > 0)
+    """array of the literals contained in ``c``, in list order.
+
+    Long lists are cut into contiguous chunks; a chunk's literals are searched
+    one by one only when one trie regex says the chunk has a hit, so a long
+    text pays for a few regex scans instead of one scan per literal."""
+    literals = list(literals)
+    if len(literals) <= 2 * CHUNK:
+        return F.filter(literal_array(literals), lambda k: F.instr(c, k) > 0)
+    parts = []
+    for i in range(0, len(literals), CHUNK):
+        chunk = literals[i:i + CHUNK]
+        hits = F.filter(literal_array(chunk), lambda k: F.instr(c, k) > 0)
+        parts.append(F.when(c.rlike(trie_regex(chunk)), hits)
+                     .otherwise(F.array().cast("array<string>")))
+    return F.concat(*parts)
 
 
 def explode_values(df, arr: Column, name: str):
