@@ -85,17 +85,17 @@ FROM mc LEFT JOIN wc USING (rule_id)"""
 
 
 def shadowing(ev):
-    """Per rule, how many messages satisfy it and how many it wins
-    (the first satisfied rule wins).  Partial aggregation before the
-    shuffle: the shuffle carries at most 43 rows per partition."""
-    m = (T.explode_values(ev, F.col("matched_rules"), "rule_id")
-           .groupBy("rule_id").agg(F.count(F.lit(1)).alias("matches")))
-    w = (ev.select(F.col("matched_rules")[0].alias("rule_id"))
-           .groupBy("rule_id").agg(F.count(F.lit(1)).alias("wins")))
-    return (m.join(w, "rule_id", "left")
-             .select("rule_id", F.col("matches").cast("bigint").alias("matches"),
-                     F.coalesce("wins", F.lit(0)).cast("bigint").alias("wins"),
-                     (F.col("matches") - F.coalesce("wins", F.lit(0))).cast("bigint").alias("shadowed")))
+    """Per rule, how many messages satisfy it and how many it wins (the
+    first satisfied rule wins).  One pass: positions of the matched rules,
+    position 0 being the winner; partial aggregation before the shuffle, which
+    then carries at most 43 rows per partition."""
+    e = (ev.select(F.posexplode_outer("matched_rules").alias("pos", "rule_id"))
+           .where(F.col("rule_id").isNotNull()))
+    c = e.groupBy("rule_id").agg(F.count(F.lit(1)).alias("matches"),
+                                 F.sum((F.col("pos") == 0).cast("int")).alias("wins"))
+    return c.select("rule_id", F.col("matches").cast("bigint").alias("matches"),
+                    F.col("wins").cast("bigint").alias("wins"),
+                    (F.col("matches") - F.col("wins")).cast("bigint").alias("shadowed"))
 
 
 @register("rule_shadowing", "C3", _shadow_sql(S.msg_stream_sql()))
