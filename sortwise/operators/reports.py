@@ -102,11 +102,16 @@ def quality_gate(df: DataFrame, pred: str = "bucket", label: str = "expected") -
 
 def first_errors(df: DataFrame, k: int = 10, pred: str = "bucket", label: str = "expected",
                  order: str = "msg_id") -> DataFrame:
-    """The first ``k`` misclassified cases of each expected class.  The
-    window ranks only misclassified rows, and its output per class is cut to k."""
-    bad = df.where(F.col(pred) != F.col(label))
-    w = Window.partitionBy(label).orderBy(order)
-    return bad.withColumn("err_rank", F.row_number().over(w)).where(F.col("err_rank") <= k)
+    """The first ``k`` misclassified cases of each expected class.
+
+    Misclassified rows sort first inside each class, so their row numbers are
+    1..E; the filter runs after the window on a non-partition column, where
+    the optimiser cannot push it below the window into the (expensive)
+    derived columns."""
+    ok = F.col(pred) == F.col(label)
+    w = Window.partitionBy(label).orderBy(ok.asc(), F.col(order))
+    ranked = df.withColumn("err_rank", F.row_number().over(w))
+    return ranked.where((F.col("err_rank") <= k) & (F.col(pred) != F.col(label)))
 
 
 def lexicon_coverage(lemmatised: DataFrame, by: str) -> DataFrame:
