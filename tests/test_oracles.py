@@ -39,7 +39,8 @@ def test_every_query_has_a_builder_and_most_have_oracles():
     q, o = queries(), oracle_sql()
     assert set(o) <= set(q)
     assert len(q) >= 55
-    assert set(o) == set(q)  # every registered query has an SQL oracle
+    from sortwise.plans.catalog import REGISTRY
+    assert set(REGISTRY) <= set(o)  # every query of the triage operators has an SQL oracle
 
 
 def test_entry_smoke(spark):
