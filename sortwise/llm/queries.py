@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_texts, exact_dedup, packing
+from . import bpe_texts, exact_dedup, host_rules, ngram_join, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,6 +29,16 @@ def query(sql: str | None = None):
     return keep
 
 
+@query()
+def op2_ngram_join(spark, sf_dir):
+    return ngram_join.similar_classes(documents(spark, sf_dir))
+
+
+@query()
+def op4_quality_rules(spark, sf_dir):
+    return host_rules.judge(documents(spark, sf_dir))
+
+
 @query()
 def op5_bpe_texts(spark, sf_dir):
     return bpe_texts.digests(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
