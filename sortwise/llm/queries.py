@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_texts, exact_dedup, host_rules, ngram_join, packing
+from . import bpe_texts, exact_dedup, host_rules, ngram_join, packing, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,3 +58,8 @@ SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(keep_id AS BIGINT) AS keep_id,
        CAST(group_size AS BIGINT) AS group_size, place = 1 AS kept, text_sha256 FROM r""")
 def op7_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
+
+
+@query()
+def op9_secret_scan(spark, sf_dir):
+    return secrets.digests(secrets.scan(documents(spark, sf_dir)))

@@ -90,17 +90,16 @@ def slices(column, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarr
         lo = hi
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end (bytes) and text index of every word, in order."""
-    if not len(data):
+def runs(ink: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end (bytes) and text index of every maximal run of set flags inside one text."""
+    if not len(ink):
         z = np.zeros(0, dtype=np.int64)
         return z, z, z
-    ink = ~WHITE[data]
     before = np.empty_like(ink)
     before[0] = False
     before[1:] = ink[:-1]
     first = offsets[:-1]
-    before[first[first < len(data)]] = False
+    before[first[first < len(ink)]] = False
     after = np.empty_like(ink)
     after[-1] = False
     after[:-1] = ink[1:]
@@ -111,6 +110,11 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end (bytes) and text index of every word, in order."""
+    return runs(~WHITE[data], offsets)
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and text index of every word."""
     starts, ends, doc = word_spans(data, offsets)
