@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe_texts, exact_dedup, host_rules, ngram_join, packing, secrets
+from . import (bpe_texts, exact_dedup, host_rules, lm_scoring, ngram_join, packing, quality, secrets,
+               toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,11 +31,28 @@ def query(sql: str | None = None):
     return keep
 
 
+@query()
+def op1_lm_scoring(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 AND toxic = 0").select("doc_id").distinct()
+    return lm_scoring.scores(docs, docs.select("doc_id", "text").join(good, "doc_id", "left_semi"))
+
+
 @query()
 def op2_ngram_join(spark, sf_dir):
     return ngram_join.similar_classes(documents(spark, sf_dir))
 
 
+@query()
+def op3_toxicity(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    fold = F.crc32(F.col("doc_id").cast("string")) % 3
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold != 1)
+    scored = toxicity.toxicity(docs, toxicity.fit(docs, labels))
+    return scored.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "score",
+                         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 @query()
 def op4_quality_rules(spark, sf_dir):
     return host_rules.judge(documents(spark, sf_dir))
@@ -63,3 +82,8 @@ def op7_exact_dedup(spark, sf_dir):
 @query()
 def op9_secret_scan(spark, sf_dir):
     return secrets.digests(secrets.scan(documents(spark, sf_dir)))
+
+
+@query()
+def op10_quality_classifier(spark, sf_dir):
+    return quality.classify(documents(spark, sf_dir))
