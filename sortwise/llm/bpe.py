@@ -302,6 +302,9 @@ class Encoder:
             text = _lower(text)
         return text
 
+    def special_in(self, text: str) -> bool:
+        return self.marks is not None and "<|" in text and self.marks.search(text) is not None
+
     def segments(self, text: str) -> list[str | int]:
         """Normalised stretches of text and the ids of special tokens between them."""
         if self.marks is None or "<|" not in text:
@@ -373,6 +376,7 @@ class Encoder:
         offsets = np.zeros(len(parts) + 1, dtype=np.int64)
         np.cumsum([len(p) for p in parts], out=offsets[1:])
         begin, end = self.pieces(points, offsets)
+        self.last_spans = begin, end  # code points in the joined texts, if none has a special token
         if len(self.keys) > TABLE:
             self._reset()
         uniq, first, inverse = np.unique(span_hashes(points, begin, end), return_index=True, return_inverse=True)

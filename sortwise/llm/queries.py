@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (bpe_texts, exact_dedup, host_rules, lm_scoring, ngram_join, packing, quality, secrets,
-               toxicity)
+               token_counts, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -79,6 +79,13 @@ def op7_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
 
+@query()
+def op8_token_counts(spark, sf_dir):
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    trees = token_counts.build_trees(documents(spark, sf_dir), vocabulary, edits_of=token_counts.cleaning_edits)
+    return token_counts.edit_counts(trees, vocabulary)
+
+
 @query()
 def op9_secret_scan(spark, sf_dir):
     return secrets.digests(secrets.scan(documents(spark, sf_dir)))
