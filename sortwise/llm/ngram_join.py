@@ -372,3 +372,15 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = classed.where("n_shingles > 0").join(named, "component").select("doc_id", "n_shingles", "component_id")
     return full.unionByName(classed.where("n_shingles = 0").select(
         "doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose component has a smaller id; columns as they were.
+
+    Rows are told apart by id: rows that repeat an id stay or go together, rows without
+    an id stay.  Only ids are joined to the texts, as an anti-join."""
+    classes = similar_classes(docs, id_col, text_col)
+    gone = materialise(classes.groupBy("doc_id").agg(F.min("component_id").alias("least"))
+                       .where("least < doc_id").select("doc_id"), "gone")
+    key = F.col(f"`{id_col}`").cast("long")
+    return docs.join(gone.select(F.col("doc_id").alias("_gone")), key == F.col("_gone"), "left_anti")
