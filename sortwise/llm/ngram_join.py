@@ -14,8 +14,8 @@ without words has the empty set and links with nothing.  Two texts link when
    suffix behind it in four classes.  A task emits a node once.
 3. Rows are shuffled by shingle.  Very frequent shingles are salted into blocks of
    about ``BLOCK`` rows.  Sorted blocks are streamed: shingles of one node go; every
-   other row is paired with its block's leader and its predecessor, if the filters
-   allow, and with nothing else.  So a block of k near copies gives under 2k pairs.
+   other row is paired with its block's leader and its predecessor, if what the
+   filters say of any shared shingle allows it, and with nothing else.  So a block of k near copies gives under 2k pairs.
 4. Pairs are verified on whole sets, once each; links give components.
 5. Shingles that still connect different components are joined on the shingle,
    all pairs of rows from different components that pass the filters; those not yet
@@ -198,6 +198,17 @@ def allowed(n1, p1, s1, n2, p2, s2):
     return good & (apart <= n1 + n2 - 2 * need)
 
 
+def possible(n1, p1, s1, n2, p2, s2):
+    """What two linked sets meet at any shingle that they share, first or not: length
+    filter, and at most the shorter prefix, the shingle and the common part of each
+    suffix class can be shared."""
+    need = (4 * (n1 + n2) + 8) // 9
+    most = np.minimum(p1, p2) + 1
+    for c in range(4):
+        most = most + np.minimum((s1 >> 16 * c) & 0xFFFF, (s2 >> 16 * c) & 0xFFFF)
+    return (5 * np.minimum(n1, n2) >= 4 * np.maximum(n1, n2)) & (most >= need)
+
+
 def _allowed_sql(a: str, b: str):
     """The same filters as a join condition."""
     n1, n2 = F.col(f"{a}.n"), F.col(f"{b}.n")
@@ -262,7 +273,7 @@ def _blocks(batches):
 
         def partner(others, cols=cols):
             node, n, pos, suffix = np.array(others, dtype=np.int64).T
-            good = (node != cols["node"]) & allowed(cols["n"], cols["pos"], cols["suffix"], n, pos, suffix)
+            good = (node != cols["node"]) & possible(cols["n"], cols["pos"], cols["suffix"], n, pos, suffix)
             return pa.array(node, mask=~good)
 
         yield pa.RecordBatch.from_arrays(
