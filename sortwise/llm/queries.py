@@ -35,7 +35,8 @@ def query(sql: str | None = None):
 def op1_lm_scoring(spark, sf_dir):
     docs = documents(spark, sf_dir)
     good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 AND toxic = 0").select("doc_id").distinct()
-    return lm_scoring.scores(docs, docs.select("doc_id", "text").join(good, "doc_id", "left_semi"))
+    # labels grow with the documents: the join shuffles both sides at every size
+    return lm_scoring.scores(docs, docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left_semi"))
 
 
 @query()
