@@ -19,21 +19,19 @@ from .text import tokens
 class Lexicon:
     """Static and learned form->lemma maps, as driver-side constants.
 
-    The maps are configuration-sized (hundreds of entries, checked by
-    ``MAX_INLINE_FORMS``); a learned lexicon too large to inline belongs in a
-    table and goes through ``operators.tokens.lemmatise_tokens`` (join).
-    """
+    The maps become literals of the plan.  A lexicon kept as a table, which may
+    grow with the data, goes through ``operators.tokens.lemmatise_messages`` (joins).
 
-    MAX_INLINE_FORMS = 50_000
+    ``trees`` keeps the column trees built for this lexicon, by their input columns.
+    """
 
     def __init__(self, static: dict[str, str] | None = None,
                  learned: dict[str, str] | None = None):
         self.static = dict(L.verb_map() if static is None else static)
         self.learned = dict(learned or {})
-        if len(self.static) + len(self.learned) > self.MAX_INLINE_FORMS:
-            raise ValueError("lexicon too large to inline; use the join-based lemmatiser")
         self.infinitives = sorted(set(self.static.values()) | set(L.EXTRA_INFINITIVES))
         self._cache: dict = {}
+        self.trees: dict = {}
 
     @staticmethod
     def _sql_str(x: str) -> str:

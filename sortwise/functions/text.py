@@ -17,46 +17,62 @@ from .patterns import WS_CLASS, trie_regex, word_regex
 # ---------------------------------------------------------------------------
 # Normalisation (lower case, then transliterate to ASCII)
 # ---------------------------------------------------------------------------
-# FIXED VALUES: transliterations that are not a base letter plus accents.
+# FIXED VALUES: transliterations that no decomposition gives.
 SPECIAL_TRANSLIT = [
-    ("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("ĳ", "ij"), ("þ", "th"), ("ŋ", "ng"),
-    ("ø", "o"), ("ð", "d"), ("đ", "d"), ("ħ", "h"), ("ı", "i"), ("ł", "l"), ("ŀ", "l"),
-    ("‘", "'"), ("’", "'"), ("‚", "'"), ("“", '"'), ("”", '"'), ("„", '"'),
-    ("–", "-"), ("—", "--"), ("…", "..."), ("«", "<<"), ("»", ">>"),
-    ("¿", "?"), ("¡", "!"), (" ", " "), ("º", "o"), ("ª", "a"),
+    ("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("þ", "th"), ("ŋ", "ng"),
+    ("ø", "o"), ("ð", "d"), ("đ", "d"), ("ħ", "h"), ("ı", "i"), ("ł", "l"),
+    ("‘", "'"), ("’", "'"), ("‚", ","), ("“", '"'), ("”", '"'), ("„", ",,"), ("′", "'"), ("″", '"'),
+    ("‐", "-"), ("‑", "-"), ("‒", "-"), ("–", "-"), ("—", "--"), ("―", "--"), ("…", "..."),
+    ("«", "<<"), ("»", ">>"), ("‹", "<"), ("›", ">"), ("¿", "?"), ("¡", "!"), ("•", "*"), ("·", "*"),
+    ("×", "x"), ("÷", "/"), ("−", "-"), ("©", "(c)"), ("®", "(r)"), ("€", "EUR"), ("£", "PS"),
+    ("°", "deg"), ("§", "SS"), ("½", "1/2"), ("¼", "1/4"), ("¾", "3/4"),
+    ("\u2028", "\n"), ("\u2029", "\n\n"),
+    # Greek and Cyrillic letters
+    ("α", "a"), ("β", "b"), ("γ", "g"), ("δ", "d"), ("ε", "e"), ("ζ", "z"), ("η", "e"), ("θ", "th"),
+    ("ι", "i"), ("κ", "k"), ("λ", "l"), ("μ", "m"), ("ν", "n"), ("ξ", "x"), ("ο", "o"), ("π", "p"),
+    ("ρ", "r"), ("σ", "s"), ("ς", "s"), ("τ", "t"), ("υ", "u"), ("φ", "ph"), ("χ", "kh"), ("ψ", "ps"), ("ω", "o"),
+    ("а", "a"), ("б", "b"), ("в", "v"), ("г", "g"), ("д", "d"), ("е", "e"), ("ж", "zh"), ("з", "z"), ("и", "i"),
+    ("й", "i"), ("к", "k"), ("л", "l"), ("м", "m"), ("н", "n"), ("о", "o"), ("п", "p"), ("р", "r"), ("с", "s"),
+    ("т", "t"), ("у", "u"), ("ф", "f"), ("х", "kh"), ("ц", "ts"), ("ч", "ch"), ("ш", "sh"), ("щ", "shch"),
+    ("ъ", '"'), ("ы", "y"), ("ь", "'"), ("э", "e"), ("ю", "iu"), ("я", "ia"),
 ]
+#: Blocks whose letters, signs and spaces are transliterated by their decomposition.
+DECOMPOSED = [(0xA0, 0x250), (0x370, 0x400), (0x1E00, 0x2000), (0x2000, 0x2150), (0x3000, 0x3001), (0xFB00, 0xFB07),
+              (0xFF01, 0xFF5F)]
 
 
-def _translit_table() -> tuple[str, str]:
-    """Single-character transliterations of Latin-1 and Latin Extended-A
-    lower-case letters, derived from their Unicode decomposition."""
-    src, dst = [], []
-    specials = dict(SPECIAL_TRANSLIT)
-    for cp in range(0xC0, 0x180):
-        ch = chr(cp)
-        if ch in specials or ch.lower() != ch:
-            continue
-        base = "".join(c for c in unicodedata.normalize("NFKD", ch)
-                       if unicodedata.category(c) != "Mn")
-        if len(base) == 1 and base.isascii() and base.isalpha():
-            src.append(ch)
-            dst.append(base)
-    return "".join(src), "".join(dst)
+def _translit_tables() -> tuple[str, str, list[tuple[str, str]]]:
+    """Characters with a one-letter transliteration, those letters, and (character,
+    text) for all others.  What is in neither is dropped."""
+    table = dict(SPECIAL_TRANSLIT)
+    for lo, hi in DECOMPOSED:
+        for ch in map(chr, range(lo, hi)):
+            parts = unicodedata.normalize("NFKD", ch)
+            base = "".join(table.get(c, c) for c in parts if unicodedata.category(c) != "Mn").lower()
+            if ch.lower() == ch and ch not in table and base and base.isascii():
+                table[ch] = base
+    one = {c: r for c, r in table.items() if len(r) == 1}
+    return "".join(one), "".join(one.values()), [(c, r.lower()) for c, r in table.items() if len(r) > 1]
 
 
-_SRC, _DST = _translit_table()
+_SRC, _DST, _MULTI = _translit_tables()
 
 
 def normalize(c: Column) -> Column:
-    """lower + transliteration; whitespace is kept as it is."""
-    out = F.translate(F.lower(c), _SRC, _DST)
-    singles_src = "".join(s for s, r in SPECIAL_TRANSLIT if len(r) == 1)
-    singles_dst = "".join(r for s, r in SPECIAL_TRANSLIT if len(r) == 1)
-    out = F.translate(out, singles_src, singles_dst)
-    multi = [(s, r) for s, r in SPECIAL_TRANSLIT if len(r) > 1]
-    for s, r in multi:
-        out = F.replace(out, F.lit(s), F.lit(r))
-    return out
+    """lower + transliteration to ASCII; ASCII white space is kept as it is.
+
+    Accents go with their letters whether composed or not; emoji, joiners, variation
+    selectors and characters without a transliteration are dropped.  Texts in plain
+    ASCII, told by comparing their sizes in bytes and characters, skip all this."""
+    low = F.lower(c)
+    out = F.translate(low, _SRC, _DST)
+    rare = F.translate(out, "".join(s for s, _ in _MULTI), "")
+    wide = out
+    for s, r in _MULTI:
+        wide = F.replace(wide, F.lit(s), F.lit(r))
+    out = F.when(F.length(rare) == F.length(out), out).otherwise(wide)
+    return F.when(F.octet_length(low) == F.length(low), low).otherwise(
+        F.regexp_replace(out, "[^\\x00-\\x7F]+", ""))
 
 
 def strip_ws(c: Column) -> Column:
@@ -118,25 +134,21 @@ def literal_array(literals) -> Column:
     return F.expr("array(" + ", ".join(sql_str(x) for x in literals) + ")")
 
 
-CHUNK = 16
+FEW = 32
 
 
 def found_in_order(c: Column, literals) -> Column:
     """array of the literals contained in ``c``, in list order.
 
-    Long lists are cut into contiguous chunks; a chunk's literals are searched
-    one by one only when one trie regex says the chunk has a hit, so a long
-    text pays for a few regex scans instead of one scan per literal."""
+    A long list costs one scan of the text: a look-ahead over a prefix trie gives the
+    longest literal that starts at each place, and every literal in the text lies
+    in one of those, as it is itself the longest at its place or begins a longer one."""
     literals = list(literals)
-    if len(literals) <= 2 * CHUNK:
+    if len(literals) <= FEW:
         return F.filter(literal_array(literals), lambda k: F.instr(c, k) > 0)
-    parts = []
-    for i in range(0, len(literals), CHUNK):
-        chunk = literals[i:i + CHUNK]
-        hits = F.filter(literal_array(chunk), lambda k: F.instr(c, k) > 0)
-        parts.append(F.when(c.rlike(trie_regex(chunk)), hits)
-                     .otherwise(F.array().cast("array<string>")))
-    return F.concat(*parts)
+    longest = F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?=({trie_regex(literals)}))"), F.lit(1)))
+    return F.transform(F.array(longest), lambda found: F.filter(
+        literal_array(literals), lambda k: F.exists(found, lambda x: F.startswith(x, k))))[0]
 
 
 def explode_values(df, arr: Column, name: str):

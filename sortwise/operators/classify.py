@@ -24,6 +24,7 @@ class Features:
     def __init__(self, lex: Lexicon, orig: str = "message", norm: str = "norm",
                  lemmas: str = "lemmas"):
         self.lex = lex
+        self.columns = (orig, norm, lemmas)
         self.o = F.col(orig)
         self.n = F.col(norm)
         self.lemmas = F.col(lemmas)
@@ -141,9 +142,11 @@ def rules(f: Features) -> list[tuple[str, Column]]:
     ]
 
 
-def reason(f: Features, rule_id: Column) -> Column:
-    """Reason text of the winning rule; templates are filled from the row."""
-    return _memo(("reason", id(f.lex)), lambda: _reason(f, rule_id))
+def reason(f: Features, rule_id: Column | None = None) -> Column:
+    """Reason text of the winning rule (column ``rule_id`` unless given); templates are
+    filled from the row."""
+    return _tree(f.lex, ("reason", *f.columns), lambda: _reason(f, F.col("rule_id"))) if rule_id is None \
+        else _reason(f, rule_id)
 
 
 def _reason(f: Features, rule_id: Column) -> Column:
@@ -172,19 +175,16 @@ def _reason(f: Features, rule_id: Column) -> Column:
     return expr
 
 
-_MEMO: dict = {}
-
-
-def _memo(key, build):
-    """Column trees are independent of any DataFrame; building one costs
-    thousands of JVM calls, so each is built once per process."""
-    if key not in _MEMO:
-        _MEMO[key] = build()
-    return _MEMO[key]
+def _tree(lex: Lexicon, key, build):
+    """Column trees are independent of any DataFrame; building one costs thousands
+    of JVM calls, so a lexicon keeps those built for it, by their input columns."""
+    if key not in lex.trees:
+        lex.trees[key] = build()
+    return lex.trees[key]
 
 
 def first_rule(f: Features) -> Column:
-    return _memo(("first_rule", id(f.lex)), lambda: _first_rule(f))
+    return _tree(f.lex, ("first_rule", *f.columns), lambda: _first_rule(f))
 
 
 def _first_rule(f: Features) -> Column:
@@ -203,10 +203,9 @@ def prepare(df: DataFrame, lex: Lexicon, text_col: str = "message") -> DataFrame
     """message (stripped), norm and lemmas."""
     return (df.withColumn("message", T.strip_ws(F.coalesce(F.col(text_col).cast("string"),
                                                            F.lit(""))))
-              .withColumns({"norm": _memo("norm", lambda: T.normalize(F.col("message")))})
-              .withColumn("tokens", _memo("tokens", lambda: T.tokens(F.col("norm"))))
-              .withColumn("lemmas", _memo(("lemmas", id(lex)),
-                                          lambda: F.transform(F.col("tokens"), lex.lemma))))
+              .withColumns({"norm": _tree(lex, "norm", lambda: T.normalize(F.col("message")))})
+              .withColumn("tokens", _tree(lex, "tokens", lambda: T.tokens(F.col("norm"))))
+              .withColumn("lemmas", _tree(lex, "lemmas", lambda: F.transform(F.col("tokens"), lex.lemma))))
 
 
 def classify(df: DataFrame, lex: Lexicon | None = None, text_col: str = "message",
@@ -218,7 +217,7 @@ def classify(df: DataFrame, lex: Lexicon | None = None, text_col: str = "message
     f = Features(lex)
     return (df.withColumn("rule_id", first_rule(f))
               .withColumn("bucket", bucket_of(F.col("rule_id")))
-              .withColumn("reason", reason(f, F.col("rule_id"))))
+              .withColumn("reason", reason(f)))
 
 
 def evidence(df: DataFrame, lex: Lexicon | None = None, text_col: str = "message",
@@ -228,7 +227,7 @@ def evidence(df: DataFrame, lex: Lexicon | None = None, text_col: str = "message
     if not prepared:
         df = prepare(df, lex, text_col)
     f = Features(lex)
-    hits = _memo(("evidence", id(lex)),
+    hits = _tree(lex, ("evidence", *f.columns),
                  lambda: F.array(*[F.when(cond, F.lit(rid)) for rid, cond in rules(f)]))
     return df.withColumn("matched_rules", F.filter(hits, lambda x: x.isNotNull()))
 

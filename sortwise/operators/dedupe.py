@@ -7,17 +7,18 @@ of a key are the orbit of its first event under
 This is not a gap session and not a tumbling window.
 
 Plan (no group is ever collected; skew-safe):
-1. f(x) by an as-of lookup inside (key, hour-bucket) partitions: a probe at
-   ts(x)+TTL and the candidate targets share the bucket of the probe time;
-   when the probe's bucket holds no later target, the first event of the next
-   non-empty bucket is used (a per-(key, bucket) table of bucket minima,
-   bounded by the number of hours, not the number of events).  A key that
-   holds a third of all rows is thereby split into hour-sized groups.
-2. Pointer doubling: J_0 = f, J_{k+1} = J_k o J_k, and the orbit
+0. (key, id, t) is materialised once; everything below reads that.
+1. f(x) by an as-of lookup inside (key, bucket) partitions, buckets far narrower
+   than the TTL: a probe at ts(x) + TTL meets the events of its bucket; without a
+   later one there, the first event of the next bucket that has any is taken from a
+   table of bucket minima.  A key that holds a third of all rows, even within one
+   hour, is thereby split into minutes.
+2. Only roots and images of f can be misses, so f is kept for those alone.
+   Pointer doubling: J_0 = f, J_{k+1} = J_k o J_k, and the orbit
    P_{k+1} = P_k U J_k(P_k), starting from each key's first event.  Every step
    is an equi-join on the event id (high cardinality, no skew);
-   ceil(log2(max misses per key)) rounds, with the lineage cut by
-   ``checkpoint()`` into ``spark.checkpoint.dir`` every few rounds.
+   ceil(log2(max misses per key)) rounds, with the lineage cut by ``checkpoint()``
+   into ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
+from ..session import ensure_checkpoint_dir
 
 US = 1_000_000
 
@@ -38,12 +40,14 @@ def message_key(norm_col: str = "norm"):
 
 
 def classify_distinct(df: DataFrame, classify_fn, key_col: str = "msg_key",
-                      text_col: str = "message") -> DataFrame:
-    """K1: classify each distinct key once and join the result back to every
-    copy.  Only text-derived columns are shared between copies.  The distinct
-    side is a shuffle on the key; AQE broadcasts it at run time when the
-    number of distinct messages is small (its size is measured, not assumed)."""
-    distinct = df.select(key_col, text_col).dropDuplicates([key_col])
+                      text_col: str = "message", order: tuple[str, ...] = ("ts", "msg_id")) -> DataFrame:
+    """K1: classify each distinct key once and join the result back to every copy.
+
+    Texts of one key may differ (accents, case); the first request's text, by
+    ``order``, is the one classified.  Only text-derived columns are shared.  The
+    minimum combines on the map side; AQE broadcasts the distinct side at run time
+    when it is small (its size is measured, not assumed)."""
+    distinct = df.groupBy(key_col).agg(F.min_by(text_col, F.struct(*order)).alias(text_col))
     verdicts = classify_fn(distinct).drop(text_col)
     return df.join(verdicts, key_col, "left")
 
@@ -51,56 +55,53 @@ def classify_distinct(df: DataFrame, classify_fn, key_col: str = "msg_key",
 def _checkpoint(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into ``spark.checkpoint.dir`` (survives executor
     loss, cuts the lineage of the doubling loop)."""
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def next_miss_candidates(ev: DataFrame, ttl: int) -> DataFrame:
-    """f(x) for every event x of ``ev(k, id, t, b)``: the first event of the
-    same key at or after t(x) + ttl, ordered by (t, id); null if none.
-
-    The probe time t(x)+ttl always falls in bucket b(x)+1.  Inside that bucket
-    an as-of lookup finds the answer with a running window (descending time,
-    so the frame is unbounded-preceding: O(n) per partition).  If the bucket
-    has no event late enough, or no event at all, the answer is the first
-    event of the next non-empty bucket, read from the per-bucket minima."""
-    probes = ev.select("k", (F.col("b") + 1).alias("b"), (F.col("t") + F.lit(ttl)).alias("t"),
-                       F.lit(None).cast("long").alias("id"), F.col("id").alias("src"),
-                       F.lit(1).alias("ord"))
-    targets = ev.select("k", "b", "t", "id", F.lit(None).cast("long").alias("src"),
-                        F.lit(0).alias("ord"))
-    w = (Window.partitionBy("k", "b").orderBy(F.col("t").desc(), F.col("ord").asc(),
-                                              F.col("id").desc())
+#: Buckets of the as-of lookup per TTL.
+BUCKETS_PER_TTL = 60
+
+
+def next_miss_candidates(ev: DataFrame, ttl: int, width: int) -> DataFrame:
+    """f(x) for every event x of ``ev(k, id, t)``: the first event of the same key at or
+    after t(x) + ttl, ordered by (t, id); events without one are left out.
+
+    Inside the probe's bucket a running window (descending time, so the frame is
+    unbounded-preceding: O(n) per partition) finds the answer; else it is the first
+    event of the next bucket of that key that has any."""
+    bucket = F.floor(F.col("t") / F.lit(width)).alias("b")
+    none = F.lit(None).cast("long")
+    rows = (ev.select("k", (F.col("t") + F.lit(ttl)).alias("t"), none.alias("id"), F.col("id").alias("src"))
+              .unionByName(ev.select("k", "t", "id", none.alias("src")))
+              .select("k", bucket, "t", "id", "src"))
+    w = (Window.partitionBy("k", "b").orderBy(F.col("t").desc(), F.col("src").isNotNull(), F.col("id").desc())
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    best = F.min(F.when(F.col("ord") == 0, F.struct("t", "id"))).over(w)
-    local = (probes.unionByName(targets).withColumn("best", best)
-             .where(F.col("ord") == 1)
-             .select("k", (F.col("b") - 1).alias("bx"), "src", F.col("best.id").alias("f_local")))
-    firsts = ev.groupBy("k", "b").agg(F.min(F.struct("t", "id")).alias("first"))
-    wb = Window.partitionBy("k").orderBy("b")
-    nxt = (firsts.select("k", F.col("b").alias("bx"),
-                         F.lead("b", 1).over(wb).alias("b1"),
-                         F.lead("first", 1).over(wb).alias("first1"),
-                         F.lead("first", 2).over(wb).alias("first2")))
-    j = local.join(nxt, ["k", "bx"], "left")
-    nx = F.when(F.col("b1") == F.col("bx") + 1,
-                F.coalesce(F.col("f_local"), F.col("first2.id"))) \
-          .otherwise(F.col("first1.id"))
-    return j.select(F.col("src").alias("id"), nx.alias("to"))
+    seen = rows.withColumn("best", F.min(F.when(F.col("src").isNull(), F.struct("t", "id"))).over(w))
+    probes = seen.where(F.col("src").isNotNull()).select("k", "b", "src", F.col("best.id").alias("f_local"))
+    firsts = rows.groupBy("k", "b").agg(F.min(F.when(F.col("src").isNull(), F.struct("t", "id"))).alias("first"))
+    later = (Window.partitionBy("k").orderBy(F.col("b").desc())
+             .rowsBetween(Window.unboundedPreceding, -1))
+    nxt = firsts.select("k", "b", F.last("first.id", ignorenulls=True).over(later).alias("f_next"))
+    j = probes.where("f_local IS NOT NULL").select("src", F.col("f_local").alias("to")).unionByName(
+        probes.where("f_local IS NULL").join(nxt, ["k", "b"]).select("src", F.col("f_next").alias("to")))
+    return j.where(F.col("to").isNotNull()).select(F.col("src").alias("id"), "to")
 
 
 def ttl_hits(df: DataFrame, key_col: str = "msg_key", ts_col: str = "ts",
              id_col: str = "msg_id", ttl_seconds: int = L.CACHE_TTL_SECONDS,
-             checkpoint_every: int = 3) -> DataFrame:
+             checkpoint_every: int = 2) -> DataFrame:
     """K2: adds ``is_hit`` (bool) to every row of ``df``; ``id_col`` must be
     unique.  Arrival order within a key is (ts, id)."""
     ttl = ttl_seconds * US
-    ev = (df.select(F.col(key_col).alias("k"), F.col(id_col).cast("long").alias("id"),
-                    F.unix_micros(F.col(ts_col).cast("timestamp")).alias("t"))
-            .withColumn("b", F.floor(F.col("t") / F.lit(ttl))))
-    jump = _checkpoint(next_miss_candidates(ev, ttl).where(F.col("to").isNotNull()))
-    roots = ev.groupBy("k").agg(F.min(F.struct("t", "id")).alias("r")).select(F.col("r.id").alias("id"))
+    ev = _checkpoint(df.select(F.col(key_col).alias("k"), F.col(id_col).cast("long").alias("id"),
+                               F.unix_micros(F.col(ts_col).cast("timestamp")).alias("t")))
+    f = _checkpoint(next_miss_candidates(ev, ttl, max(1, ttl // BUCKETS_PER_TTL)))
+    per_key = ev.groupBy("k").agg(F.min(F.struct("t", "id")).alias("r"), (F.max("t") - F.min("t")).alias("s"))
+    roots = per_key.select(F.col("r.id").alias("id"))
+    jump = f.join(f.select(F.col("to").alias("id")).unionByName(roots).distinct(), "id", "left_semi")
     # misses are >= ttl apart, so a key has at most span/ttl + 1 of them
-    span = ev.groupBy("k").agg((F.max("t") - F.min("t")).alias("s")).agg(F.max("s")).first()[0] or 0
+    span = per_key.agg(F.max("s")).first()[0] or 0
     rounds = max(1, math.ceil(math.log2(span / ttl + 2)))
     orbit = roots
     for r in range(rounds):
@@ -108,8 +109,8 @@ def ttl_hits(df: DataFrame, key_col: str = "msg_key", ts_col: str = "ts",
         if r + 1 < rounds:
             jump = (jump.alias("a").join(jump.alias("c"), F.col("a.to") == F.col("c.id"))
                         .select(F.col("a.id").alias("id"), F.col("c.to").alias("to")))
-        if (r + 1) % checkpoint_every == 0:
-            orbit, jump = _checkpoint(orbit), _checkpoint(jump)
+        if (r + 1) % checkpoint_every == 0 and r + 1 < rounds:
+            jump, orbit = _checkpoint(jump), _checkpoint(orbit)
     misses = orbit.select(F.col("id").alias("_miss_id"), F.lit(True).alias("_miss"))
     out = df.join(misses, F.col(id_col).cast("long") == F.col("_miss_id"), "left")
     return out.withColumn("is_hit", F.col("_miss").isNull()).drop("_miss_id", "_miss")

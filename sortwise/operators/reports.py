@@ -15,6 +15,17 @@ def _pct(num: Column, den: Column) -> Column:
     return F.when(den > 0, F.round(num / den * 100, 2)).otherwise(F.lit(0.0))
 
 
+def micro(ms: Column) -> Column:
+    """Milliseconds as whole nanoseconds, so sums don't depend on the order of rows."""
+    return F.round(ms * 1_000_000).cast("long")
+
+
+def mean_ms(total: Column, n: Column) -> Column:
+    """Whole nanoseconds over a count, in milliseconds rounded half up to 2 decimals."""
+    half_up = F.call_function("div", 2 * total + 10_000 * n, 20_000 * n)
+    return F.when(n > 0, half_up / 100).otherwise(F.lit(0.0))
+
+
 def service_summary(df: DataFrame, *group_cols: str) -> DataFrame:
     """A1 (A2 with group columns): requests, hits, misses, hit % (hits over
     *all* requests), average latency (errors add none), errors, error %.
@@ -23,15 +34,14 @@ def service_summary(df: DataFrame, *group_cols: str) -> DataFrame:
     agg = [F.count(F.lit(1)).alias("total_requests"),
            F.sum(F.when(~err & F.col("is_hit"), 1).otherwise(0)).alias("cache_hits"),
            F.sum(F.when(~err & ~F.col("is_hit"), 1).otherwise(0)).alias("cache_misses"),
-           F.sum(F.when(~err, F.col("latency_ms")).otherwise(0.0)).alias("_lat"),
+           F.sum(F.when(~err, micro(F.col("latency_ms"))).otherwise(0)).alias("_lat"),
            F.sum(err.cast("int")).alias("error_count")]
     g = df.groupBy(*group_cols) if group_cols else df
     out = g.agg(*agg)
     tot = F.col("total_requests")
     return out.select(*group_cols, "total_requests", "cache_hits", "cache_misses",
                       _pct(F.col("cache_hits"), tot).alias("cache_hit_rate_percent"),
-                      F.when(tot > 0, F.round(F.col("_lat") / tot, 2)).otherwise(F.lit(0.0))
-                      .alias("avg_latency_ms"),
+                      mean_ms(F.col("_lat"), tot).alias("avg_latency_ms"),
                       "error_count", _pct(F.col("error_count"), tot).alias("error_rate_percent"))
 
 
@@ -41,13 +51,24 @@ def service_rollup(df: DataFrame, a: str, b: str) -> DataFrame:
     out = df.rollup(a, b).agg(
         F.count(F.lit(1)).alias("total_requests"),
         F.sum(F.when(~err & F.col("is_hit"), 1).otherwise(0)).alias("cache_hits"),
-        F.sum(F.when(~err, F.col("latency_ms")).otherwise(0.0)).alias("_lat"),
+        F.sum(F.when(~err, micro(F.col("latency_ms"))).otherwise(0)).alias("_lat"),
         F.sum(err.cast("int")).alias("error_count"),
         F.grouping_id().alias("level"))
     tot = F.col("total_requests")
     return out.select(a, b, "level", "total_requests", "cache_hits",
                       _pct(F.col("cache_hits"), tot).alias("cache_hit_rate_percent"),
-                      F.round(F.col("_lat") / tot, 2).alias("avg_latency_ms"), "error_count")
+                      mean_ms(F.col("_lat"), tot).alias("avg_latency_ms"), "error_count")
+
+
+def live_keys(df: DataFrame, ttl_seconds: int, at: Column | None = None) -> DataFrame:
+    """A1's cache size: keys whose last miss is less than ``ttl_seconds`` before ``at``
+    (default: the last request).  Needs msg_key, is_hit and ts."""
+    last = df.groupBy("msg_key").agg(F.max(F.when(~F.col("is_hit"), F.col("ts"))).alias("miss"),
+                                     F.max("ts").alias("seen"))
+    end = F.max("seen").over(Window.partitionBy()) if at is None else at
+    return last.withColumn("_at", end).agg(
+        F.sum((F.col("miss") + F.expr(f"INTERVAL {ttl_seconds} SECONDS") > F.col("_at")).cast("int"))
+        .cast("long").alias("live_keys"))
 
 
 def stage_latency(log: DataFrame) -> DataFrame:

@@ -1,10 +1,9 @@
 """Token tables, lemma joins and lexicon maintenance.
 
 The classifier lemmatises inside ``transform`` (narrow).  The operators here
-expose the same lookup as relational joins for reporting: the token table is
-joined to the lexicon tables, which are bounded configuration relations
-(hundreds of rows; ``broadcast`` only after ``checked_broadcast`` confirms the
-row count), so no join here shuffles the token side.
+expose the same lookup as relational joins.  The static lexicon is a fixed
+relation of 445 rows and is broadcast; the learned lexicon grows with the data and
+carries no hint (adaptive execution broadcasts it while it is small).
 """
 
 from __future__ import annotations
@@ -14,29 +13,19 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-BROADCAST_ROW_LIMIT = 1_000_000
 
-
-def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast a lexicon relation only when its row count is within
-    ``limit``; otherwise leave the join strategy to the planner (AQE turns a
-    small runtime side into a broadcast anyway).  The count runs on the
-    lexicon table, never on the data side."""
-    return F.broadcast(df) if df.count() <= limit else df
-
-
-def tokenize(df: DataFrame, text_col: str = "norm", key: str = "msg_id") -> DataFrame:
-    """(key, pos, token) with pos starting at 1; Python str.split()."""
-    out = df.select(key, F.posexplode_outer(T.tokens(F.col(text_col))).alias("pos0", "token"))
+def tokenize(df: DataFrame, text_col: str = "norm", key: str = "msg_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, pos, token) with pos starting at 1; Python str.split().  Columns named
+    in ``carry`` go along, so reports need no join back."""
+    out = df.select(key, *carry, F.posexplode_outer(T.tokens(F.col(text_col))).alias("pos0", "token"))
     return out.where(F.col("token").isNotNull()) \
-              .select(key, (F.col("pos0") + 1).alias("pos"), "token")
+              .select(key, *carry, (F.col("pos0") + 1).alias("pos"), "token")
 
 
 def lemmatise_tokens(tokens: DataFrame, static: DataFrame, learned: DataFrame) -> DataFrame:
     """Static map, else learned map, else the token; ``source`` tells which."""
-    s = checked_broadcast(static.select(F.col("form").alias("token"), F.col("lemma").alias("s_lemma")))
-    lrn = checked_broadcast(learned.select(F.col("form").alias("token"),
-                                           F.col("lemma").alias("l_lemma")))
+    s = F.broadcast(static.select(F.col("form").alias("token"), F.col("lemma").alias("s_lemma")))
+    lrn = learned.select(F.col("form").alias("token"), F.col("lemma").alias("l_lemma"))
     j = tokens.join(s, "token", "left").join(lrn, "token", "left")
     return j.select(*tokens.columns,
                     F.coalesce("s_lemma", "l_lemma", "token").alias("lemma"),
@@ -45,11 +34,23 @@ def lemmatise_tokens(tokens: DataFrame, static: DataFrame, learned: DataFrame) -
                      .alias("source"))
 
 
+def lemmatise_messages(df: DataFrame, static: DataFrame, learned: DataFrame, key: str = "msg_id") -> DataFrame:
+    """``tokens`` and ``lemmas`` of every message by joins, for a lexicon kept as tables
+    of any size; ``key`` is unique.  Ready for ``classify(..., prepared=True)``.
+
+    The words of one message meet again in one row, as they must for the rules."""
+    words = lemmatise_tokens(tokenize(df, key=key), static, learned)
+    per = words.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "lemma"))).alias("_l"))
+    none = F.array().cast("array<string>")
+    return (df.join(per, key, "left").withColumn("tokens", T.tokens(F.col("norm")))
+              .withColumn("lemmas", F.coalesce(F.col("_l.lemma"), none)).drop("_l"))
+
+
 def unknown_tokens(tokens: DataFrame, static: DataFrame, learned: DataFrame) -> DataFrame:
     """Tokens found in neither map, with frequency (partial aggregation
     map-side, then one shuffle on the token)."""
-    s = checked_broadcast(static.select(F.col("form").alias("token")))
-    lrn = checked_broadcast(learned.select(F.col("form").alias("token")))
+    s = F.broadcast(static.select(F.col("form").alias("token")))
+    lrn = learned.select(F.col("form").alias("token"))
     return (tokens.join(s, "token", "left_anti").join(lrn, "token", "left_anti")
                   .groupBy("token").agg(F.count(F.lit(1)).alias("freq")))
 
@@ -102,11 +103,11 @@ def lexicon_stats(static: DataFrame, learned: DataFrame, extra_infinitives: list
 def keyword_hits(df: DataFrame, keywords: list[str], key: str = "msg_id") -> DataFrame:
     """Messages x keyword list by substring, hits in keyword order.
 
-    Expressed per row (filter over the literal keyword array) instead of a
-    nested-loop join followed by a regroup: the result is identical, and the
-    plan stays a narrow projection with no shuffle.  Rows are pre-filtered by
-    one trie regex so only candidate rows evaluate the keyword array."""
-    cand = df.select(key, "norm").where(T.has_any(F.col("norm"), keywords))
+    Expressed per row instead of a nested-loop join followed by a regroup: the
+    result is identical, and the plan stays narrow.  The hits are computed once, in
+    a projection of their own; the generator keeps the filter on the finished column
+    from being pushed below it and computed again."""
     hits = T.found_in_order(F.col("norm"), keywords)
-    return cand.select(key, F.size(hits).alias("n_keywords"),
-                       F.array_join(F.slice(hits, 1, 6), ", ").alias("first_keywords"))
+    rows = df.select(key, F.explode_outer(F.array(hits)).alias("hits")).where(F.size("hits") > 0)
+    return rows.select(key, F.size("hits").alias("n_keywords"),
+                       F.array_join(F.slice("hits", 1, 6), ", ").alias("first_keywords"))

@@ -11,7 +11,6 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import sqlgen as S
 
@@ -36,10 +35,6 @@ def register(name: str, ops: str, sql: str | None = None):
     return deco
 
 
-def _join(col, sep=","):
-    return F.array_join(col, sep)
-
-
 # imports kept below the registry so query modules can use ``register``
 from . import queries_core  # noqa: E402,F401
 from . import queries_more  # noqa: E402,F401

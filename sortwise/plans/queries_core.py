@@ -23,9 +23,9 @@ def _flat(df, *extra):
                      F.col("reclassified").cast("int").alias("reclassified"), *extra)
 
 
-def _flat_sql(src: str, *extra: str) -> str:
+def _flat_sql(src: str, *extra: str, extra_forms: dict[str, str] | None = None) -> str:
     ex = "".join(", " + e for e in extra)
-    return (f"WITH {S.triage_ctes(src)} SELECT CAST(msg_id AS BIGINT) AS msg_id, rule_id, bucket, "
+    return (f"WITH {S.triage_ctes(src, extra_forms)} SELECT CAST(msg_id AS BIGINT) AS msg_id, rule_id, bucket, "
             f"array_to_string(reasons, '{RSEP}') AS reasons, array_to_string(scope, ',') AS scope, "
             f"CAST(reclassified AS INTEGER) AS reclassified{ex} FROM fin")
 

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import text as T
+from ..functions.lemma import Lexicon
 from ..operators import classify as C
 from ..operators import dedupe as K
 from ..operators import payload as B
 from ..operators import reports as A
+from ..operators import scopes as D
 from ..operators import tokens as J
 from ..operators.triage import triage
 from ..sources import lexicon_io as LX
@@ -18,6 +20,7 @@ from ..sources import sinks as SK
 from ..sources import tables as TB
 from . import sqlgen as S
 from .catalog import register
+from .queries_core import _flat, _flat_sql
 
 q = S.q
 
@@ -62,11 +65,101 @@ r1 AS (SELECT *, {S.rule_case()} AS rule_id FROM feat)
 SELECT CAST(msg_id AS BIGINT) AS msg_id, md5(norm) AS msg_key, rule_id, {S.bucket_case()} AS bucket FROM r1""")
 def classify_distinct_stream(spark, sf):
     ms = TB.msg_stream(spark, sf)
+    return _distinct(ms)
+
+
+def _distinct(ms):
     keyed = ms.withColumn("msg_key", F.md5(T.normalize(T.strip_ws(F.col("message")))))
     out = K.classify_distinct(keyed, lambda d: C.classify(d).select("msg_key", "rule_id", "bucket"))
     return out.select(F.col("msg_id").cast("bigint").alias("msg_id"), "msg_key", "rule_id", "bucket")
 
 
+def _first_requester_sql(src: str) -> str:
+    """One row per key: the first request's message, under the key's first msg_id."""
+    return (f"SELECT arg_min(msg_id, (ts, msg_id)) AS msg_id, arg_min(message, (ts, msg_id)) AS message, k AS msg_key "
+            f"FROM (SELECT *, md5({S.norm(S.strip('message'))}) AS k FROM ({src})) GROUP BY k")
+
+
+@register("classify_distinct_variants", "K1,P1,P2", f"""WITH {S.features_cte(_first_requester_sql(S.msg_variants_sql()))},
+r1 AS (SELECT *, {S.rule_case()} AS rule_id FROM feat),
+v AS (SELECT msg_key, rule_id, {S.bucket_case()} AS bucket FROM r1),
+m AS (SELECT msg_id, md5({S.norm(S.strip('message'))}) AS msg_key FROM ({S.msg_variants_sql()}))
+SELECT CAST(m.msg_id AS BIGINT) AS msg_id, m.msg_key, rule_id, bucket FROM m JOIN v USING (msg_key)""")
+def classify_distinct_variants(spark, sf):
+    return _distinct(TB.msg_variants(spark, sf))
+
+
+@register("triage_lexicon_stream", "C1,D1,C4,P1", _flat_sql(S.msg_variants_sql()))
+def triage_lexicon_stream(spark, sf):
+    return _flat(triage(TB.msg_variants(spark, sf)))
+
+
+@register("scopes_lexicon_stream", "D1,P1", f"""WITH {S.features_cte(S.msg_variants_sql())}
+SELECT CAST(msg_id AS BIGINT) AS msg_id, array_to_string({S.scopes_sql()}, ',') AS scope FROM feat""")
+def scopes_lexicon_stream(spark, sf):
+    df = C.prepare(TB.msg_variants(spark, sf), C.default_lexicon())
+    return df.select(F.col("msg_id").cast("bigint").alias("msg_id"), F.array_join(D.norm_scopes(), ",").alias("scope"))
+
+
+@register("normalized_text_variants", "P1", f"""SELECT CAST(msg_id AS BIGINT) AS msg_id,
+  {S.norm(S.strip('message'))} AS norm FROM ({S.msg_variants_sql()})""")
+def normalized_text_variants(spark, sf):
+    df = C.prepare(TB.msg_variants(spark, sf), C.default_lexicon())
+    return df.select(F.col("msg_id").cast("bigint").alias("msg_id"), "norm")
+
+
+#: J7 additions of the extended lexicon (form, lemma).
+ADDED_FORMS = [("abcd", "enviar"), ("planilha", "tabelar"), ("resumo", "criar"), ("hoje", "agendar")]
+
+
+@register("triage_stream_extended", "C1,J7", _flat_sql(S.msg_stream_sql(), extra_forms=dict(ADDED_FORMS)))
+def triage_stream_extended(spark, sf):
+    """C1 with a lexicon that J7 has extended."""
+    add = spark.createDataFrame([(i, f, lm) for i, (f, lm) in enumerate(ADDED_FORMS)], "pos int, form string, lemma string")
+    table = J.extend_static(LX.verb_forms_df(spark), add).orderBy("pos")
+    lex = Lexicon(static={r.form: r.lemma for r in table.collect()}, learned=LX.shipped_learned_map())
+    return _flat(triage(TB.msg_stream(spark, sf), lex))
+
+
+@register("triage_conversations_joined", "C1,J2", _flat_sql(S.msg_conv_sql()))
+def triage_conversations_joined(spark, sf):
+    """C1 over lemmas that come from lexicon tables by joins."""
+    lex = C.default_lexicon()
+    p = C.prepare(TB.msg_conv(spark, sf), lex).drop("tokens", "lemmas")
+    p = J.lemmatise_messages(p, LX.verb_forms_df(spark), LX.read_learned(spark))
+    return _flat(C.reclassify(D.with_scopes(C.classify(p, lex, prepared=True))))
+
+
+@register("live_keys_stream", "A1,K2", _ttl_sql("WHERE event_type <> 'error'") + """,
+ms AS (SELECT msg_key, max(ts) FILTER (WHERE NOT is_hit) AS miss FROM rl WHERE NOT is_error GROUP BY msg_key),
+e AS (SELECT max(ts) AS t FROM rl WHERE NOT is_error)
+SELECT CAST(count(*) AS BIGINT) AS live_keys FROM ms, e WHERE miss + INTERVAL 3600 SECOND > t""")
+def live_keys_stream(spark, sf):
+    return A.live_keys(request_log(spark, sf).where(~F.col("is_error")), L.CACHE_TTL_SECONDS)
+
+
+def _refused_case(column: str) -> str:
+    rows = ["NULL" if t is None else q(t) for t in SP.REFUSED]
+    return "CASE " + " ".join(f"WHEN msg_id % 10 = {i} THEN {t}" for i, t in enumerate(rows)) + f" ELSE {column} END"
+
+
+@register("ingest_rejected", "S1,S3", f"""WITH m AS ({S.msg_stream_sql()}),
+p AS (SELECT msg_id, msg_id % 10 < {len(SP.REFUSED)} AS swapped, {_refused_case("'kept'")} AS payload FROM m)
+SELECT CAST(msg_id AS BIGINT) AS msg_id,
+  CASE WHEN NOT swapped THEN 'OK'
+       WHEN payload IS NULL OR regexp_matches(payload, '^\\s*(\\{{\\s*\\}}|null)?\\s*$') THEN 'NO_PAYLOAD'
+       ELSE 'MALFORMED' END AS status,
+  CASE WHEN swapped AND payload NOT IN ('{{}}', '{{ }}', 'null', '  ') THEN payload END AS corrupt FROM p""")
+def ingest_rejected(spark, sf):
+    p = SP.parse_payloads(SP.with_refused(SP.stream_payloads(TB.msg_stream(spark, sf))))
+    ok, bad = SP.split_rejected(p)
+    kept = ok.select(F.col("msg_id").cast("bigint").alias("msg_id"), F.lit("OK").alias("status"),
+                     F.lit(None).cast("string").alias("corrupt"))
+    return kept.unionByName(bad.select(
+        F.col("msg_id").cast("bigint").alias("msg_id"), F.col("reject_reason").alias("status"),
+        F.when(F.col("reject_reason") == "MALFORMED", F.col("corrupt")).alias("corrupt")))
+
+
 @register("ttl_hits_stream", "K2", _ttl_sql() + """
 SELECT CAST(msg_id AS BIGINT) AS msg_id, msg_key, CAST(is_hit AS INTEGER) AS is_hit FROM hits""")
 def ttl_hits_stream(spark, sf):
@@ -100,7 +193,8 @@ SELECT {sel}CAST(count(*) AS BIGINT) AS total_requests,
   CAST(sum(CASE WHEN NOT is_error AND is_hit THEN 1 ELSE 0 END) AS BIGINT) AS cache_hits,
   CAST(sum(CASE WHEN NOT is_error AND NOT is_hit THEN 1 ELSE 0 END) AS BIGINT) AS cache_misses,
   round(sum(CASE WHEN NOT is_error AND is_hit THEN 1 ELSE 0 END) / count(*) * 100, 2) AS cache_hit_rate_percent,
-  round(sum(CASE WHEN NOT is_error THEN latency_ms ELSE 0 END) / count(*), 2) AS avg_latency_ms,
+  ((2 * sum(CASE WHEN NOT is_error THEN CAST(round(latency_ms * 1000000) AS BIGINT) ELSE 0 END) + 10000 * count(*))
+    // (20000 * count(*))) / 100 AS avg_latency_ms,
   CAST(sum(CAST(is_error AS INTEGER)) AS BIGINT) AS error_count,
   round(sum(CAST(is_error AS INTEGER)) / count(*) * 100, 2) AS error_rate_percent
 FROM rl {gb}"""
@@ -130,7 +224,8 @@ SELECT event_type, day, CAST(grouping(event_type, day) AS BIGINT) AS level,
   CAST(count(*) AS BIGINT) AS total_requests,
   CAST(sum(CASE WHEN NOT is_error AND is_hit THEN 1 ELSE 0 END) AS BIGINT) AS cache_hits,
   round(sum(CASE WHEN NOT is_error AND is_hit THEN 1 ELSE 0 END) / count(*) * 100, 2) AS cache_hit_rate_percent,
-  round(sum(CASE WHEN NOT is_error THEN latency_ms ELSE 0 END) / count(*), 2) AS avg_latency_ms,
+  ((2 * sum(CASE WHEN NOT is_error THEN CAST(round(latency_ms * 1000000) AS BIGINT) ELSE 0 END) + 10000 * count(*))
+    // (20000 * count(*))) / 100 AS avg_latency_ms,
   CAST(sum(CAST(is_error AS INTEGER)) AS BIGINT) AS error_count
 FROM rl2 GROUP BY ROLLUP (event_type, day)""")
 def service_rollup(spark, sf):
@@ -145,8 +240,8 @@ def service_rollup(spark, sf):
 
 def _stage_sql():
     rows = []
-    for st, share in SK.STAGE_SHARES.items():
-        cond = "" if st in ("extracao_ms", "cache_lookup_ms") else "WHERE NOT coalesce(is_hit, false)"
+    for st, share in TB.STAGE_SHARES.items():
+        cond = "" if st in TB.HIT_STAGES else "WHERE NOT coalesce(is_hit, false)"
         rows.append(f"SELECT '{st}' AS stage, round(latency_ms * {share}, 2) AS ms FROM rl {cond}")
     rows.append("SELECT 'total_ms' AS stage, round(latency_ms, 2) AS ms FROM rl")
     return _ttl_sql("WHERE event_type <> 'error'") + f""",
@@ -158,7 +253,7 @@ SELECT stage, CAST(count(*) AS BIGINT) AS samples, round(avg(ms), 4) AS avg_ms F
 def stage_latency(spark, sf):
     rl = request_log(spark, sf).withColumn("bucket", F.lit(None).cast("string")) \
         .withColumn("scope", F.array().cast("array<string>")).withColumn("model", F.lit(None).cast("string"))
-    out = A.stage_latency(SK.event_log(rl))
+    out = A.stage_latency(SK.event_log(TB.with_latencies(rl)))
     return out.select("stage", F.col("samples").cast("bigint").alias("samples"), "avg_ms")
 
 
@@ -168,7 +263,7 @@ def stage_latency(spark, sf):
 # ---------------------------------------------------------------------------
 _CLS = f"""WITH {S.features_cte(S.msg_stream_sql())},
 r1 AS (SELECT *, {S.rule_case()} AS rule_id FROM feat),
-cl AS (SELECT *, {S.bucket_case()} AS bucket FROM r1)"""
+cl AS MATERIALIZED (SELECT *, {S.bucket_case()} AS bucket FROM r1)"""
 
 
 @register("bucket_distribution_stream", "A4", f"""WITH {S.triage_ctes(S.msg_stream_sql())},
@@ -197,10 +292,9 @@ SELECT label, bucket, CAST(n AS BIGINT) AS n,
        round(n / sum(n) OVER (PARTITION BY label) * 100, 2) AS share_pct FROM c""")
 def bucket_distribution_labels(spark, sf):
     lab = TB.read(spark, sf, "labels", "doc_id", "quality", "toxic")
-    t = triage(TB.msg_docs(spark, sf)).join(
-        lab, F.col("msg_id") == F.col("doc_id")).withColumn(
+    labelled = TB.msg_docs(spark, sf).join(lab, F.col("msg_id") == F.col("doc_id")).withColumn(
         "label", F.concat_ws("/", F.col("quality").cast("string"), F.col("toxic").cast("string")))
-    out = A.bucket_distribution(t, "label")
+    out = A.bucket_distribution(triage(labelled), "label")
     return out.select("label", "bucket", F.col("n").cast("bigint").alias("n"), "share_pct")
 
 
@@ -390,12 +484,10 @@ SELECT src AS source, CAST(tokens AS BIGINT) AS tokens, CAST(st AS BIGINT) AS st
   round(st / tokens * 100, 4) AS static_pct, round(le / tokens * 100, 4) AS learned_pct,
   round(un / tokens * 100, 4) AS unknown_pct FROM c""")
 def lexicon_coverage_documents(spark, sf):
-    docs = TB.msg_docs(spark, sf)
-    p = C.prepare(docs, C.default_lexicon())
-    tok = J.tokenize(p.select("msg_id", "norm", F.col("source").alias("doc_source")))
+    p = C.prepare(TB.msg_docs(spark, sf).withColumnRenamed("source", "doc_source"), C.default_lexicon())
+    tok = J.tokenize(p, carry=("doc_source",))
     lt = J.lemmatise_tokens(tok, LX.verb_forms_df(spark), LX.read_learned(spark))
-    src = docs.select("msg_id", F.col("source").alias("doc_source"))
-    out = A.lexicon_coverage(lt.join(src, "msg_id"), "doc_source")
+    out = A.lexicon_coverage(lt, "doc_source")
     return out.select(F.col("doc_source").alias("source"),
                       *[F.col(c).cast("bigint").alias(c) for c in ("tokens", "static", "learned", "unknown")],
                       "static_pct", "learned_pct", "unknown_pct")
@@ -543,7 +635,7 @@ SELECT CAST(msg_id AS BIGINT) AS msg_id, 'preprocessing_result' AS log_type,
   CAST(length(m) AS INTEGER) AS original_message_length, {q(L.DEFAULT_MODEL)} AS model_used FROM fin""")
 def event_log_stream(spark, sf):
     t = triage(TB.msg_stream(spark, sf)).withColumn("model", F.lit(L.DEFAULT_MODEL))
-    log = SK.event_log(t)
+    log = SK.event_log(TB.with_latencies(t))
     return log.select(F.col("msg_id").cast("bigint").alias("msg_id"), "log_type",
                       "classification_bucket", F.array_join("scope_found", ",").alias("scope_found"),
                       F.col("original_message_length").cast("int").alias("original_message_length"),

@@ -1,71 +1,110 @@
-"""Streaming queries (T1-T4): each runs its stream with ``availableNow`` into
-a sink under ``spark.checkpoint.dir`` and returns the sink read back."""
+"""Streaming queries (T1-T5): ``events`` is replayed in several files, one a micro-batch
+(``tables.replay_events``); each stream runs with ``availableNow`` into a sink under
+``spark.checkpoint.dir`` and the query returns the sink read back."""
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
+from ..sources import lexicon_io as LX
+from ..sources import tables as TB
 from ..streaming import jobs as ST
 from . import sqlgen as S
 from .catalog import register
 from .queries_core import _flat_sql
-from .queries_more import _ttl_sql
+from .queries_more import _tok_sql, _ttl_sql
 
 
-def _scratch(spark, tag):
-    root = os.path.join(ensure_checkpoint_dir(spark), "streams", f"{tag}-{uuid.uuid4().hex}")
-    return os.path.join(root, "out"), os.path.join(root, "checkpoint")
+def _scratch(spark, sf, tag):
+    """(message stream over replayed events, sink, checkpoint)"""
+    root = f"{ensure_checkpoint_dir(spark)}/streams/{tag}-{uuid.uuid4().hex}"
+    TB.replay_events(spark, sf, f"{root}/in")
+    return ST.message_stream(spark, f"{root}/in"), f"{root}/out", f"{root}/checkpoint"
 
 
 @register("stream_triage", "T1", _flat_sql(S.msg_stream_sql(), "expected"))
 def stream_triage(spark, sf):
-    out, ck = _scratch(spark, "triage")
-    df = ST.triage_stream(spark, sf).drop("ts", "event_type")
-    ST.run_available_now(df, out, ck)
+    stream, out, ck = _scratch(spark, sf, "triage")
+    ST.run_available_now(ST.triage_stream(stream).drop("ts", "event_type"), out, ck)
     return spark.read.parquet(out).select(F.col("msg_id").cast("bigint").alias("msg_id"),
                                           "rule_id", "bucket", "reasons", "scope",
                                           "reclassified", "expected")
 
 
-@register("stream_hourly_metrics", "T2", """WITH mx AS (SELECT max(ts) AS m FROM events)
-SELECT date_trunc('hour', ts) AS hour, CAST(count(*) AS BIGINT) AS requests,
+_HOURS = """date_trunc('hour', ts) AS hour, CAST(count(*) AS BIGINT) AS requests,
        CAST(sum(CAST(event_type = 'error' AS INTEGER)) AS BIGINT) AS errors,
-       round(avg(value), 4) AS avg_latency_ms
-FROM events, mx GROUP BY 1, mx.m
-HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= mx.m - INTERVAL 10 MINUTE""")
+       ((2 * sum(CASE WHEN event_type <> 'error' THEN CAST(round(latency_ms * 1000000) AS BIGINT) ELSE 0 END)
+         + 10000 * count(*)) // (20000 * count(*))) / 100 AS avg_latency_ms"""
+_CLOSED = "HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= mx.m - INTERVAL 10 MINUTE"
+
+
+@register("stream_hourly_metrics", "T2", f"""WITH mx AS (SELECT max(ts) AS m FROM events),
+e AS (SELECT ts, event_type, value AS latency_ms FROM events)
+SELECT {_HOURS} FROM e, mx GROUP BY 1, mx.m {_CLOSED}""")
 def stream_hourly_metrics(spark, sf):
-    out, ck = _scratch(spark, "hourly")
-    df = ST.hourly_metrics(ST.message_stream(spark, sf))
-    ST.run_available_now(df, out, ck)
-    r = spark.read.parquet(out)
+    stream, out, ck = _scratch(spark, sf, "hourly")
+    ST.run_available_now(ST.hourly_metrics(stream), out, ck)
+    return _hours(spark.read.parquet(out))
+
+
+def _hours(r, *more):
     return r.select(F.col("hour").cast("timestamp_ntz").alias("hour"),
                     F.col("requests").cast("bigint").alias("requests"),
-                    F.col("errors").cast("bigint").alias("errors"), "avg_latency_ms")
+                    F.col("errors").cast("bigint").alias("errors"), "avg_latency_ms",
+                    *[F.col(c).cast("bigint").alias(c) for c in more])
+
 
+# The rows that T3's watermark (two hours behind the last row) has passed.
+_SETTLED = """,
+settled AS (SELECT rl.* FROM rl, (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 2 HOUR AS w FROM kb)
+            WHERE ts < w)"""
 
-@register("stream_ttl_hits", "T3", _ttl_sql() + """
-SELECT CAST(msg_id AS BIGINT) AS msg_id, msg_key, CAST(is_hit AS INTEGER) AS is_hit FROM hits""")
+
+@register("stream_ttl_hits", "T3", _ttl_sql() + _SETTLED + """
+SELECT CAST(msg_id AS BIGINT) AS msg_id, msg_key, CAST(is_hit AS INTEGER) AS is_hit FROM settled""")
 def stream_ttl_hits(spark, sf):
-    out, ck = _scratch(spark, "ttl")
-    ST.run_available_now(ST.ttl_dedupe(ST.message_stream(spark, sf)), out, ck)
+    stream, out, ck = _scratch(spark, sf, "ttl")
+    ST.run_available_now(ST.ttl_dedupe(stream), out, ck)
     r = spark.read.parquet(out)
     return r.select(F.col("msg_id").cast("bigint").alias("msg_id"), "msg_key",
                     F.col("is_hit").cast("int").alias("is_hit"))
 
 
+@register("stream_hourly_hits", "T2,T3", _ttl_sql() + _SETTLED + f""",
+mx AS (SELECT max(ts) AS m FROM settled)
+SELECT {_HOURS},
+       CAST(sum(CAST(event_type <> 'error' AND is_hit AS INTEGER)) AS BIGINT) AS hits,
+       CAST(sum(CAST(event_type <> 'error' AND NOT is_hit AS INTEGER)) AS BIGINT) AS misses
+FROM settled, mx GROUP BY 1, mx.m {_CLOSED}""")
+def stream_hourly_hits(spark, sf):
+    """T2 over the rows that T3 has settled, with their hits and misses."""
+    stream, out, ck = _scratch(spark, sf, "hits")
+    ST.run_available_now(ST.ttl_dedupe(stream), f"{out}/ttl", f"{ck}/ttl")
+    settled = spark.readStream.schema(ST.TTL_OUT).parquet(f"{out}/ttl")
+    ST.run_available_now(ST.hourly_metrics(settled), f"{out}/hours", f"{ck}/hours")
+    return _hours(spark.read.parquet(f"{out}/hours"), "hits", "misses")
+
+
 @register("stream_quarantine", "T4", f"""WITH {S.features_cte(S.msg_stream_sql(blank_signups=True))}
 SELECT CASE WHEN m = '' THEN 'EMPTY_INPUT' ELSE 'accepted' END AS status,
        CAST(count(*) AS BIGINT) AS n FROM feat GROUP BY 1""")
 def stream_quarantine(spark, sf):
-    out, ck = _scratch(spark, "quarantine")
-    ok_p, err_p = os.path.join(out, "ok"), os.path.join(out, "err")
-    stream = ST.message_stream(spark, sf).withColumn(
+    stream, out, ck = _scratch(spark, sf, "quarantine")
+    stream = stream.withColumn(
         "message", F.when(F.col("event_type") == "signup", F.lit("")).otherwise(F.col("message")))
-    ST.quarantine_job(stream, ok_p, err_p, ck)
-    ok = spark.read.parquet(ok_p).select(F.lit("accepted").alias("status"))
-    bad = spark.read.parquet(err_p).select(F.col("error").alias("status"))
+    ST.quarantine_job(stream, f"{out}/ok", f"{out}/err", ck)
+    ok = spark.read.parquet(f"{out}/ok").select(F.lit("accepted").alias("status"))
+    bad = spark.read.parquet(f"{out}/err").select(F.col("error").alias("status"))
     return ok.unionByName(bad).groupBy("status").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+
+
+@register("stream_learned_candidates", "T5", _tok_sql(S.msg_stream_sql()) + """
+SELECT token, CAST(count(*) AS BIGINT) AS freq FROM lt
+WHERE s_lemma IS NULL AND l_lemma IS NULL GROUP BY token""")
+def stream_learned_candidates(spark, sf):
+    stream, out, ck = _scratch(spark, sf, "candidates")
+    ST.learned_candidates_job(stream, LX.verb_forms_df(spark), LX.read_learned(spark), out, ck)
+    return ST.read_candidates(spark, out)

@@ -9,9 +9,9 @@ boundary groups (RE2 has no look-arounds).  Only the literal data is shared.
 from __future__ import annotations
 
 from ..functions import lexicon as L
-from ..functions.text import SPECIAL_TRANSLIT
 from ..sources.lexicon_io import shipped_learned_map
 from ..sources.phrases import PHRASES
+from ..sources.variants import variants
 
 WS = ("[\\t\\n\\x0b\\x0c\\r\\x1c-\\x1f \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}"
       "\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]")
@@ -25,11 +25,24 @@ def strip(x: str) -> str:
     return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
 
 
+# The oracle's own transliterations, beyond DuckDB's strip_accents.
+ORACLE_TRANSLIT = {
+    "ss": "ß", "ae": "æ", "oe": "œ", "th": "þ", "ng": "ŋ", "o": "øº", "d": "ðđ", "h": "ħ", "i": "ı", "l": "ł", "a": "ª",
+    "'": "‘’′", '"': "“”″", ",": "‚", ",,": "„", "-": "‐‑‒–−", "--": "—―", "...": "…", "<<": "«", ">>": "»",
+    "<": "‹", ">": "›", "?": "¿", "!": "¡", "*": "•·", "x": "×", "/": "÷", "(c)": "©", "(r)": "®", "eur": "€",
+    "ps": "£", "deg": "°", "1/2": "½", "1/4": "¼", "3/4": "¾", "2": "²", "3": "³", "1": "¹", "tm": "™",
+    " ": "\u00a0\u2002\u2003\u2009\u202f\u3000",
+}
+
+
 def norm(x: str) -> str:
-    out = f"strip_accents(lower({x}))"
-    for s, r in SPECIAL_TRANSLIT:
-        out = f"replace({out}, {q(s)}, {q(r)})"
-    return out
+    """lower, accents off, own table, and whatever is not ASCII then goes."""
+    one = {ch: r for r, chars in ORACLE_TRANSLIT.items() for ch in chars if len(r) == 1}
+    out = f"translate(strip_accents(lower({x})), {q(''.join(one))}, {q(''.join(one.values()))})"
+    for r, chars in ORACLE_TRANSLIT.items():
+        for ch in chars if len(r) > 1 else "":
+            out = f"replace({out}, {q(ch)}, {q(r)})"
+    return f"regexp_replace({out}, '[^\\x00-\\x7F]+', '', 'g')"
 
 
 def toks(x: str) -> str:
@@ -87,6 +100,14 @@ def msg_stream_sql(blank_signups: bool = False) -> str:
             f"ON ((e.event_id * e.event_id + e.user_id) % 37) = ph.idx")
 
 
+def msg_variants_sql() -> str:
+    rows = ", ".join(f"({i}, {q(m)})" for i, m in enumerate(variants()))
+    n = len(variants())
+    return (f"SELECT e.event_id AS msg_id, e.user_id AS sender, e.ts, e.event_type, v.message "
+            f"FROM events e JOIN (VALUES {rows}) AS v(idx, message) "
+            f"ON ((e.event_id % {n}) * 13 + e.user_id % {n}) % {n} = v.idx")
+
+
 def msg_conv_sql() -> str:
     return ("SELECT conv_id, turn, conv_id * 1000000 + turn AS msg_id, text AS message "
             "FROM conversations WHERE role = 'user'")
@@ -96,8 +117,8 @@ def msg_docs_sql() -> str:
     return "SELECT doc_id AS msg_id, text AS message, lang, source FROM documents"
 
 
-def verb_values() -> str:
-    rows = ", ".join(f"({q(f)}, {q(lm)})" for _, f, lm in L.verb_forms())
+def verb_values(extra: dict[str, str] | None = None) -> str:
+    rows = ", ".join(f"({q(f)}, {q(lm)})" for f, lm in {**L.verb_map(), **(extra or {})}.items())
     return f"(VALUES {rows}) AS vf(form, lemma)"
 
 
@@ -106,14 +127,10 @@ def learned_values() -> str:
     return f"(VALUES {rows}) AS lf(form, lemma)"
 
 
-def infinitive_list() -> list[str]:
-    return L.infinitives()
-
-
-def features_cte(src_sql: str) -> str:
+def features_cte(src_sql: str, extra: dict[str, str] | None = None) -> str:
     """CTEs base -> feat: msg columns + m (stripped), norm, toks, nw,
-    lemma_text, has_verb."""
-    inf = ", ".join(q(x) for x in infinitive_list())
+    lemma_text, has_verb.  ``extra`` adds forms to the static lexicon."""
+    inf = ", ".join(q(x) for x in [*L.infinitives(), *(extra or {}).values()])
     return f"""
 src AS ({src_sql}),
 base AS (SELECT *, {strip("coalesce(CAST(message AS VARCHAR), '')")} AS m FROM src),
@@ -121,7 +138,7 @@ nrm AS (SELECT *, {norm("m")} AS norm FROM base),
 tk AS (SELECT *, {toks("norm")} AS toks FROM nrm),
 un AS (SELECT msg_id, UNNEST(toks) AS tok, UNNEST(generate_series(1, len(toks))) AS pos FROM tk),
 lm AS (SELECT un.msg_id, un.pos, coalesce(vf.lemma, lf.lemma, un.tok) AS lemma
-       FROM un LEFT JOIN {verb_values()} ON un.tok = vf.form
+       FROM un LEFT JOIN {verb_values(extra)} ON un.tok = vf.form
                LEFT JOIN {learned_values()} ON un.tok = lf.form),
 lagg AS (SELECT msg_id, string_agg(lemma, ' ' ORDER BY pos) AS lemma_text,
                 bool_or(lemma IN ({inf})) AS has_verb,
@@ -178,7 +195,7 @@ def language_sql(o: str = "m") -> str:
     return f"(CASE WHEN {en} AND NOT {pt} THEN 'en' ELSE 'pt' END)"
 
 
-def rule_conditions(o="m", n="norm", nw="nw", lt="lemma_text", hv="has_verb") -> list[tuple[str, str]]:
+def rule_conditions(o="m", n="norm", nw="nw", lt="lemma_text", hv="has_verb", extra=None) -> list[tuple[str, str]]:
     ns = strip(n)
     short = f"(length({o}) <= 15 AND {nw} <= 2)"
     long_conv = f"(length({o}) > 100 AND {nw} > 15 AND {anyc(n, L.LONG_CONV_TERMS)})"
@@ -224,7 +241,7 @@ def rule_conditions(o="m", n="norm", nw="nw", lt="lemma_text", hv="has_verb") ->
         ("R30", anyc(n, L.GENERIC_HELP)),
         ("R31", f"{anyc(n, L.GREETING_QUESTIONS)} AND {c(o, '?')}"),
         ("R32", anyc(n, L.HYPOTHETICALS)),
-        ("R33", f"{anyc(n, L.COMMAND_OBJECTS)} AND {anyc(lt, infinitive_list())} AND NOT "
+        ("R33", f"{anyc(n, L.COMMAND_OBJECTS)} AND {anyc(lt, [*L.infinitives(), *(extra or {}).values()])} AND NOT "
                 f"{c(o, '?')} AND NOT {anyc(n, L.ABSTRACT_WORDS)}"),
         ("R34", f"(length({o}) <= 80 AND ends_with({o}, '?')) OR {word_re(n, L.FACTUAL_TERMS)}"),
         ("R35", question_sql(o)),
@@ -240,8 +257,8 @@ def rule_conditions(o="m", n="norm", nw="nw", lt="lemma_text", hv="has_verb") ->
     ]
 
 
-def rule_case() -> str:
-    return "CASE " + " ".join(f"WHEN {cond} THEN {q(rid)}" for rid, cond in rule_conditions()) + " END"
+def rule_case(extra: dict[str, str] | None = None) -> str:
+    return "CASE " + " ".join(f"WHEN {cond} THEN {q(rid)}" for rid, cond in rule_conditions(extra=extra)) + " END"
 
 
 def bucket_case(rule: str = "rule_id") -> str:
@@ -300,12 +317,12 @@ def scopes_sql(n: str = "norm") -> str:
             f"ELSE {tail} END")
 
 
-def triage_ctes(src_sql: str) -> str:
+def triage_ctes(src_sql: str, extra: dict[str, str] | None = None) -> str:
     """features -> cls (rule_id, bucket0, reason0) -> tri (bucket, reasons, scope)."""
     reclass = f"len({toks('m')}) <= {L.RECLASSIFY_MAX_WORDS}"
     pre, post = L.REASONS["RECLASSIFIED"].split("{}")
-    return features_cte(src_sql) + f""",
-r1 AS (SELECT *, {rule_case()} AS rule_id FROM feat),
+    return features_cte(src_sql, extra) + f""",
+r1 AS (SELECT *, {rule_case(extra)} AS rule_id FROM feat),
 cls AS (SELECT *, {bucket_case()} AS bucket0, {reason_case()} AS reason0 FROM r1),
 sc AS (SELECT *, CASE WHEN bucket0 = 'system' THEN {scopes_sql()} ELSE []::VARCHAR[] END AS scope0
        FROM cls),

@@ -22,7 +22,7 @@ def get_session(master: str | None = None, app: str = "sortwise",
           .config("spark.sql.adaptive.skewJoin.enabled", "true")
           .config("spark.sql.session.timeZone", "UTC")
           .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-          .config("spark.driver.memory", os.environ.get("SORTWISE_DRIVER_MEMORY", "16g")))
+          .config("spark.driver.memory", os.environ.get("SORTWISE_DRIVER_MEMORY", "8g")))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = b.getOrCreate()
@@ -32,10 +32,13 @@ def get_session(master: str | None = None, app: str = "sortwise",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only when it is unset (local
-    runs, tests) point it at a fresh scratch folder."""
+    """Use the cluster's ``spark.checkpoint.dir``.  Where it is unset, a local session
+    (driver and executors in one process) gets a scratch folder; a cluster must name a
+    folder that driver and executors share."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="sortwise-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)

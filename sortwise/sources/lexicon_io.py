@@ -6,6 +6,7 @@ import json
 import os
 from functools import lru_cache
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ def shipped_learned_map() -> dict[str, str]:
 
 
 def verb_forms_df(spark: SparkSession) -> DataFrame:
-    """Static lexicon (pos, form, lemma), generated from conjugation rules."""
+    """Static lexicon (pos, form, lemma)."""
     return spark.createDataFrame(L.verb_forms(), "pos int, form string, lemma string")
 
 
@@ -49,32 +50,48 @@ def lexicon_df(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "lexicon string, pos int, literal string")
 
 
+def _missing(error: AnalysisException) -> bool:
+    return error.getCondition() == "PATH_NOT_FOUND"
+
+
 def read_learned(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """A learned lexicon written as one JSON object {form: lemma}; a
-    missing file gives an empty table.  The JSON source reads the object as a
-    map column, exploded into rows."""
-    path = path or SHIPPED_LEARNED
-    if not os.path.exists(path):
+    """A learned lexicon written as one JSON object {form: lemma}, at any path that
+    Spark reads; without a path the shipped one, which the driver reads.  A path that
+    does not exist gives an empty table; any other failure is raised."""
+    if path is None:
+        return spark.createDataFrame(sorted(shipped_learned_map().items()), LEARNED_SCHEMA)
+    try:
+        raw = spark.read.text(path, wholetext=True)
+    except AnalysisException as e:
+        if not _missing(e):
+            raise
         return spark.createDataFrame([], LEARNED_SCHEMA)
-    raw = spark.read.option("multiLine", "true").text(path, wholetext=True)
-    return (raw.select(F.explode(F.from_json("value", "map<string,string>")).alias("form", "lemma")))
+    return raw.select(F.explode(F.from_json("value", "map<string,string>")).alias("form", "lemma"))
+
+
+def _versions(spark: SparkSession, root: str) -> list[str]:
+    """Names of the version folders under ``root``, by the file system of its URI."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    names = (s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory())
+    return sorted(n for n in names if n.startswith("v="))
 
 
 def read_learned_versioned(spark: SparkSession, root: str) -> DataFrame:
     """Latest version written by ``save_learned`` (parquet), else empty."""
-    if not os.path.isdir(root):
-        return spark.createDataFrame([], LEARNED_SCHEMA)
-    versions = sorted(d for d in os.listdir(root) if d.startswith("v="))
+    versions = _versions(spark, root)
     if not versions:
         return spark.createDataFrame([], LEARNED_SCHEMA)
-    return spark.read.parquet(os.path.join(root, versions[-1]))
+    return spark.read.schema(LEARNED_SCHEMA).parquet(f"{root}/{versions[-1]}")
 
 
 def save_learned(df: DataFrame, root: str, version: int) -> str:
     """Write the learned lexicon sorted by form as a new version directory
     (one batch per run); earlier versions stay readable."""
-    path = os.path.join(root, f"v={version:06d}")
-    df.select("form", "lemma").orderBy("form").coalesce(1).write.mode("errorifexists").parquet(path)
+    path = f"{root}/v={version:06d}"
+    df.select("form", "lemma").orderBy("form").write.mode("errorifexists").parquet(path)
     return path
 
 

@@ -15,9 +15,11 @@ WEBHOOK_SCHEMA = "`from` string, message string, _corrupt string"
 
 
 def parse_payloads(df: DataFrame, json_col: str = "payload") -> DataFrame:
-    """JSON text -> typed request.  PERMISSIVE parsing keeps malformed
-    text in ``_corrupt``; a missing message becomes '' and is stripped like
-    the reference's str(message).strip()."""
+    """JSON text -> typed request.  A missing message becomes '' and is stripped.
+
+    Malformed text is kept in ``corrupt``.  ``reject_reason`` tells requests that are
+    refused before triage: MALFORMED, or NO_PAYLOAD for null, empty, ``null`` and an
+    empty object; ``rejected`` is true for both."""
     p = F.from_json(F.col(json_col), PAYLOAD_SCHEMA,
                     {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
     return (df.withColumn("_p", p)
@@ -25,11 +27,19 @@ def parse_payloads(df: DataFrame, json_col: str = "payload") -> DataFrame:
               .withColumn("ctx", F.col("_p.ctx"))
               .withColumn("history", F.coalesce(F.col("_p.history"),
                                                 F.array().cast(f"array<{MSG_SCHEMA}>")))
-              .withColumn("rejected", F.col(json_col).isNull() | (F.trim(F.col(json_col)) == "{}")
-                          | (F.trim(F.col(json_col)) == "null"))
+              .withColumn("corrupt", F.col("_p._corrupt"))
+              .withColumn("reject_reason", F.when(
+                  F.col(json_col).isNull() | F.col(json_col).rlike(r"^\s*(\{\s*\}|null)?\s*$"), "NO_PAYLOAD")
+                  .when(F.col("corrupt").isNotNull(), "MALFORMED"))
+              .withColumn("rejected", F.col("reject_reason").isNotNull())
               .drop("_p"))
 
 
+def split_rejected(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(requests to triage, refused ones) of ``parse_payloads``; no row is in both."""
+    return df.where(~F.col("rejected")), df.where("rejected")
+
+
 def parse_webhooks(df: DataFrame, json_col: str = "payload") -> DataFrame:
     """{from, message} -> request with from defaulting to 'unknown', a
     fixed ctx {lang 'pt', temperature 0.3} and an empty history."""
@@ -56,6 +66,20 @@ def split_empty(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.where(~blank), bad
 
 
+#: Payloads that a service refuses, by a number from 0 (fixed values of the test relation).
+REFUSED = ['{"message": "oi", bad', None, "{}", "{ }", "null", "  ", '"texto"']
+
+
+def with_refused(payloads: DataFrame) -> DataFrame:
+    """``payloads`` with the text of every tenth message id, and of the six after it,
+    replaced by one of ``REFUSED``."""
+    place = F.pmod(F.col("msg_id"), F.lit(10))
+    body = F.col("payload")
+    for i, text in enumerate(REFUSED):
+        body = F.when(place == i, F.lit(text)).otherwise(body)
+    return payloads.withColumn("payload", body)
+
+
 def stream_payloads(ms: DataFrame) -> DataFrame:
     """Request JSON for every row of the message stream: 'view' events omit
     the message, ctx varies with the event type, 'error' events carry a

@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-STAGES = ["extracao_ms", "cache_lookup_ms", "normalizacao_ms", "classificacao_ms",
-          "construcao_payload_ms", "total_ms"]
-# share of the request latency attributed to each stage (hits stop after the
-# cache lookup)
-STAGE_SHARES = {"extracao_ms": 0.02, "cache_lookup_ms": 0.08, "normalizacao_ms": 0.10,
-                "classificacao_ms": 0.45, "construcao_payload_ms": 0.35}
+#: Columns of the full result row.
+RESULT = ["msg_id", "mensagem_completa", "texto_normalizado", "classification", "openaiPayload", "webhook", "bucket"]
+
+
+def result_rows(df: DataFrame) -> DataFrame:
+    """S7 layout of an assembled triage: the message as received, its normalised text,
+    the classification, the request payload and where it came from."""
+    return df.select("msg_id", F.col("message").alias("mensagem_completa"), F.col("norm").alias("texto_normalizado"),
+                     F.struct("bucket", "rule_id", "reasons", "scope").alias("classification"),
+                     F.col("payload").alias("openaiPayload"),
+                     F.struct(F.col("sender").cast("string").alias("from"), F.col("ts").alias("received_at")).alias("webhook"),
+                     "bucket")
 
 
 def write_results(df: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -19,23 +25,13 @@ def write_results(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def event_log(df: DataFrame) -> DataFrame:
-    """One record per processed message (bucket, scopes, length, model and
-    per-stage latencies)."""
-    lat = F.col("latency_ms")
-    hit = F.coalesce(F.col("is_hit"), F.lit(False)) if "is_hit" in df.columns else F.lit(False)
-    kv = []
-    for st, share in STAGE_SHARES.items():
-        v = F.round(lat * F.lit(share), 2)
-        if st not in ("extracao_ms", "cache_lookup_ms"):
-            v = F.when(~hit, v)
-        kv += [F.lit(st), v]
-    kv += [F.lit("total_ms"), F.round(lat, 2)]
+    """One record per processed message (bucket, scopes, length, model, and the
+    measured latency of each stage: map<string,double> ``latencies`` of the input)."""
     return df.select("msg_id", "ts", F.lit("preprocessing_result").alias("log_type"),
                      F.col("bucket").alias("classification_bucket"),
                      F.col("scope").alias("scope_found"),
                      F.length("message").alias("original_message_length"),
-                     F.col("model").alias("model_used"),
-                     F.map_filter(F.create_map(*kv), lambda k, v: v.isNotNull()).alias("latencies"))
+                     F.col("model").alias("model_used"), "latencies")
 
 
 def write_event_log(df: DataFrame, path: str) -> None:

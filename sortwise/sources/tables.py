@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .phrases import N_PHRASES, phrases_df
+from .variants import variants, variants_df
 
 DEFAULT_SF_DIR = "/root/testdata/sf0.01"
 
@@ -22,17 +23,37 @@ def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
     return df.select(*columns) if columns else df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy per-row work at least one partition per core.
+#: Session setting: partitions that message relations are dealt over before per-row
+#: work.  Unset (the default) leaves a scan's own partitions, with no shuffle; set it
+#: for input in few row groups, which would otherwise run on few cores.
+SPREAD_CONF = "spark.sortwise.scanPartitions"
+
 
-    A small input (one parquet row group) scans as a single partition, which
-    would run the whole cascade on one core.  Only then is the relation
-    redistributed round-robin; a large input already has at least as many
-    splits as cores and is left untouched (no shuffle)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` round-robin over as many partitions as ``SPREAD_CONF`` says, if it is set."""
+    n = df.sparkSession.conf.get(SPREAD_CONF, None)
+    return df.repartition(int(n)) if n else df
+
+
+def replay_events(spark: SparkSession, sf_dir: str, path: str, files: int = 4, overlap: str = "5 minutes") -> None:
+    """``events`` as ``files`` Parquet files under ``path``, in order of arrival: each holds
+    a stretch of event time, in no order, and a fifth of a stretch's last ``overlap``
+    arrives with the next one."""
+    ev = read(spark, sf_dir, "events")
+    lo, hi = ev.agg(F.min("ts"), F.max("ts")).first()
+    if lo is None:
+        ev.write.parquet(f"{path}/0")
+        return
+    step = (hi - lo) / files
+    late = F.pmod(F.col("event_id"), F.lit(5)) == 0
+    arrives = F.when(late, F.col("ts") + F.expr(f"INTERVAL {overlap}")).otherwise(F.col("ts"))
+    for k in range(files):
+        part = ev
+        if k:
+            part = part.where(arrives >= F.lit(lo + k * step))
+        if k < files - 1:
+            part = part.where(arrives < F.lit(lo + (k + 1) * step))
+        part.orderBy(F.xxhash64("event_id")).coalesce(1).write.parquet(f"{path}/{k}")
 
 
 def phrase_key(event_id, user_id):
@@ -60,6 +81,36 @@ def msg_stream(spark: SparkSession, sf_dir: str, blank_signups: bool = False) ->
     return out
 
 
+def msg_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """msg_id, sender, ts, event_type, message: ``events`` over the fixed table of literal
+    variants (a bounded broadcast)."""
+    n = len(variants())
+    ev = read(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type")
+    idx = F.pmod(F.pmod(F.col("event_id"), F.lit(n)) * 13 + F.pmod(F.col("user_id"), F.lit(n)), F.lit(n))
+    out = ev.withColumn("idx", idx.cast("int")).join(F.broadcast(variants_df(spark)), "idx")
+    return spread(out.select(F.col("event_id").alias("msg_id"), F.col("user_id").alias("sender"), "ts", "event_type",
+                             "message"))
+
+
+#: Fixed values of the test relation: share of a request's latency spent in each stage;
+#: a hit stops after the second.
+STAGE_SHARES = {"extracao_ms": 0.02, "cache_lookup_ms": 0.08, "normalizacao_ms": 0.10,
+                "classificacao_ms": 0.45, "construcao_payload_ms": 0.35}
+HIT_STAGES = ("extracao_ms", "cache_lookup_ms")
+
+
+def with_latencies(df: DataFrame) -> DataFrame:
+    """Test relation: ``latencies`` per stage out of ``latency_ms`` (and ``is_hit``)."""
+    ms = F.col("latency_ms")
+    hit = F.coalesce(F.col("is_hit"), F.lit(False)) if "is_hit" in df.columns else F.lit(False)
+    kv = []
+    for stage, share in STAGE_SHARES.items():
+        spent = F.round(ms * F.lit(share), 2)
+        kv += [F.lit(stage), spent if stage in HIT_STAGES else F.when(~hit, spent)]
+    kv += [F.lit("total_ms"), F.round(ms, 2)]
+    return df.withColumn("latencies", F.map_filter(F.create_map(*kv), lambda k, v: v.isNotNull()))
+
+
 def msg_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns: conv_id, turn, msg_id, message."""
     c = read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")

@@ -9,8 +9,9 @@ session time zone (watermarks need a zoned timestamp).
 
 from __future__ import annotations
 
-import os
+import io
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from ..functions import lexicon as L
 from ..operators import classify as C
 from ..operators import dedupe as K
+from ..operators import reports as A
 from ..operators import tokens as J
 from ..operators.triage import triage
 from ..sources import payloads as SP
@@ -29,17 +31,12 @@ EVENTS_SCHEMA = ("event_id bigint, ts timestamp_ntz, user_id bigint, event_type
                  "value double, props string")
 
 
-def read_table_stream(spark: SparkSession, sf_dir: str, name: str, schema: str,
-                      max_files: int = 1) -> DataFrame:
-    """A parquet table of ``sf_dir`` as a file stream (explicit schema)."""
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-            .option("maxFilesPerTrigger", max_files).parquet(sf_dir))
-
-
-def message_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T-side twin of ``tables.msg_stream``: stream-static join with the fixed
-    37-row phrase dimension (broadcast; bounded)."""
-    ev = read_table_stream(spark, sf_dir, "events", EVENTS_SCHEMA)
+def message_stream(spark: SparkSession, path: str, max_files: int = 1) -> DataFrame:
+    """T-side twin of ``tables.msg_stream`` over the event files below ``path``, at most
+    ``max_files`` a micro-batch: a stream-static join with the fixed 37-row phrase
+    dimension (broadcast; bounded)."""
+    ev = (spark.readStream.schema(EVENTS_SCHEMA).option("recursiveFileLookup", "true")
+          .option("maxFilesPerTrigger", max_files).parquet(path))
     ph = F.broadcast(phrases_df(spark).select("idx", "rule", "message", "final_bucket"))
     return (ev.withColumn("idx", TB.phrase_key(F.col("event_id"), F.col("user_id")).cast("int"))
               .join(ph, "idx")
@@ -57,9 +54,9 @@ def run_available_now(df: DataFrame, path: str, checkpoint: str, mode: str = "ap
 
 
 # T1 -------------------------------------------------------------------------
-def triage_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def triage_stream(stream: DataFrame) -> DataFrame:
     """Streaming triage: the batch projection applied to the stream."""
-    t = triage(message_stream(spark, sf_dir))
+    t = triage(stream)
     return t.select("msg_id", "ts", "event_type", "rule_id", "bucket",
                     F.array_join("reasons", " | ").alias("reasons"),
                     F.array_join("scope", ",").alias("scope"),
@@ -68,92 +65,125 @@ def triage_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # T2 -------------------------------------------------------------------------
 def hourly_metrics(stream: DataFrame, watermark: str = "10 minutes") -> DataFrame:
-    """Windowed service metrics; rows later than the watermark are dropped."""
+    """Service metrics per hour as A1 defines them (an error adds no latency); rows later
+    than the watermark are dropped.  With a column ``is_hit`` also hits and misses."""
     ev = stream.withColumn("event_time", F.col("ts").cast("timestamp"))
-    return (ev.withWatermark("event_time", watermark)
-              .groupBy(F.window("event_time", "1 hour").alias("w"))
-              .agg(F.count(F.lit(1)).alias("requests"),
-                   F.sum((F.col("event_type") == "error").cast("int")).alias("errors"),
-                   F.round(F.avg("latency_ms"), 4).alias("avg_latency_ms"))
-              .select(F.col("w.start").alias("hour"), "requests", "errors", "avg_latency_ms"))
+    err = F.col("event_type") == "error"
+    more = []
+    if "is_hit" in stream.columns:
+        more = [F.sum((~err & F.col("is_hit")).cast("int")).alias("hits"),
+                F.sum((~err & ~F.col("is_hit")).cast("int")).alias("misses")]
+    g = (ev.withWatermark("event_time", watermark)
+           .groupBy(F.window("event_time", "1 hour").alias("w"))
+           .agg(F.count(F.lit(1)).alias("requests"), F.sum(err.cast("int")).alias("errors"),
+                F.sum(F.when(~err, A.micro(F.col("latency_ms"))).otherwise(0)).alias("_lat"), *more))
+    return g.select(F.col("w.start").alias("hour"), "requests", "errors",
+                    A.mean_ms(F.col("_lat"), F.col("requests")).alias("avg_latency_ms"),
+                    *(["hits", "misses"] if more else []))
 
 
 # T3 -------------------------------------------------------------------------
-TTL_OUT = "msg_id long, msg_key string, ts timestamp, is_hit boolean"
-TTL_STATE = "last_miss_us long"
+TTL_OUT = "msg_id long, msg_key string, ts timestamp, event_type string, latency_ms double, is_hit boolean"
+TTL_STATE = "last_miss_us long, rows string"
+
 
+def ttl_fold(ts_us: np.ndarray, last: int | None, ttl_us: int) -> tuple[np.ndarray, int | None]:
+    """Hits of one key's rows in event-time order after a last miss: from a miss, the
+    next one is the first row a TTL later (binary search); what lies between is hits."""
+    hit = np.ones(len(ts_us), dtype=bool)
+    at = 0 if last is None else int(np.searchsorted(ts_us, last + ttl_us))
+    while at < len(ts_us):
+        hit[at], last = False, int(ts_us[at])
+        at = int(np.searchsorted(ts_us, last + ttl_us))
+    return hit, last
 
-def _ttl_fold(key, pdfs, state):
-    """Per key: rows in event-time order; hit iff ts < last miss + TTL.  The
-    state is one number (the last miss); it expires TTL after that miss."""
+
+def _ttl_group(key, pdfs, state):
+    """Rows wait in the state until the watermark has passed them, as earlier ones may
+    still arrive; then they are settled in event-time order, whatever the batches and
+    Arrow chunks they came in."""
     ttl_us = L.CACHE_TTL_SECONDS * K.US
-    if state.hasTimedOut:
-        state.remove()
+    last, kept = state.get if state.exists else (None, None)
+    parts = [] if kept is None else [pd.read_json(io.StringIO(kept), orient="split", dtype=TTL_TYPES, convert_dates=False)]
+    if not state.hasTimedOut:
+        for pdf in pdfs:
+            pdf = pdf.assign(us=pdf["ts"].astype("datetime64[us]").astype("int64"))
+            parts.append(pdf[list(TTL_TYPES)])
+    rows = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({c: [] for c in TTL_TYPES}).astype(TTL_TYPES)
+    rows = rows.sort_values(["us", "msg_id"], kind="stable")
+    wm_ms = state.getCurrentWatermarkMs()
+    ready = rows["us"].to_numpy() < wm_ms * 1000
+    done, wait = rows[ready], rows[~ready]
+    hit, last = ttl_fold(done["us"].to_numpy(), last, ttl_us)
+    if len(done):
+        yield pd.DataFrame({"msg_id": done["msg_id"].to_numpy(), "msg_key": key[0], "ts": pd.to_datetime(done["us"], unit="us"),
+                            "event_type": done["event_type"].to_numpy(), "latency_ms": done["latency_ms"].to_numpy(),
+                            "is_hit": hit})
+    if not len(wait) and (last is None or last + ttl_us <= wm_ms * 1000):
+        if state.exists:
+            state.remove()
         return
-    last = state.get[0] if state.exists else None
-    for pdf in pdfs:
-        pdf = pdf.sort_values(["ts", "msg_id"])
-        ts_us = (pdf["ts"].astype("int64") // 1000).tolist()
-        hits = []
-        for t in ts_us:
-            if last is not None and t < last + ttl_us:
-                hits.append(True)
-            else:
-                last = t
-                hits.append(False)
-        yield pd.DataFrame({"msg_id": pdf["msg_id"].values, "msg_key": key[0],
-                            "ts": pdf["ts"].values, "is_hit": hits})
-    if last is not None:
-        state.update((last,))
-        state.setTimeoutTimestamp(last // 1000 + ttl_us // 1000)
+    state.update((last, wait.to_json(orient="split", index=False, double_precision=15) if len(wait) else None))
+    state.setTimeoutTimestamp(max(wm_ms, (int(wait["us"].iloc[0]) if len(wait) else last + ttl_us) // 1000))
+
+
+TTL_TYPES = {"us": "int64", "msg_id": "int64", "event_type": "object", "latency_ms": "float64"}
 
 
 def ttl_dedupe(stream: DataFrame, watermark: str = "2 hours") -> DataFrame:
-    """Streaming TTL duplicate detection (``applyInPandasWithState``): exact
-    for in-order data within the watermark.  State per key is O(1)."""
+    """Streaming TTL duplicate detection: equals K2 on every row that the watermark has
+    passed.  A key's state is its last miss and the rows not yet passed, so it is bounded
+    by the key's rows within the watermark."""
     p = C.prepare(stream, C.default_lexicon()).withColumn("msg_key", K.message_key())
-    ev = p.select("msg_id", "msg_key", F.col("ts").cast("timestamp").alias("ts"))
+    ev = p.select("msg_id", "msg_key", F.col("ts").cast("timestamp").alias("ts"), "event_type", "latency_ms")
     return (ev.withWatermark("ts", watermark).groupBy("msg_key")
-              .applyInPandasWithState(_ttl_fold, TTL_OUT, TTL_STATE, "append",
+              .applyInPandasWithState(_ttl_group, TTL_OUT, TTL_STATE, "append",
                                       GroupStateTimeout.EventTimeTimeout))
 
 
 # T4 -------------------------------------------------------------------------
-def quarantine_job(stream: DataFrame, ok_path: str, err_path: str, checkpoint: str):
-    """Blank messages to an error sink, the rest triaged to the main sink,
-    both written from one micro-batch (``foreachBatch``)."""
-    prepared = C.prepare(stream, C.default_lexicon())
-
-    def write(batch: DataFrame, batch_id: int) -> None:
+def write_quarantine(batch: DataFrame, batch_id: int, ok_path: str, err_path: str) -> None:
+    """One micro-batch into a folder of its own under each sink; a replay of the batch
+    replaces both, so no row is written twice."""
+    batch.persist()
+    try:
         ok, bad = SP.split_empty(batch)
         triage(ok.drop("norm", "lemmas")).select("msg_id", "bucket", "rule_id") \
-            .write.mode("append").parquet(ok_path)
+            .write.mode("overwrite").parquet(f"{ok_path}/batch={batch_id}")
         bad.select("msg_id", "error", F.col("reply.messages")[0]["content"].alias("reply")) \
-            .write.mode("append").parquet(err_path)
+            .write.mode("overwrite").parquet(f"{err_path}/batch={batch_id}")
+    finally:
+        batch.unpersist()
 
-    q = (prepared.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-                 .trigger(availableNow=True).start())
+
+def quarantine_job(stream: DataFrame, ok_path: str, err_path: str, checkpoint: str):
+    """Blank messages to an error sink, the rest triaged to the main sink,
+    both written from one micro-batch (``foreachBatch``)."""
+    prepared = C.prepare(stream, C.default_lexicon())
+    q = (prepared.writeStream.foreachBatch(lambda b, i: write_quarantine(b, i, ok_path, err_path))
+                 .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     return q
 
 
 # T5 -------------------------------------------------------------------------
+def write_candidates(batch: DataFrame, batch_id: int, root: str) -> None:
+    """The counts that a micro-batch changed, as a folder of its own (a replay replaces it)."""
+    batch.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+
+
+def read_candidates(spark: SparkSession, root: str) -> DataFrame:
+    """Latest count of every token: counts only grow, so it is the greatest."""
+    return (spark.read.schema("token string, freq long, batch int").parquet(root)
+                 .groupBy("token").agg(F.max("freq").alias("freq")))
+
+
 def learned_candidates_job(stream: DataFrame, static: DataFrame, learned: DataFrame,
                            root: str, checkpoint: str):
-    """Unknown tokens with running counts; each micro-batch writes the current
-    counts as a new version directory under ``root``."""
+    """Unknown tokens with running counts (update mode: only counts that changed)."""
     p = C.prepare(stream, C.default_lexicon())
-    tok = J.tokenize(p)
-    s = F.broadcast(static.select(F.col("form").alias("token")))
-    lrn = F.broadcast(learned.select(F.col("form").alias("token")))
-    unknown = tok.join(s, "token", "left_anti").join(lrn, "token", "left_anti")
-    counts = unknown.groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.orderBy("token").write.mode("errorifexists").parquet(
-            os.path.join(root, f"v={batch_id:06d}"))
-
-    q = (counts.writeStream.outputMode("complete").foreachBatch(write)
+    counts = J.unknown_tokens(J.tokenize(p), static, learned)
+    q = (counts.writeStream.outputMode("update").foreachBatch(lambda b, i: write_candidates(b, i, root))
                .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     return q

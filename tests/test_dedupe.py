@@ -51,3 +51,21 @@ def test_classify_distinct_equals_direct(spark):
     j = k1.select("msg_id", "rule_id").join(direct, "msg_id")
     assert j.count() == ms.count()
     assert j.where(F.col("rule_id") != F.col("direct")).count() == 0
+
+
+def test_ttl_hot_key_in_one_hour(spark):
+    """Half of all rows are one text within one hour; others spread over days."""
+    t0 = datetime.datetime(2024, 1, 1)
+    rows = [(i, t0 + datetime.timedelta(seconds=(i * 7919) % 3700), "hot") for i in range(400)]
+    rows += [(400 + i, t0 + datetime.timedelta(seconds=(i * 104729) % 400000), f"k{i % 5}") for i in range(400)]
+    df = spark.createDataFrame(rows, "msg_id long, ts timestamp_ntz, msg_key string")
+    assert {r.msg_id: r.is_hit for r in ttl_hits(df).collect()} == brute_force([(k, ts, m) for m, ts, k in rows])
+
+
+def test_distinct_takes_the_first_request(spark):
+    from sortwise.operators.dedupe import classify_distinct
+    t0 = datetime.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(2, t0, "k", "curriculo"), (1, t0, "k", "currículo"), (3, t0, "k", "CURRICULO")],
+                               "msg_id long, ts timestamp_ntz, msg_key string, message string")
+    out = classify_distinct(df, lambda d: d.withColumn("seen", F.col("message")))
+    assert {r.seen for r in out.collect()} == {"currículo"} and out.count() == 3

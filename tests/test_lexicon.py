@@ -1,4 +1,4 @@
-"""Lexicon data: sizes measured on the reference's tables, conjugation rule."""
+"""Lexicon data: sizes of the fixed tables."""
 import re
 
 from hypothesis import given, strategies as st
@@ -15,7 +15,7 @@ def test_verb_lexicon_sizes():
     assert "subir" in L.infinitives() and "fazer download" in L.infinitives()
 
 
-def test_conjugation_rule_examples():
+def test_verb_form_examples():
     m = L.verb_map()
     assert m["marque"] == "marcar" and m["marquei"] == "marcar"
     assert m["pague"] == "pagar" and m["pago"] == "pagar"

@@ -10,6 +10,7 @@ from sortwise.operators import reports as A
 from sortwise.operators import tokens as J
 from sortwise.sources import lexicon_io as LX
 from sortwise.sources import sinks as SK
+from sortwise.sources import tables as TB
 
 
 def test_learned_lexicon_roundtrip(spark):
@@ -21,6 +22,8 @@ def test_learned_lexicon_roundtrip(spark):
     assert LX.read_learned_versioned(spark, root).count() == 0
     assert spark.read.parquet(os.path.join(root, "v=000001")).count() == 90
     assert LX.read_learned(spark, "/nonexistent/file.json").count() == 0
+    assert LX.read_learned(spark, "file:" + LX.SHIPPED_LEARNED).count() == 90
+    assert LX.read_learned_versioned(spark, "file:" + root).count() == 0
 
 
 def test_lexicon_stats_and_forms_per_lemma(spark):
@@ -68,7 +71,46 @@ def test_results_sink_and_stage_latency(spark):
     SK.write_results(classification_struct(t).select("msg_id", "bucket", "classification"),
                      os.path.join(path, "r"))
     assert spark.read.parquet(os.path.join(path, "r")).count() == 37
-    log = SK.event_log(t.withColumn("latency_ms", F.lit(1.0)).withColumn("ts", F.current_timestamp())
-                       .withColumn("model", F.lit("gpt-4o")))
+    log = SK.event_log(TB.with_latencies(t.withColumn("latency_ms", F.lit(1.0)).withColumn("ts", F.current_timestamp())
+                                         .withColumn("model", F.lit("gpt-4o"))))
     st = {r.stage: r.samples for r in A.stage_latency(log).collect()}
     assert st["total_ms"] == 37 and st["classificacao_ms"] == 37
+
+
+def test_full_result_row(spark):
+    from sortwise.operators.triage import triage
+    from sortwise.sources.phrases import phrases_df
+    df = phrases_df(spark).select(F.col("idx").cast("long").alias("msg_id"), "message", F.lit("a").alias("sender"),
+                                  F.current_timestamp().alias("ts"), F.lit(None).cast(B.CTX_SCHEMA).alias("ctx"),
+                                  F.array().cast(f"array<{B.MSG_SCHEMA}>").alias("history"))
+    rows = SK.result_rows(B.assemble(triage(df)))
+    assert rows.columns == SK.RESULT
+    first = rows.where("msg_id = 3").first()
+    assert first.mensagem_completa == first.texto_normalizado == "documento"
+    assert first.classification.rule_id == "R04" and first.webhook["from"] == "a"
+    assert first.openaiPayload.messages[-1].content == "documento"
+
+
+def test_two_lexicons_in_turn(spark):
+    """Trees belong to the lexicon: a new one never gets those of one that is gone."""
+    import gc
+
+    from sortwise.functions.lemma import Lexicon
+    from sortwise.operators.classify import classify
+    df = spark.createDataFrame([(1, "zorpe o relatorio da Maria")], "msg_id long, message string")
+    for _ in range(3):
+        plain = classify(df, Lexicon({"enviar": "enviar"})).first()
+        gc.collect()
+        added = classify(df, Lexicon({"zorpe": "enviar", "enviar": "enviar"})).first()
+        gc.collect()
+        assert plain.lemmas[0] == "zorpe" and added.lemmas[0] == "enviar"
+        assert plain.rule_id != added.rule_id
+
+
+def test_emoji_and_marks_are_dropped(spark):
+    from sortwise.operators.classify import classify
+    want = {"isso 👍": "R05", "documento 📄": "R04", "criar\ufe0f": "R04", "ok\u200d": "R02"}
+    df = spark.createDataFrame([(i, m) for i, m in enumerate(want)], "msg_id long, message string")
+    assert {r.message: r.rule_id for r in classify(df).collect()} == want
+    nfd = spark.createDataFrame([(1, "reunia\u0303o")], "msg_id long, message string")
+    assert classify(nfd).first().norm == "reuniao"

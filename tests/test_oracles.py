@@ -12,7 +12,11 @@ FAST = ["triage_stream", "triage_conversations", "rule_shadowing", "scopes_strea
         "quality_gate", "first_errors", "reason_top10", "tokens_conversations",
         "lemmatised_tokens_stream", "action_verbs_stream", "ingest_payloads", "ingest_webhooks",
         "quarantine_split", "generation_params_stream", "assembled_payloads_stream",
-        "history_from_conversations", "event_log_stream", "stream_triage"]
+        "history_from_conversations", "event_log_stream", "stream_triage",
+        "triage_lexicon_stream", "normalized_text_variants", "scopes_lexicon_stream",
+        "classify_distinct_variants", "triage_stream_extended", "triage_conversations_joined",
+        "ingest_rejected", "live_keys_stream", "keyword_hits_documents", "service_rollup",
+        "stream_ttl_hits", "stream_hourly_metrics", "stream_learned_candidates"]
 
 
 def _digest(rows):
