@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .host_rules import repeated_words
+from .scratch import map_rows
 from .textvec import WHITE, WHITE_BYTES, mix, slices, span_hashes, word_spans
 
 #: Rows on whose posterior labels the scorer is trained.
@@ -288,4 +289,4 @@ def keep_good(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) ->
             for lo, hi, data, offsets in slices(batch.column(at)):
                 _, score = model.value.judge(data, offsets)
                 yield batch.slice(lo, hi - lo).filter(pa.array(score >= KEEP))
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)

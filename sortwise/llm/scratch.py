@@ -28,3 +28,10 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/sortwise-llm/{uuid.uuid4().hex}/{tag}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def map_rows(docs: DataFrame, run) -> DataFrame:
+    """``docs.mapInArrow`` for a function that returns the columns as they came, whatever
+    their names are."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -136,10 +136,11 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(data, offsets) + self.shift, -40, 40)))
 
 
-def train(texts: list[bytes], labels: np.ndarray, epochs: int = 12, warm: int = 3, batch: int = 200,
+def train(texts: list[bytes], labels: np.ndarray, steps: int = 300, batch: int = 200,
           rate: float = 0.03, decay: float = 0.3, seed: int = 11) -> Model:
     """Joint training by Adam with decay of the vectors, so that words of a single text
-    don't outweigh those that many share; the first ``warm`` epochs average whole texts."""
+    don't outweigh those that many share; the first quarter of the steps, in whole
+    epochs, averages whole texts."""
     model, rng = Model(seed), np.random.default_rng(seed)
     state = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in (("v", model.vectors), ("o", model.out), ("b", model.bias))}
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
@@ -150,6 +151,9 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 12, warm: int =
     cut = np.searchsorted(doc, np.arange(len(texts) + 1))
     weight = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-6), 0.5 / max(1 - labels.mean(), 1e-6))
     step = 0
+    each = -(-len(texts) // batch)
+    epochs = max(4, -(-steps // each))
+    warm = max(1, epochs // 4)
     for epoch in range(epochs):
         order = rng.permutation(len(texts))
         for k in range(0, len(order), batch):
