@@ -1,25 +1,29 @@
 """Cross-entropy difference of matched target and background n-gram models.
 
-Words (``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased) are hashed into one vocabulary that both
-models share; word pairs into ``PAIRS`` cells.  Counts cover every document of
-either corpus: each task counts into dense arrays and sends them in chunks, which
-are summed chunk by chunk as they stream in, so a reducer holds its chunks and
-nothing else, however many tasks there are.  The models are matched: same
-vocabulary, order and smoothing, and the background's counts are scaled to the
-target's number of words, so neither is sharper only for having read more.
-
-p(w) = (c(w) + a) / (N + a V);  p(w | h) = (c(h, w) + m p(w)) / (c(h) + m).
-
-A document's score is the mean over its words of the target's loss less the
-background's (nats; lower: more like the target).  Counts are kept for two folds of
-the ids, and a document is scored by the models of the other fold, as a text that a
-model has counted itself would look like its corpus.  The tables have a fixed size
-and are broadcast (48 MB with the sizes below); collisions share a cell in both
-models alike.
-
-Null and empty texts have no words: losses and score 0.  Repeated rows are scored
-and counted each; empty tables give an empty result; an empty target leaves both
-models uniform over the vocabulary.
+Both models share one vocabulary, the tokens of a public tokenizer file, and one
+assignment of tokens to ``CLASSES`` classes (the earliest merges, which are the most
+frequent tokens, have a class each; the rest are dealt by their id).  They are
+class bigram models:
+
+p(w | h) = p(class of w | class of h) p(w | class of w),
+
+counted exactly, with the same smoothing, over every document of either corpus; their
+size is fixed by the vocabulary, so nothing is pruned, capped or hashed together as
+the corpus grows.  The models are matched: the background's counts are scaled to the
+target's number of tokens, so neither is sharper only for having read more.
+
+Each task counts into dense arrays and sends them in chunks, which are summed chunk
+by chunk as they stream in, so a reducer holds its chunks and nothing else, however
+many tasks there are.  Counts are kept for two folds of the ids, and a document is
+scored by the models of the other fold, as a text that a model has counted itself
+would look like its corpus.  The models are broadcast (18 MB).
+
+A document's score is the mean over its tokens of the target's loss less the
+background's (nats; lower: more like the target).
+
+Null and empty texts have no tokens: losses and score 0.  Repeated rows are scored
+and counted each; an empty table gives an empty result; without any target text the
+target's model is uniform over its classes and over the tokens of a class.
 """
 
 from __future__ import annotations
@@ -28,58 +32,82 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textvec import LOWER, mix, slices, word_hashes
+from .bpe import encoder
+from .textvec import slices
 
-#: Cells of the vocabulary and of word pairs (powers of two).
-WORDS = 1 << 20
-PAIRS = 1 << 21
-#: Smoothing: added count of a word, and weight of p(w) in p(w | h).
+CLASSES = 1024
+#: Tokens with a class of their own.
+OWN = 768
+#: Smoothing: added count of a token or class, and weight of p(class) in p(class | class).
 ADD = 0.1
 WEIGHT = 8.0
 CHUNK = 1 << 16
+FOLDS = 2
 
-_START = np.uint64(0x243F6A8885A308D3)
 
+class Layout:
+    """Where the counts of a corpus stand: tokens, then class pairs (row: the class
+    before, the last one for a text's start)."""
 
-def cells(data: np.ndarray, offsets: np.ndarray):
-    """Word cell, pair cell, context cell and text index of every word; the first word
-    of a text follows a start mark."""
-    words, doc = word_hashes(LOWER[data], offsets)
-    before = np.empty_like(words)
-    if len(words):
-        before[1:] = words[:-1]
-        first = np.append(True, doc[1:] != doc[:-1])
-        before[first] = _START
-    with np.errstate(over="ignore"):
-        pair = mix(before * np.uint64(0x9E3779B97F4A7C15) + words)
-    bits = np.uint64(64 - (WORDS - 1).bit_length())
-    return ((words >> bits).astype(np.int64), (pair >> np.uint64(64 - (PAIRS - 1).bit_length())).astype(np.int64),
-            (before >> bits).astype(np.int64), doc)
+    def __init__(self, size: int):
+        token = np.arange(size)
+        self.size = size
+        self.of = np.where(token < OWN, token, OWN + token % (CLASSES - OWN))
+        self.members = np.bincount(self.of, minlength=CLASSES)
+        self.cells = size + (CLASSES + 1) * CLASSES
 
+    def read(self, ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Class before and class of every token."""
+        own = self.of[ids]
+        before = np.empty_like(own)
+        if len(own):
+            before[1:] = own[:-1]
+            before[np.append(True, doc[1:] != doc[:-1])] = CLASSES
+        return before, own
 
-_COUNTS = "chunk int, counts binary"
-FOLDS = 2
 
+def _tokens(texts: pa.Array, vocabulary: str):
+    """(first row, rows, ids, text of each id) per slice."""
+    enc = encoder(vocabulary)
+    for lo, hi, _, _ in slices(texts):
+        part = ["" if t is None else t for t in texts.slice(lo, hi - lo).to_pylist()]
+        rows, stops = enc.encode(part)
+        upto = np.concatenate([[0], np.cumsum(enc.count[rows])])[stops]
+        doc = np.repeat(np.arange(hi - lo), np.diff(np.concatenate([[0], upto])))
+        yield lo, hi - lo, enc.flat_ids(rows).astype(np.int64), doc
 
-def _fold(id_col: str):
+
+def _fold(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string")) % FOLDS, F.lit(0)).cast("int")
 
 
-def _count(batches):
-    """Chunks of this task's counts: for each fold words, then pairs."""
-    table = np.zeros((FOLDS, WORDS + PAIRS), dtype=np.int32)
-    for batch in batches:
-        folds = batch.column(0).to_numpy(zero_copy_only=False)
-        for lo, hi, data, offsets in slices(batch.column(1)):
-            word, pair, _, doc = cells(data, offsets)
-            mine = folds[lo:hi][doc]
-            for f in range(FOLDS):
-                np.add.at(table[f], word[mine == f], 1)
-                np.add.at(table[f], WORDS + pair[mine == f], 1)
-    yield from _sent(dict(enumerate(table.reshape(-1, CHUNK).astype(np.int64))))
+_COUNTS = "chunk int, counts binary"
+
+
+def _count(vocabulary: str):
+    """Chunks of a task's counts, for each fold background, then target."""
+    def run(batches):
+        layout = Layout(len(encoder(vocabulary).v.token))
+        table = np.zeros((FOLDS, 2, layout.cells), dtype=np.int32)
+        for batch in batches:
+            folds = batch.column(0).to_numpy(zero_copy_only=False)
+            target = batch.column(1).to_numpy(zero_copy_only=False)
+            for lo, n, ids, doc in _tokens(batch.column(2), vocabulary):
+                before, own = layout.read(ids, doc)
+                for f in range(FOLDS):
+                    for corpus in range(2):
+                        take = (folds[lo: lo + n] == f) & (target[lo: lo + n] | (corpus == 0))
+                        at = np.flatnonzero(take[doc])
+                        table[f, corpus, : layout.size] += np.bincount(ids[at], minlength=layout.size).astype(np.int32)
+                        table[f, corpus, layout.size:] += np.bincount(
+                            before[at] * CLASSES + own[at], minlength=layout.cells - layout.size).astype(np.int32)
+        flat = np.zeros(-(-table.size // CHUNK) * CHUNK, dtype=np.int64)
+        flat[: table.size] = table.ravel()
+        yield from _sent(dict(enumerate(flat.reshape(-1, CHUNK))))
+    return run
 
 
 def _sent(chunks: dict[int, np.ndarray]):
@@ -98,65 +126,74 @@ def _sum(batches):
     yield from _sent(held)
 
 
-def corpus_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each fold, the counts of word and pair cells over all of its rows of ``docs``."""
-    parts = FOLDS * (WORDS + PAIRS) // CHUNK
-    summed = (docs.select(_fold(id_col).alias("fold"), F.col(f"`{text_col}`").cast("string").alias("text"))
-              .mapInArrow(_count, _COUNTS).repartition("chunk").mapInArrow(_sum, _COUNTS).collect())
-    table = np.zeros((parts, CHUNK), dtype=np.int64)
+def corpus_counts(docs: DataFrame, target: Column, vocabulary: str, id_col: str = "doc_id",
+                  text_col: str = "text") -> np.ndarray:
+    """Counts by fold and corpus (0: all rows of ``docs``, 1: those where ``target``)."""
+    layout = Layout(len(encoder(vocabulary).v.token))
+    summed = (docs.select(_fold(id_col).alias("fold"), F.coalesce(target, F.lit(False)).alias("target"),
+                          F.col(f"`{text_col}`").cast("string").alias("text"))
+              .mapInArrow(_count(vocabulary), _COUNTS).repartition("chunk").mapInArrow(_sum, _COUNTS).collect())
+    size = FOLDS * 2 * layout.cells
+    flat = np.zeros(-(-size // CHUNK) * CHUNK, dtype=np.int64)
     for k, raw in summed:
-        table[k] = np.frombuffer(zlib.decompress(raw), dtype=np.int64)
-    return [(t[:WORDS], t[WORDS:]) for t in table.reshape(FOLDS, -1)]
+        flat[k * CHUNK: (k + 1) * CHUNK] = np.frombuffer(zlib.decompress(raw), dtype=np.int64)
+    return flat[:size].reshape(FOLDS, 2, layout.cells)
 
 
 class Model:
-    """Smoothed probabilities out of (scaled) counts."""
+    """Log probabilities out of (scaled) counts."""
 
-    def __init__(self, words: np.ndarray, pairs: np.ndarray, scale: float = 1.0):
-        self.words = (words * scale).astype(np.float32)
-        self.pairs = (pairs * scale).astype(np.float32)
-        self.total = float(words.sum() * scale)
+    def __init__(self, counts: np.ndarray, layout: Layout, scale: float = 1.0):
+        token = counts[: layout.size] * scale
+        pairs = (counts[layout.size:] * scale).reshape(CLASSES + 1, CLASSES)
+        own = np.bincount(layout.of, weights=token, minlength=CLASSES)
+        p_class = (own + ADD) / (own.sum() + ADD * CLASSES)
+        given = (pairs + WEIGHT * p_class) / (pairs.sum(axis=1, keepdims=True) + WEIGHT)
+        self.pair = -np.log(given).astype(np.float32)
+        self.token = -np.log((token + ADD) / (own + ADD * layout.members)[layout.of]).astype(np.float32)
 
-    def loss(self, word, pair, context) -> np.ndarray:
-        """Negative log probability of each word after its context."""
-        p = (self.words[word] + ADD) / (self.total + ADD * WORDS)
-        return -np.log((self.pairs[pair] + WEIGHT * p) / (self.words[context] + WEIGHT))
+    def loss(self, ids, before, own) -> np.ndarray:
+        return self.pair[before, own].astype(np.float64) + self.token[ids]
 
 
-def matched_models(target: tuple, background: tuple) -> tuple[Model, Model]:
-    scale = target[0].sum() / max(int(background[0].sum()), 1)
-    return Model(*target), Model(*background, scale=float(scale))
+def matched_models(counts: np.ndarray, layout: Layout) -> list[tuple[Model, Model]]:
+    """(target, background) of each fold."""
+    out = []
+    for every, target in counts:
+        scale = target[: layout.size].sum() / max(int(every[: layout.size].sum()), 1)
+        out.append((Model(target, layout), Model(every, layout, float(scale))))
+    return out
 
 
-_SCORES = "doc_id long, n_words long, target_loss double, background_loss double, score double"
+_SCORES = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
 
 
-def _score(models):
+def _score(models, vocabulary: str):
     def run(batches):
-        pairs = models.value
+        layout, folded = Layout(len(encoder(vocabulary).v.token)), models.value
         for batch in batches:
             folds = batch.column(1).to_numpy(zero_copy_only=False)
-            for lo, hi, data, offsets in slices(batch.column(2)):
-                word, pair, context, doc = cells(data, offsets)
-                n = np.bincount(doc, minlength=hi - lo)
-                other = 1 - folds[lo:hi][doc]
-                loss = np.zeros((2, len(word)))
+            for lo, n, ids, doc in _tokens(batch.column(2), vocabulary):
+                before, own = layout.read(ids, doc)
+                other = 1 - folds[lo: lo + n][doc]
+                loss = np.zeros((2, len(ids)))
                 for f in range(FOLDS):
                     at = np.flatnonzero(other == f)
-                    for k, model in enumerate(pairs[f]):
-                        loss[k, at] = model.loss(word[at], pair[at], context[at])
-                t, b, d = (np.bincount(doc, weights=x, minlength=hi - lo) / np.maximum(n, 1)
-                           for x in (*loss, loss[0] - loss[1]))
+                    for k, model in enumerate(folded[f]):
+                        loss[k, at] = model.loss(ids[at], before[at], own[at])
+                count = np.bincount(doc, minlength=n)
+                t, b, d = (np.bincount(doc, weights=x, minlength=n) / np.maximum(count, 1) for x in (*loss, loss[0] - loss[1]))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(t), pa.array(b), pa.array(d)],
+                    [batch.column(0).slice(lo, n), pa.array(count, pa.int64()), pa.array(t), pa.array(b), pa.array(d)],
                     names=[f.split()[0] for f in _SCORES.split(", ")])
     return run
 
 
-def scores(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, target_loss, background_loss, score of every row of ``docs``; the
-    background is ``docs``, the target corpus the rows of ``target``."""
-    counted = zip(corpus_counts(target, id_col, text_col), corpus_counts(docs, id_col, text_col), strict=True)
-    held = docs.sparkSession.sparkContext.broadcast([matched_models(t, b) for t, b in counted])
+def scores(docs: DataFrame, target: Column, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss, score of every row of ``docs``; the
+    background is all of ``docs``, the target corpus its rows where ``target`` holds."""
+    counts = corpus_counts(docs, target, vocabulary, id_col, text_col)
+    held = docs.sparkSession.sparkContext.broadcast(
+        matched_models(counts, Layout(len(encoder(vocabulary).v.token))))
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), _fold(id_col).alias("fold"),
-                       F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(_score(held), _SCORES)
+                       F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(_score(held, vocabulary), _SCORES)

@@ -33,10 +33,12 @@ def query(sql: str | None = None):
 
 @query()
 def op1_lm_scoring(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 AND toxic = 0").select("doc_id").distinct()
-    # labels grow with the documents: the join shuffles both sides at every size
-    return lm_scoring.scores(docs, docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left_semi"))
+    """Target: documents labelled good and not toxic.  Labels grow with the documents, so
+    they are joined by a shuffle at every size."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 AND toxic = 0")
+    good = labels.select("doc_id").distinct().withColumn("target", F.lit(True))
+    docs = documents(spark, sf_dir).select("doc_id", "text").join(good.hint("merge"), "doc_id", "left")
+    return lm_scoring.scores(docs, F.col("target"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 @query()
