@@ -7,12 +7,16 @@ import re
 import zlib
 
 import numpy as np
+import public_tokenizers as P
 import pytest
-from llm_cases import components, edge_rows, frame, lower_az, prose, rows_of, words
+from llm_cases import components, edge_rows, frame, prose, rows_of, words
+from tokenizers import Tokenizer
 
 from sortwise.llm import host_rules, lm_scoring, ngram_join, quality, secrets, toxicity
 from sortwise.llm.components import components as spark_components
 
+BYTE = P.path("byte_bpe_50k.json")
+
 
 def near(text, seed, changes):
     w, r = text.split(" "), random.Random(seed)
@@ -263,45 +267,58 @@ def test_toxicity_of_odd_tables(spark):
     assert toxicity.toxicity(frame(spark, []), scorer).count() == 0
 
 
-def brute_scores(docs, target):
-    """Losses with dictionaries for counts; the small vocabulary has no collisions."""
+def brute_scores(docs):
+    """Losses with dictionaries for counts; docs are (row, target)."""
+    lib = Tokenizer.from_file(BYTE)
+    layout = lm_scoring.Layout(50_257)
     fold = lambda i: 0 if i is None else zlib.crc32(str(i).encode()) % 2
-
-    def count(rows):
-        out = [(collections.Counter(), collections.Counter()) for _ in range(2)]
-        for i, t, *_ in rows:
-            w = words(lower_az(t))
-            out[fold(i)][0].update(w)
-            out[fold(i)][1].update(zip([None, *w], w, strict=False))
-        return out
-    ct, cb = count(target), count(docs)
+    read = [(i, lib.encode(t or "", add_special_tokens=False).ids, target) for (i, t, *_), target in docs]
+    of = lambda w: int(layout.of[w])
+    counts = [[(collections.Counter(), collections.Counter()) for _ in range(2)] for _ in range(2)]
+    for i, ids, target in read:
+        for corpus in (0, 1) if target else (0,):
+            counts[fold(i)][corpus][0].update(ids)
+            counts[fold(i)][corpus][1].update(zip([lm_scoring.CLASSES, *map(of, ids)], map(of, ids), strict=False))
     out = []
-    for i, t, *_ in docs:
-        (tw, tp), (bw, bp) = ct[1 - fold(i)], cb[1 - fold(i)]
-        scale = sum(tw.values()) / max(sum(bw.values()), 1)
-        w = words(lower_az(t))
+    for i, ids, _ in read:
+        every, target = counts[1 - fold(i)]
+        scale = sum(target[0].values()) / max(sum(every[0].values()), 1)
         loss = []
-        for uni, pair, s in ((tw, tp, 1.0), (bw, bp, scale)):
-            total, sums = sum(uni.values()) * s, 0.0
-            for h, x in zip([None, *w], w, strict=False):
-                p = (uni[x] * s + lm_scoring.ADD) / (total + lm_scoring.ADD * lm_scoring.WORDS)
-                sums -= math.log((pair[h, x] * s + lm_scoring.WEIGHT * p) / ((uni[h] if h else 0) * s + lm_scoring.WEIGHT))
-            loss.append(sums / max(len(w), 1))
-        out.append((i, len(w), *loss, loss[0] - loss[1]))
+        for (token, pair), s in ((target, 1.0), (every, scale)):
+            own, ctx, total = collections.Counter(), collections.Counter(), 0.0
+            for w, n in token.items():
+                own[of(w)] += n * s
+                total += n * s
+            for (h, _), n in pair.items():
+                ctx[h] += n * s
+            sums, h = 0.0, lm_scoring.CLASSES
+            for w in ids:
+                c = of(w)
+                p_class = (own[c] + lm_scoring.ADD) / (total + lm_scoring.ADD * lm_scoring.CLASSES)
+                p = (pair[h, c] * s + lm_scoring.WEIGHT * p_class) / (ctx[h] + lm_scoring.WEIGHT)
+                p *= (token[w] * s + lm_scoring.ADD) / (own[c] + lm_scoring.ADD * layout.members[c])
+                sums -= math.log(p)
+                h = c
+            loss.append(sums / max(len(ids), 1))
+        out.append((i, len(ids), *loss, loss[0] - loss[1]))
     return out
 
 
 def test_lm_scores(spark):
-    # without the longest text, whose many pairs share cells with others
-    docs = [r for r in edge_rows() if r[0] != 6] + [(100 + i, prose(i, 40), "en", "a", 1) for i in range(40)]
-    target = [(500 + i, prose(i, 60), "en", "a", 1) for i in range(20)]
-    got = {str(r[:2]): r[2:] for r in map(tuple, lm_scoring.scores(frame(spark, docs), frame(spark, target)).collect())}
-    for i, n, *want in brute_scores(docs, target):
-        assert np.allclose(got[str((i, n))], want, rtol=2e-3, atol=2e-3), (i, n)
+    rows = edge_rows() + [(100 + i, prose(i, 40), "en", "a", 1) for i in range(40)]
+    docs = [(r, k % 3 == 0) for k, r in enumerate(rows)]
+    df = frame(spark, rows).coalesce(1)
+    chosen = {r[0] for r, t in docs if t and r[0] is not None}
+    docs = [(r, r[0] in chosen) for r, _ in docs]
+    got = {str(r[:2]): r[2:] for r in map(tuple, lm_scoring.scores(df.repartition(3), df.doc_id.isin(chosen), BYTE).collect())}
+    assert len(rows) - 1 == len(got)  # one row is a repetition
+    for i, n, *want in brute_scores(docs):
+        assert np.allclose(got[str((i, n))], want, rtol=1e-4, atol=1e-4), (i, n)
 
 
 def test_lm_scores_of_odd_tables(spark):
+    from pyspark.sql import functions as F
     docs = edge_rows()
-    assert lm_scoring.scores(frame(spark, []), frame(spark, docs)).count() == 0
-    got = lm_scoring.scores(frame(spark, docs), frame(spark, [])).collect()
-    assert len(got) == len(docs) and all(r.score == 0 for r in got if r.n_words == 0)
+    assert lm_scoring.scores(frame(spark, []), F.lit(True), BYTE).count() == 0
+    got = lm_scoring.scores(frame(spark, docs), F.lit(None).cast("boolean"), BYTE).collect()
+    assert len(got) == len(docs) and all(r.score == 0 for r in got if r.n_tokens == 0)
