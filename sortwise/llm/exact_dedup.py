@@ -27,7 +27,7 @@ from .scratch import materialise
 from .textvec import WHITE_BYTES, utf8
 
 #: Counters of a Misra-Gries summary; also the most rows that are broadcast.
-COUNTERS = 256
+COUNTERS = 4096
 
 _DIGEST = T.StructType([T.StructField("_id", T.LongType()), T.StructField("_sha", T.StringType()),
                         T.StructField("_points", T.LongType())])
