@@ -16,8 +16,11 @@ without words has the empty set and links with nothing.  Two texts link when
    about ``BLOCK`` rows.  Sorted blocks are streamed: shingles of one node go; every
    other row is paired with its block's leader and its predecessor, if what the
    filters say of any shared shingle allows it, and with nothing else.  So a block of k near copies gives under 2k pairs.
+   Of these, pairs that enough of their prefix proposes are verified.
 4. Pairs are verified on whole sets, once each; links give components.
-5. Shingles that still connect different components are joined on the shingle,
+5. Components that meet in blocks are contracted: each pairs with the largest
+   component of its blocks, two pairs of documents for a pair of components.
+6. Shingles that still connect different components are joined on the shingle,
    all pairs of rows from different components that pass the filters; those not yet
    verified are verified.  Every pair of linked texts is thus either verified or
    inside one component already, so no link is lost.
@@ -45,6 +48,10 @@ CHUNK = 4 << 20
 HEAVY = 1 << 18
 #: Rows of a salted block of a frequent shingle.
 BLOCK = 20_000
+#: Share of a document's prefix that must propose a pair before the last pass.
+SUPPORT = 0.15
+#: Contractions of components before the last pass.
+ROUNDS = 2
 #: Bits of the broadcast filter of nodes whose texts are wanted (1 MB).
 FILTER_BITS = 23
 
@@ -209,6 +216,16 @@ def possible(n1, p1, s1, n2, p2, s2):
     return (5 * np.minimum(n1, n2) >= 4 * np.maximum(n1, n2)) & (most >= need)
 
 
+def _possible_sql(a, b):
+    """``possible`` for two row structs."""
+    need = F.floor((4 * (a["n"] + b["n"]) + 8) / 9)
+    most = F.least(a["pos"], b["pos"]) + 1
+    for c in range(4):
+        most = most + F.least(F.shiftright(a["suffix"], 16 * c).bitwiseAND(0xFFFF),
+                              F.shiftright(b["suffix"], 16 * c).bitwiseAND(0xFFFF))
+    return (5 * F.least(a["n"], b["n"]) >= 4 * F.greatest(a["n"], b["n"])) & (most >= need)
+
+
 def _allowed_sql(a: str, b: str):
     """The same filters as a join condition."""
     n1, n2 = F.col(f"{a}.n"), F.col(f"{b}.n")
@@ -281,10 +298,38 @@ def _blocks(batches):
             names=names)
 
 
+def _enough(support, n):
+    """Whether so many shingles are enough of the prefix of a set of size n."""
+    return support >= SUPPORT * (n - F.ceil(0.8 * n) + 1)
+
+
 def _pairs(rows: DataFrame) -> DataFrame:
-    """Distinct (a, b) with a < b out of rows with node, leader, before."""
-    both = rows.select("node", F.explode(F.array("leader", "before")).alias("other")).where("other IS NOT NULL")
-    return both.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    """Distinct (a, b) with a < b out of rows with node, n, leader, before."""
+    both = rows.select("node", "n", F.explode(F.array_distinct(F.array("leader", "before"))).alias("other"))
+    return (both.where("other IS NOT NULL")
+                .groupBy(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+                .agg(F.count(F.lit(1)).alias("support"), F.min("n").alias("n"))
+                .where(_enough(F.col("support"), F.col("n"))).select("a", "b"))
+
+
+def _contracted(placed: DataFrame) -> DataFrame:
+    """Pairs (a, b) to verify between each component and the largest one that it shares a
+    block with: two of those that their blocks propose, if enough do.  All aggregations
+    combine on the map side."""
+    row = F.struct("node", "n", "pos", "suffix")
+    per = placed.groupBy("key", "component").agg(
+        F.count(F.lit(1)).alias("size"), F.min_by(row, F.xxhash64("node", "key")).alias("r"))
+    lead = (per.groupBy("key").agg(F.max_by(F.struct("component", "r"), F.struct("size", "component")).alias("l"),
+                                   F.count(F.lit(1)).alias("parts")).where("parts > 1"))
+    met = per.join(lead, "key").select("component", F.col("l.component").alias("other"), "r", F.col("l.r").alias("o"))
+    met = met.where((F.col("component") != F.col("other")) & _possible_sql(F.col("r"), F.col("o")))
+    met = met.withColumns({"a": F.least("r.node", "o.node"), "b": F.greatest("r.node", "o.node"), "n": F.col("r.n")})
+    pair = F.struct("a", "b")
+    best = met.groupBy("component", "other").agg(
+        F.count(F.lit(1)).alias("support"), F.min("n").alias("n"),
+        F.min_by(pair, F.xxhash64("a", "b")).alias("p"), F.min_by(pair, F.xxhash64("b", "a")).alias("q"))
+    chosen = best.where(_enough(F.col("support"), F.col("n"))).select(F.explode(F.array("p", "q")).alias("p"))
+    return chosen.select("p.a", "p.b").distinct()
 
 
 def _wanted(nodes: DataFrame) -> np.ndarray:
@@ -364,18 +409,31 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = materialise(
         source.mapInArrow(_prefixes(heavy), _ROWS).repartition("key", "salt")
               .sortWithinPartitions("key", "salt", "n", "node").mapInArrow(_blocks, _SHARED), "shared")
-    first = materialise(_pairs(shared), "pairs")
-    links = verified(first, source)
-    known = components(links)
-    placed = materialise(shared.drop("leader", "before").join(known, "node", "left")
-                         .withColumn("component", F.coalesce("component", "node")), "placed")
+    tried = materialise(_pairs(shared), "pairs")
+    links = verified(tried, source)
+    rows_only = shared.drop("leader", "before")
+
+    def place(links):
+        return materialise(rows_only.join(components(links), "node", "left")
+                           .withColumn("component", F.coalesce("component", "node")), "placed")
+
+    placed = place(links)
+    for _ in range(ROUNDS):
+        pairs = materialise(_contracted(placed).join(tried, ["a", "b"], "left_anti"), "contracted")
+        if pairs.isEmpty():
+            break
+        found = verified(pairs, source)
+        tried, links = tried.unionByName(pairs), links.unionByName(found)
+        if found.isEmpty():
+            break
+        placed = place(links)
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
     open_rows = materialise(placed.join(mixed.select("key"), "key", "left_semi"), "open")
     a, b = open_rows.alias("a"), open_rows.alias("b")
     apart = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node"))
                    & (F.col("a.component") != F.col("b.component")) & _allowed_sql("a", "b"))
     more = apart.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
-    more = materialise(more.join(first, ["a", "b"], "left_anti"), "more")
+    more = materialise(more.join(tried, ["a", "b"], "left_anti"), "more")
     found = components(links.unionByName(verified(more, source)))
     classed = rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     classed = materialise(classed, "classed")
