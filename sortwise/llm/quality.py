@@ -136,17 +136,16 @@ def em(counts: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
     An abstention is no evidence.  Patterns that no document shows get the posterior of
     the model found."""
     k = len(LABELLERS)
-    every = np.arange(3 ** k)
     some = np.flatnonzero(counts)
     vote, weight = (some[:, None] // _POWERS) % 3, counts[some].astype(np.float64)
     p = np.where((vote == BAD).sum(axis=1) >= 2, 0.05, 0.95)
     table, prior = np.ones((k, 2, 3)), 0.9
 
-    def posterior(vote):
-        z = np.full(len(vote), np.log(prior / (1 - prior)))
+    def posterior(patterns):
+        z = np.full(len(patterns), np.log(prior / (1 - prior)))
         for j in range(k):
             ratio = np.log(table[j, GOOD]) - np.log(table[j, BAD])
-            z += ratio[vote[:, j]]
+            z += ratio[patterns // _POWERS[j] % 3]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
     for _ in range(rounds):
@@ -157,8 +156,8 @@ def em(counts: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
                 own = np.bincount(vote[:, j], weights=weight * q, minlength=3)[:NONE]
                 own = own + np.array([4.0, 1.0] if c == BAD else [1.0, 4.0])
                 table[j, c, :NONE] = own / own.sum()
-        p = posterior(vote)
-    return posterior((every[:, None] // _POWERS) % 3), table
+        p = posterior(some)
+    return posterior(np.arange(3 ** k)), table
 
 
 def buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -199,7 +198,7 @@ class LinearScorer:
     def logits(self, data, offsets) -> np.ndarray:
         return self._logits(*self._read(data, offsets))
 
-    def train(self, texts: list[bytes], target: np.ndarray, epochs: int = 8, batch: int = 100, rate: float = 1.0, seed: int = 5):
+    def train(self, texts: list[bytes], target: np.ndarray, epochs: int = 8, batch: int = 50, rate: float = 1.0, seed: int = 5):
         rng = np.random.default_rng(seed)
         rates = {"weight": rate, "vote": rate / 20}
         state = {k: [np.zeros_like(getattr(self, k)), np.zeros_like(getattr(self, k))] for k in rates}
@@ -253,8 +252,12 @@ def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Classi
     rows = sorted(t.encode() for t in texts.toArrow()["text"].to_pylist())
     if not rows:
         return Classifier(posterior, None)
-    offsets = np.concatenate([[0], np.cumsum([len(t) for t in rows])])
-    target = posterior[votes(np.frombuffer(b"".join(rows), dtype=np.uint8), offsets) @ _POWERS]
+    target = []
+    for k in range(0, len(rows), 100):  # a few texts at a time: the driver is small
+        part = rows[k: k + 100]
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in part])])
+        target.append(posterior[votes(np.frombuffer(b"".join(part), dtype=np.uint8), offsets) @ _POWERS])
+    target = np.concatenate(target)
     if (target < 0.5).all() or (target >= 0.5).all():
         return Classifier(posterior, None)
     return Classifier(posterior, LinearScorer().train(rows, target))
