@@ -136,24 +136,53 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(data, offsets) + self.shift, -40, 40)))
 
 
-def train(texts: list[bytes], labels: np.ndarray, steps: int = 300, batch: int = 200,
+class Corpus:
+    """Distinct words of many texts as subword buckets, and the words of each text; read
+    a few texts at a time, as the driver that holds it is small."""
+
+    def __init__(self, texts: list[bytes], step: int = 200):
+        known = np.zeros(0, dtype=np.uint64)
+        grams, sizes, uses, counts = [], [], [], []
+        for k in range(0, len(texts), step):
+            part = texts[k: k + step]
+            offsets = np.concatenate([[0], np.cumsum([len(t) for t in part])])
+            low = LOWER[np.frombuffer(b"".join(part), dtype=np.uint8)]
+            start, end, doc = trimmed_words(low, offsets)
+            hashes = span_hashes(low, start, end)
+            uniq, first = np.unique(hashes, return_index=True)
+            new = ~np.isin(uniq, known)
+            raw = low.tobytes()
+            words = [raw[a:b] for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)]
+            if words:
+                g, begin = subwords(words)
+                grams.append(g.astype(np.uint16))
+                sizes.append(np.diff(np.append(begin, len(g))))
+                known = np.concatenate([known, uniq[new]])
+            order = np.argsort(known)
+            uses.append(order[np.searchsorted(known, hashes, sorter=order)].astype(np.int32))
+            counts.append(np.bincount(doc, minlength=len(part)))
+        self.grams = np.concatenate(grams) if grams else np.zeros(0, dtype=np.uint16)
+        size = np.concatenate(sizes) if sizes else np.zeros(0, dtype=np.int64)
+        self.stop = np.cumsum(size)
+        self.begin = self.stop - size
+        self.uses = np.concatenate(uses) if uses else np.zeros(0, dtype=np.int32)
+        self.cut = np.concatenate([[0], np.cumsum(np.concatenate(counts))]) if counts else np.zeros(1, dtype=np.int64)
+
+
+def train(texts: list[bytes], labels: np.ndarray, steps: int = 500, batch: int = 100,
           rate: float = 0.03, decay: float = 0.3, seed: int = 11) -> Model:
     """Joint training by Adam with decay of the vectors, so that words of a single text
     don't outweigh those that many share; the first quarter of the steps, in whole
-    epochs, averages whole texts."""
+    epochs, averages whole texts.  The rate falls to nothing."""
     model, rng = Model(seed), np.random.default_rng(seed)
     state = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in (("v", model.vectors), ("o", model.out), ("b", model.bias))}
-    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    words, inverse, doc = distinct_words(data, offsets)
-    grams, begin = subwords(words)
-    stop = np.append(begin[1:], len(grams))
-    cut = np.searchsorted(doc, np.arange(len(texts) + 1))
+    corpus = Corpus(texts)
+    inverse, grams, begin, stop, cut = corpus.uses, corpus.grams, corpus.begin, corpus.stop, corpus.cut
     weight = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-6), 0.5 / max(1 - labels.mean(), 1e-6))
     step = 0
     each = -(-len(texts) // batch)
     epochs = max(4, -(-steps // each))
-    warm = max(1, epochs // 4)
+    warm = -(-epochs // 4)
     for epoch in range(epochs):
         order = rng.permutation(len(texts))
         for k in range(0, len(order), batch):
@@ -201,14 +230,15 @@ def train(texts: list[bytes], labels: np.ndarray, steps: int = 300, batch: int =
             dgram = np.repeat(dvec / asize[:, None], asize, axis=0)
             grad = np.stack([np.bincount(agram, weights=dgram[:, j], minlength=BUCKETS) for j in range(DIM)], axis=1)
             step += 1
-            model.vectors *= 1 - rate * decay
+            now = rate * max(0.02, 1 - step / (each * epochs))
+            model.vectors *= 1 - now * decay
             for name, value, g in (("v", model.vectors, grad), ("o", model.out, p.T @ bag), ("b", model.bias, p.sum(axis=0))):
                 m, s = state[name]
                 m *= 0.9
                 m += 0.1 * g
                 s *= 0.999
                 s += 0.001 * g * g
-                value -= rate * (m / (1 - 0.9 ** step)) / (np.sqrt(s / (1 - 0.999 ** step)) + 1e-8)
+                value -= now * (m / (1 - 0.9 ** step)) / (np.sqrt(s / (1 - 0.999 ** step)) + 1e-8)
     return model
 
 
@@ -216,8 +246,12 @@ def calibrate(model: Model, texts: list[bytes], labels: np.ndarray, threshold: f
     """Scale and shift of the logit such that ``threshold`` stands where weighted errors
     on the held-back rows are fewest (a false alarm counts four times; in the middle of
     the gap, where there is one)."""
-    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    z = Scorer(model).logits(np.frombuffer(b"".join(texts), dtype=np.uint8), offsets)
+    scorer, parts = Scorer(model), []
+    for k in range(0, len(texts), 200):
+        part = texts[k: k + 200]
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in part])])
+        parts.append(scorer.logits(np.frombuffer(b"".join(part), dtype=np.uint8), offsets))
+    z = np.concatenate(parts)
     order = np.argsort(z)
     z, y = z[order], labels[order]
     missed = np.concatenate([[0], np.cumsum(y == 1)]) / max((y == 1).sum(), 1)
