@@ -387,7 +387,8 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b: nodes) that link.  Texts are fetched in one narrow
     pass over ``docs`` (text column last) and meet their pairs in two equi-joins."""
     spark = docs.sparkSession
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    nodes = materialise(pairs.select(F.col("a").alias("node")).unionByName(
+        pairs.select(F.col("b").alias("node"))).distinct(), "nodes")
     wanted = spark.sparkContext.broadcast(_wanted(nodes))
     texts = docs.mapInArrow(_texts(wanted), "node long, text string").join(nodes, "node", "left_semi")
     texts = materialise(texts.dropDuplicates(["node"]), "texts")
