@@ -3,9 +3,10 @@
 A word (white space delimited, outer punctuation off, A-Z lower-cased) is the mean of
 the vectors of its byte 3-, 4- and 5-grams, boundaries marked, and of the whole word,
 all hashed into ``BUCKETS`` rows; a misspelling never seen shares most of them.  A
-text is read in windows of ``WINDOW`` words; a window is the mean of its words, goes
-into a linear softmax, and the text scores as its most toxic window, so a few words
-in a long text are not diluted.  Vectors and softmax are trained jointly in numpy:
+text is read in every window of ``WINDOW`` words in a row (one window, if it is
+shorter); a window is the mean of its words, goes into a linear softmax, and the text
+scores as its most toxic window, so a few words in a long text are not diluted,
+wherever they stand.  Vectors and softmax are trained jointly in numpy:
 first on whole texts, then on each text's highest window.  A quarter of the sample is
 held back to calibrate the score at the decision threshold.
 
@@ -30,8 +31,10 @@ from .textvec import LOWER, slices, span_hashes, word_spans
 BUCKETS = 1 << 16
 DIM = 8
 WINDOW = 12
-#: Words that a shorter window is averaged over at least.
+#: Words that the window of a shorter text is averaged over at least.
 LEAST = 6
+#: Word logits are summed as whole multiples of 1 / STEPS, so a window's sum is exact.
+STEPS = 1 << 30
 POSITIVE, NEGATIVE = 3000, 5000
 THRESHOLD = 0.7
 
@@ -83,14 +86,25 @@ def distinct_words(data: np.ndarray, offsets: np.ndarray):
     return [raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)], inverse, doc
 
 
-def window_index(doc: np.ndarray, n_docs: int):
-    """Window number of every word, and the text of every window."""
-    if not len(doc):
-        return doc, doc
-    first = np.searchsorted(doc, np.arange(n_docs))
-    place = np.arange(len(doc)) - first[doc]
-    new = (place % WINDOW) == 0
-    return np.cumsum(new) - 1, doc[new]
+def best_windows(logit: np.ndarray, doc: np.ndarray, n_docs: int):
+    """Texts with words, and the first word, the end and the mean word logit of each
+    one's highest window (the first of equals)."""
+    stop = np.searchsorted(doc, np.arange(n_docs), side="right")
+    begin = np.append(0, stop[:-1]) if n_docs else stop
+    texts = np.flatnonzero(stop > begin)
+    begin, stop = begin[texts], stop[texts]
+    if not len(texts):
+        return texts, begin, stop, np.zeros(0)
+    upto = np.append(0, np.cumsum(np.rint(logit * STEPS).astype(np.int64)))
+    count = np.maximum(stop - begin - WINDOW + 1, 1)
+    head = np.cumsum(count) - count
+    start = np.arange(count.sum()) + np.repeat(begin - head, count)
+    end = np.minimum(start + WINDOW, np.repeat(stop, count))
+    mean = (upto[end] - upto[start]) / STEPS / np.maximum(end - start, LEAST)
+    high = np.maximum.reduceat(mean, head)
+    at = np.flatnonzero(mean == np.repeat(high, count))
+    top = at[np.searchsorted(at, head)]
+    return texts, start[top], end[top], high
 
 
 class Model:
@@ -105,10 +119,8 @@ class Model:
         """Each bucket's share of the logit of the toxic class against the other."""
         return self.vectors @ (self.out[1] - self.out[0])
 
-    def window_logits(self, grams, begin, inverse, window, count) -> np.ndarray:
-        per = np.add.reduceat(self.weights()[grams], begin) / np.diff(np.append(begin, len(grams)))
-        sums = np.bincount(window, weights=per[inverse], minlength=len(count))
-        return sums / np.maximum(count, LEAST) + self.bias[1] - self.bias[0]
+    def word_logits(self, grams, begin) -> np.ndarray:
+        return np.add.reduceat(self.weights()[grams], begin) / np.diff(np.append(begin, len(grams)))
 
 
 class Scorer:
@@ -122,15 +134,13 @@ class Scorer:
     def logits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         n = len(offsets) - 1
         words, inverse, doc = distinct_words(data, offsets)
-        best = np.full(n, -np.inf)
+        best = np.zeros(n)
         if words:
             grams, begin = subwords(words)
             per = np.add.reduceat(self.weight[grams].astype(np.float64), begin) / np.diff(np.append(begin, len(grams)))
-            window, owner = window_index(doc, n)
-            count = np.bincount(window)
-            logit = np.bincount(window, weights=per[inverse]) / np.maximum(count, LEAST)
-            np.maximum.at(best, owner, logit)
-        return np.where(np.isfinite(best), best, 0.0) + self.bias
+            texts, _, _, high = best_windows(per[inverse], doc, n)
+            best[texts] = high
+        return best + self.bias
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(data, offsets) + self.shift, -40, 40)))
@@ -199,14 +209,9 @@ def train(texts: list[bytes], labels: np.ndarray, steps: int = 500, batch: int =
                 chosen = np.arange(len(mine))
                 group, low = owner, 1
             else:
-                window, text = window_index(owner, len(part))
-                count = np.bincount(window)
-                logit = model.window_logits(sub, first, local, window, count)
-                ranked = np.lexsort((logit, text))
-                top = ranked[np.append(np.diff(text[ranked]) > 0, True)]  # the highest window of each text
-                here = np.zeros(len(count), dtype=bool)
-                here[top] = True
-                chosen = np.flatnonzero(here[window])
+                _, start, end, _ = best_windows(model.word_logits(sub, first)[local], owner, len(part))
+                many = end - start
+                chosen = np.arange(many.sum()) + np.repeat(start - (np.cumsum(many) - many), many)
                 group, low = owner[chosen], LEAST
             # forward and backward over the chosen words
             act, back = np.unique(local[chosen], return_inverse=True)

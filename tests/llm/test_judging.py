@@ -322,3 +322,32 @@ def test_lm_scores_of_odd_tables(spark):
     assert lm_scoring.scores(frame(spark, []), F.lit(True), BYTE).count() == 0
     got = lm_scoring.scores(frame(spark, docs), F.lit(None).cast("boolean"), BYTE).collect()
     assert len(got) == len(docs) and all(r.score == 0 for r in got if r.n_tokens == 0)
+
+
+def toxicity_by_words(weights):
+    """A model whose words weigh what ``weights`` says, all others nothing."""
+    model = toxicity.Model()
+    model.vectors[:], model.out[:] = 0, 0
+    model.out[1, 0] = 1
+    for word, weight in weights.items():
+        model.vectors[toxicity.subwords([word.encode()])[0], 0] = weight
+    return model
+
+
+def test_toxicity_reads_every_window():
+    model = toxicity_by_words({"vile": 3.0})
+    scorer = toxicity.Scorer(model)
+    r = random.Random(2)
+    texts = [" ".join(r.choice(["vile", "0", "1", "2"]) for _ in range(n)) for n in [*range(1, 40), 200]] + ["", " "]
+    raw = [t.encode() for t in texts]
+    offsets = np.cumsum([0, *map(len, raw)])
+    got = scorer.logits(np.frombuffer(b"".join(raw), dtype=np.uint8), offsets)
+    for text, z in zip(texts, got, strict=True):
+        one = [3.0 * (w == "vile") for w in text.split()]
+        spans = [one[i:i + toxicity.WINDOW] for i in range(max(len(one) - toxicity.WINDOW + 1, 1))]
+        assert np.isclose(z, max(sum(s) / max(len(s), toxicity.LEAST) for s in spans), atol=1e-6)
+    cluster = ["0"] * 30
+    cluster[10:14] = ["vile"] * 4  # on both sides of a twelfth word
+    shifted = [" ".join(["1"] * k + cluster).encode() for k in range(13)]
+    data = np.frombuffer(b"".join(shifted), dtype=np.uint8)
+    assert len(set(scorer.logits(data, np.cumsum([0, *map(len, shifted)])).tolist())) == 1
