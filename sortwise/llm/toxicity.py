@@ -182,8 +182,9 @@ class Corpus:
 def train(texts: list[bytes], labels: np.ndarray, steps: int = 500, batch: int = 100,
           rate: float = 0.03, decay: float = 0.3, seed: int = 11) -> Model:
     """Joint training by Adam with decay of the vectors, so that words of a single text
-    don't outweigh those that many share; the first quarter of the steps, in whole
-    epochs, averages whole texts.  The rate falls to nothing."""
+    don't outweigh those that many share; the first half of the steps, in whole epochs,
+    averages whole texts, so that marks of few positives are learnt before the choice of
+    a window can miss them.  The rate falls to nothing."""
     model, rng = Model(seed), np.random.default_rng(seed)
     state = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in (("v", model.vectors), ("o", model.out), ("b", model.bias))}
     corpus = Corpus(texts)
@@ -192,7 +193,7 @@ def train(texts: list[bytes], labels: np.ndarray, steps: int = 500, batch: int =
     step = 0
     each = -(-len(texts) // batch)
     epochs = max(4, -(-steps // each))
-    warm = -(-epochs // 4)
+    warm = -(-epochs // 2)
     for epoch in range(epochs):
         order = rng.permutation(len(texts))
         for k in range(0, len(order), batch):
@@ -248,9 +249,9 @@ def train(texts: list[bytes], labels: np.ndarray, steps: int = 500, batch: int =
 
 
 def calibrate(model: Model, texts: list[bytes], labels: np.ndarray, threshold: float = THRESHOLD) -> None:
-    """Scale and shift of the logit such that ``threshold`` stands where weighted errors
-    on the held-back rows are fewest (a false alarm counts four times; in the middle of
-    the gap, where there is one)."""
+    """Scale and shift of the logit such that ``threshold`` stands where the share of
+    held-back positives missed and that of others taken are least in sum (in the middle
+    of the gap, where there is one)."""
     scorer, parts = Scorer(model), []
     for k in range(0, len(texts), 200):
         part = texts[k: k + 200]
@@ -261,7 +262,7 @@ def calibrate(model: Model, texts: list[bytes], labels: np.ndarray, threshold: f
     z, y = z[order], labels[order]
     missed = np.concatenate([[0], np.cumsum(y == 1)]) / max((y == 1).sum(), 1)
     false = 1 - np.concatenate([[0], np.cumsum(y == 0)]) / max((y == 0).sum(), 1)
-    cost = missed + 4 * false
+    cost = missed + false
     best = np.flatnonzero(cost <= cost.min() + 1e-12)
     edges = np.concatenate([[z[0] - 1], z, [z[-1] + 1]])
     k = max(best, key=lambda i: edges[i + 1] - edges[i])

@@ -351,3 +351,13 @@ def test_toxicity_reads_every_window():
     shifted = [" ".join(["1"] * k + cluster).encode() for k in range(13)]
     data = np.frombuffer(b"".join(shifted), dtype=np.uint8)
     assert len(set(scorer.logits(data, np.cumsum([0, *map(len, shifted)])).tolist())) == 1
+
+
+def test_toxicity_threshold_keeps_a_minority():
+    """Forty of a hundred positives score no higher than fifteen of a hundred others."""
+    model = toxicity_by_words({"vile": 9.0, "rude": 6.0})
+    texts = [b"vile"] * 60 + [b"rude"] * 40 + [b"rude"] * 15 + [b"0"] * 85
+    toxicity.calibrate(model, texts, np.repeat([1, 0], 100))
+    scorer = toxicity.Scorer(model)
+    score = lambda t: scorer.scores(np.frombuffer(t, dtype=np.uint8), np.array([0, len(t)]))[0]
+    assert score(b"vile") > score(b"rude") >= toxicity.THRESHOLD > score(b"0")
