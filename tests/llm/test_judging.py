@@ -361,3 +361,17 @@ def test_toxicity_threshold_keeps_a_minority():
     scorer = toxicity.Scorer(model)
     score = lambda t: scorer.scores(np.frombuffer(t, dtype=np.uint8), np.array([0, len(t)]))[0]
     assert score(b"vile") > score(b"rude") >= toxicity.THRESHOLD > score(b"0")
+
+
+def test_lm_scores_count_bigrams_of_rare_tokens(spark):
+    """Two corpora of the same words, in another order: token 40,000 and 40,256 stood in one
+    class, as all that are equal modulo 256."""
+    lib = Tokenizer.from_file(BYTE)
+    plain = [k for k in range(30_000, 50_000) if (t := lib.decode([k])).startswith(" ") and t[1:].isalpha() and t.isascii()
+             and lib.encode(t, add_special_tokens=False).ids == [k]]
+    one = next(k for k in plain if len([x for x in plain if x % 256 == k % 256]) > 3)
+    a, b, c, d = [lib.decode([x]) for x in plain if x % 256 == one % 256][:4]
+    rows = [(i, (a + b + c + d if i % 2 else a + c + b + d) * 20, "en", "a", 1) for i in range(40)]
+    df = frame(spark, rows)
+    got = {r.doc_id: r.score for r in lm_scoring.scores(df.repartition(3), df.doc_id % 2 == 1, BYTE).collect()}
+    assert max(got[i] for i in got if i % 2) + 0.5 < min(got[i] for i in got if i % 2 == 0)
