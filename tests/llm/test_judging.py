@@ -354,9 +354,9 @@ def test_toxicity_reads_every_window():
 
 
 def test_toxicity_threshold_keeps_a_minority():
-    """Forty of a hundred positives score no higher than fifteen of a hundred others."""
-    model = toxicity_by_words({"vile": 9.0, "rude": 6.0})
-    texts = [b"vile"] * 60 + [b"rude"] * 40 + [b"rude"] * 15 + [b"0"] * 85
+    """Forty of a hundred positives score lower than fifteen of a hundred others."""
+    model = toxicity_by_words({"vile": 9.0, "harsh": 7.0, "rude": 6.0})
+    texts = [b"vile"] * 60 + [b"rude"] * 40 + [b"harsh"] * 15 + [b"0"] * 85
     toxicity.calibrate(model, texts, np.repeat([1, 0], 100))
     scorer = toxicity.Scorer(model)
     score = lambda t: scorer.scores(np.frombuffer(t, dtype=np.uint8), np.array([0, len(t)]))[0]
