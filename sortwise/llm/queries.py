@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe_texts, exact_dedup, host_rules, lm_scoring, ngram_join, packing, periodic_runs, quality, secrets,
-               stand_ins, token_counts, toxicity)
+from . import (bpe_texts, exact_dedup, host_rules, licenses, lm_scoring, ngram_join, packing, periodic_runs, quality,
+               secrets, stand_ins, token_counts, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,3 +102,8 @@ def op10_quality_classifier(spark, sf_dir):
 @query()
 def op11_periodic_runs(spark, sf_dir):
     return periodic_runs.digests(periodic_runs.find_runs(stand_ins.looped(documents(spark, sf_dir))))
+
+
+@query()
+def op12_license_scan(spark, sf_dir):
+    return licenses.digests(licenses.scan(documents(spark, sf_dir)))
