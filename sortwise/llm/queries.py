@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (bpe_texts, exact_dedup, host_rules, licenses, lm_scoring, ngram_join, packing, periodic_runs, quality,
-               secrets, stand_ins, token_counts, toxicity)
+               secrets, stand_ins, token_counts, toxicity, turn_repair)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -107,3 +107,9 @@ def op11_periodic_runs(spark, sf_dir):
 @query()
 def op12_license_scan(spark, sf_dir):
     return licenses.digests(licenses.scan(documents(spark, sf_dir)))
+
+
+@query()
+def op13_conversation_repair(spark, sf_dir):
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return turn_repair.repair(stand_ins.damaged(conversations), conversations)
