@@ -54,4 +54,4 @@ def test_every_operator_is_registered():
     from __spark_entry__ import queries
     names = queries()
     assert "pipeline" in names
-    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13
