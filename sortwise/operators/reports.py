@@ -63,12 +63,13 @@ def service_rollup(df: DataFrame, a: str, b: str) -> DataFrame:
 def live_keys(df: DataFrame, ttl_seconds: int, at: Column | None = None) -> DataFrame:
     """A1's cache size: keys whose last miss is less than ``ttl_seconds`` before ``at``
     (default: the last request).  Needs msg_key, is_hit and ts."""
-    last = df.groupBy("msg_key").agg(F.max(F.when(~F.col("is_hit"), F.col("ts"))).alias("miss"),
-                                     F.max("ts").alias("seen"))
-    end = F.max("seen").over(Window.partitionBy()) if at is None else at
-    return last.withColumn("_at", end).agg(
-        F.sum((F.col("miss") + F.expr(f"INTERVAL {ttl_seconds} SECONDS") > F.col("_at")).cast("int"))
-        .cast("long").alias("live_keys"))
+    misses = df.where(~F.col("is_hit")).groupBy("msg_key").agg(F.max("ts").alias("miss"))
+    if at is None:  # one row, joined to all
+        misses = misses.join(F.broadcast(df.agg(F.max("ts").alias("_at"))), F.lit(True))
+    else:
+        misses = misses.withColumn("_at", at)
+    live = misses.where(F.col("miss") + F.expr(f"INTERVAL {ttl_seconds} SECONDS") > F.col("_at"))
+    return live.agg(F.count(F.lit(1)).alias("live_keys"))
 
 
 def stage_latency(log: DataFrame) -> DataFrame:

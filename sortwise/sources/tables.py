@@ -35,25 +35,28 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(int(n)) if n else df
 
 
-def replay_events(spark: SparkSession, sf_dir: str, path: str, files: int = 4, overlap: str = "5 minutes") -> None:
-    """``events`` as ``files`` Parquet files under ``path``, in order of arrival: each holds
-    a stretch of event time, in no order, and a fifth of a stretch's last ``overlap``
-    arrives with the next one."""
+def replay_events(spark: SparkSession, sf_dir: str, path: str, stretches: int = 4, overlap: str = "5 minutes") -> int:
+    """``events`` as Parquet files under ``path``, in order of arrival: each stretch of event
+    time is several files, its rows in no order, and a fifth of its last ``overlap``
+    arrives with the next one.  Returns the files of a stretch, which is what a
+    micro-batch should take."""
     ev = read(spark, sf_dir, "events")
+    files = spark.sparkContext.defaultParallelism
     lo, hi = ev.agg(F.min("ts"), F.max("ts")).first()
     if lo is None:
         ev.write.parquet(f"{path}/0")
-        return
-    step = (hi - lo) / files
+        return files
+    step = (hi - lo) / stretches
     late = F.pmod(F.col("event_id"), F.lit(5)) == 0
     arrives = F.when(late, F.col("ts") + F.expr(f"INTERVAL {overlap}")).otherwise(F.col("ts"))
-    for k in range(files):
+    for k in range(stretches):
         part = ev
         if k:
             part = part.where(arrives >= F.lit(lo + k * step))
-        if k < files - 1:
+        if k < stretches - 1:
             part = part.where(arrives < F.lit(lo + (k + 1) * step))
-        part.orderBy(F.xxhash64("event_id")).coalesce(1).write.parquet(f"{path}/{k}")
+        part.repartition(files).write.parquet(f"{path}/{k}")
+    return files
 
 
 def phrase_key(event_id, user_id):

@@ -9,13 +9,8 @@ session time zone (watermarks need a zoned timestamp).
 
 from __future__ import annotations
 
-import io
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions import lexicon as L
 from ..operators import classify as C
@@ -26,6 +21,7 @@ from ..operators.triage import triage
 from ..sources import payloads as SP
 from ..sources import tables as TB
 from ..sources.phrases import phrases_df
+from . import ttl as TTL
 
 EVENTS_SCHEMA = ("event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
                  "value double, props string")
@@ -66,79 +62,47 @@ def triage_stream(stream: DataFrame) -> DataFrame:
 # T2 -------------------------------------------------------------------------
 def hourly_metrics(stream: DataFrame, watermark: str = "10 minutes") -> DataFrame:
     """Service metrics per hour as A1 defines them (an error adds no latency); rows later
-    than the watermark are dropped.  With a column ``is_hit`` also hits and misses."""
+    than the watermark are dropped."""
     ev = stream.withColumn("event_time", F.col("ts").cast("timestamp"))
     err = F.col("event_type") == "error"
-    more = []
-    if "is_hit" in stream.columns:
-        more = [F.sum((~err & F.col("is_hit")).cast("int")).alias("hits"),
-                F.sum((~err & ~F.col("is_hit")).cast("int")).alias("misses")]
     g = (ev.withWatermark("event_time", watermark)
            .groupBy(F.window("event_time", "1 hour").alias("w"))
            .agg(F.count(F.lit(1)).alias("requests"), F.sum(err.cast("int")).alias("errors"),
-                F.sum(F.when(~err, A.micro(F.col("latency_ms"))).otherwise(0)).alias("_lat"), *more))
+                F.sum(F.when(~err, A.micro(F.col("latency_ms"))).otherwise(0)).alias("_lat")))
     return g.select(F.col("w.start").alias("hour"), "requests", "errors",
-                    A.mean_ms(F.col("_lat"), F.col("requests")).alias("avg_latency_ms"),
-                    *(["hits", "misses"] if more else []))
+                    A.mean_ms(F.col("_lat"), F.col("requests")).alias("avg_latency_ms"))
 
 
 # T3 -------------------------------------------------------------------------
 TTL_OUT = "msg_id long, msg_key string, ts timestamp, event_type string, latency_ms double, is_hit boolean"
-TTL_STATE = "last_miss_us long, rows string"
-
-
-def ttl_fold(ts_us: np.ndarray, last: int | None, ttl_us: int) -> tuple[np.ndarray, int | None]:
-    """Hits of one key's rows in event-time order after a last miss: from a miss, the
-    next one is the first row a TTL later (binary search); what lies between is hits."""
-    hit = np.ones(len(ts_us), dtype=bool)
-    at = 0 if last is None else int(np.searchsorted(ts_us, last + ttl_us))
-    while at < len(ts_us):
-        hit[at], last = False, int(ts_us[at])
-        at = int(np.searchsorted(ts_us, last + ttl_us))
-    return hit, last
-
-
-def _ttl_group(key, pdfs, state):
-    """Rows wait in the state until the watermark has passed them, as earlier ones may
-    still arrive; then they are settled in event-time order, whatever the batches and
-    Arrow chunks they came in."""
-    ttl_us = L.CACHE_TTL_SECONDS * K.US
-    last, kept = state.get if state.exists else (None, None)
-    parts = [] if kept is None else [pd.read_json(io.StringIO(kept), orient="split", dtype=TTL_TYPES, convert_dates=False)]
-    if not state.hasTimedOut:
-        for pdf in pdfs:
-            pdf = pdf.assign(us=pdf["ts"].astype("datetime64[us]").astype("int64"))
-            parts.append(pdf[list(TTL_TYPES)])
-    rows = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({c: [] for c in TTL_TYPES}).astype(TTL_TYPES)
-    rows = rows.sort_values(["us", "msg_id"], kind="stable")
-    wm_ms = state.getCurrentWatermarkMs()
-    ready = rows["us"].to_numpy() < wm_ms * 1000
-    done, wait = rows[ready], rows[~ready]
-    hit, last = ttl_fold(done["us"].to_numpy(), last, ttl_us)
-    if len(done):
-        yield pd.DataFrame({"msg_id": done["msg_id"].to_numpy(), "msg_key": key[0], "ts": pd.to_datetime(done["us"], unit="us"),
-                            "event_type": done["event_type"].to_numpy(), "latency_ms": done["latency_ms"].to_numpy(),
-                            "is_hit": hit})
-    if not len(wait) and (last is None or last + ttl_us <= wm_ms * 1000):
-        if state.exists:
-            state.remove()
-        return
-    state.update((last, wait.to_json(orient="split", index=False, double_precision=15) if len(wait) else None))
-    state.setTimeoutTimestamp(max(wm_ms, (int(wait["us"].iloc[0]) if len(wait) else last + ttl_us) // 1000))
-
-
-TTL_TYPES = {"us": "int64", "msg_id": "int64", "event_type": "object", "latency_ms": "float64"}
 
 
-def ttl_dedupe(stream: DataFrame, watermark: str = "2 hours") -> DataFrame:
-    """Streaming TTL duplicate detection: equals K2 on every row that the watermark has
-    passed.  A key's state is its last miss and the rows not yet passed, so it is bounded
-    by the key's rows within the watermark."""
+def keyed_events(stream: DataFrame) -> DataFrame:
+    """What T3 reads: msg_id, msg_key, ts (timestamp), event_type, latency_ms."""
     p = C.prepare(stream, C.default_lexicon()).withColumn("msg_key", K.message_key())
-    ev = p.select("msg_id", "msg_key", F.col("ts").cast("timestamp").alias("ts"), "event_type", "latency_ms")
-    return (ev.withWatermark("ts", watermark).groupBy("msg_key")
-              .applyInPandasWithState(_ttl_group, TTL_OUT, TTL_STATE, "append",
-                                      GroupStateTimeout.EventTimeTimeout))
+    return p.select("msg_id", "msg_key", F.col("ts").cast("timestamp").alias("ts"), "event_type", "latency_ms")
+
+
+def ttl_dedupe(stream: DataFrame, watermark: str = "2 hours") -> DataFrame:
+    """Streaming TTL duplicate detection: equals K2 on every row whose slice of event time
+    (``ttl.SLICE_SECONDS``) the watermark has passed."""
+    return TTL.settled(keyed_events(stream), watermark).select(
+        "msg_id", "msg_key", F.timestamp_micros("us").alias("ts"), "event_type", "latency_ms", "is_hit")
+
+
+def ttl_approximate(stream: DataFrame, ttl_seconds: int = L.CACHE_TTL_SECONDS) -> DataFrame:
+    """T3's approximation, with Spark's own operator: the first row of a key is kept, others
+    go until the watermark is a TTL behind it.  State is one time a key, nothing waits;
+    but rows count as they arrive, and a key is forgotten by the watermark, which moves
+    between micro-batches only, so long batches suppress more than a TTL."""
+    return keyed_events(stream).withWatermark("ts", f"{ttl_seconds} seconds").dropDuplicatesWithinWatermark(["msg_key"])
+
+
+def hourly_hits(stream: DataFrame, watermark: str = "2 hours") -> DataFrame:
+    """T2 over T3's rows in one query: service metrics per hour with hits and misses."""
+    h = TTL.hourly(keyed_events(stream), watermark, A.micro)
+    return h.select(F.timestamp_micros("hour_us").alias("hour"), "requests", "errors",
+                    A.mean_ms(F.col("latency_ns"), F.col("requests")).alias("avg_latency_ms"), "hits", "misses")
 
 
 # T4 -------------------------------------------------------------------------
