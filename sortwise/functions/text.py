@@ -7,6 +7,7 @@ All functions take and return ``Column`` objects built from
 from __future__ import annotations
 
 import unicodedata
+from bisect import bisect_left
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -93,7 +94,74 @@ def n_words(c: Column) -> Column:
 # ---------------------------------------------------------------------------
 # Lexicon flags
 # ---------------------------------------------------------------------------
-def has(c: Column, literal: str) -> Column:
+class LiteralIndex:
+    """All literals that many tests look for in one text.  ``scan`` reads the text once: a
+    look-ahead over the trie of all literals gives the longest one that starts at each
+    place, and every literal that occurs is one of those or begins one.  Literals of less
+    than ``LEAST`` characters stand almost everywhere and are searched for by themselves."""
+
+    LEAST = 3
+
+    def __init__(self, literals):
+        self.literals = sorted({x for x in literals if len(x) >= self.LEAST})
+
+    def scan(self, c: Column) -> Column:
+        return F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?=({trie_regex(self.literals)}))"), F.lit(1)))
+
+    def longer(self, literal: str) -> list[str]:
+        """Literals of the index that begin with ``literal``, itself included."""
+        at = bisect_left(self.literals, literal)
+        out = []
+        while at < len(self.literals) and self.literals[at].startswith(literal):
+            out.append(self.literals[at])
+            at += 1
+        if not out or out[0] != literal:
+            raise KeyError(literal)
+        return out
+
+
+class IndexedText:
+    """A text column and the literals that ``index.scan`` found in it.  ``has``, ``has_any``,
+    ``first_found`` and ``found_in_order`` take it like a column."""
+
+    def __init__(self, text: Column, found: Column, index: LiteralIndex):
+        self.text, self.found, self.index = text, found, index
+
+    def has_any(self, literals) -> Column:
+        long = sorted({y for x in literals if len(x) >= LiteralIndex.LEAST for y in self.index.longer(x)})
+        out = F.arrays_overlap(self.found, literal_array(long)) if long else None
+        for x in literals:
+            if len(x) < LiteralIndex.LEAST:
+                out = has(self.text, x) if out is None else out | has(self.text, x)
+        return out
+
+    def in_order(self, literals) -> Column:
+        return F.filter(literal_array(literals), lambda k: F.exists(self.found, lambda x: F.startswith(x, k)))
+
+
+class LiteralCollector(IndexedText):
+    """Stands for a text while tests are built only to learn what they look for."""
+
+    def __init__(self):
+        super().__init__(F.lit(""), F.lit(None), LiteralIndex([]))
+        self.literals: set[str] = set()
+
+    def has_any(self, literals) -> Column:
+        self.literals.update(literals)
+        return F.lit(True)
+
+    def in_order(self, literals) -> Column:
+        self.literals.update(literals)
+        return F.array(F.lit(""))
+
+
+def raw(c: Column | IndexedText) -> Column:
+    return c.text if isinstance(c, IndexedText) else c
+
+
+def has(c: Column | IndexedText, literal: str) -> Column:
+    if isinstance(c, IndexedText):
+        return c.has_any([literal])
     return F.instr(c, literal) > 0
 
 
@@ -103,6 +171,8 @@ SHORT_LIST = 3
 def has_any(c: Column, literals) -> Column:
     """Does ``c`` contain any literal as a substring (no word limits)."""
     literals = list(literals)
+    if isinstance(c, IndexedText):
+        return c.has_any(literals)
     if len(literals) <= SHORT_LIST:
         # a few byte-level searches beat one regex (no UTF-16 decode of the text)
         out = has(c, literals[0])
@@ -144,6 +214,8 @@ def found_in_order(c: Column, literals) -> Column:
     longest literal that starts at each place, and every literal in the text lies
     in one of those, as it is itself the longest at its place or begins a longer one."""
     literals = list(literals)
+    if isinstance(c, IndexedText):
+        return c.in_order(literals)
     if len(literals) <= FEW:
         return F.filter(literal_array(literals), lambda k: F.instr(c, k) > 0)
     longest = F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?=({trie_regex(literals)}))"), F.lit(1)))
@@ -196,8 +268,8 @@ def language(orig: Column) -> Column:
     return F.when(en_cue(orig) & ~pt_cue(orig), F.lit("en")).otherwise(F.lit("pt"))
 
 
-def factual_cue(norm: Column) -> Column:
-    return norm.rlike(word_regex(L.FACTUAL_TERMS))
+def factual_cue(norm: Column | IndexedText) -> Column:
+    return raw(norm).rlike(word_regex(L.FACTUAL_TERMS))
 
 
 def personal_cue(orig: Column) -> Column:

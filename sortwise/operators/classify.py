@@ -19,18 +19,19 @@ from ..functions.lemma import Lexicon
 
 
 class Features:
-    """Column expressions shared by the rules (built once per plan)."""
+    """Column expressions shared by the rules (built once per plan).  ``found`` names the
+    column of literals that ``literal_index().scan`` found in ``norm``."""
 
     def __init__(self, lex: Lexicon, orig: str = "message", norm: str = "norm",
-                 lemmas: str = "lemmas"):
+                 lemmas: str = "lemmas", found: str = "literals_found", text: T.IndexedText | None = None):
         self.lex = lex
-        self.columns = (orig, norm, lemmas)
+        self.columns = (orig, norm, lemmas, found)
         self.o = F.col(orig)
-        self.n = F.col(norm)
+        self.n = text or T.IndexedText(F.col(norm), F.col(found), literal_index())
         self.lemmas = F.col(lemmas)
         self.nw = F.size(self.lemmas)          # one lemma per token of norm
         self.len_o = F.length(self.o)
-        self.ns = T.strip_ws(self.n)
+        self.ns = T.strip_ws(F.col(norm))
         self.lemma_text = F.array_join(self.lemmas, " ")
         self.has_verb = F.exists(self.lemmas, lambda m: m.isin(lex.infinitives))
         self.long_conv = (self.len_o > 100) & (self.nw > 15) & T.has_any(self.n, L.LONG_CONV_TERMS)
@@ -43,7 +44,7 @@ class Features:
             | any_(n, L.INTEGRATION_EXCLUSIONS)
         email_ctx = (has(n, "email") | has(n, "e-mail")) & (hv | has(n, "para") | has(n, "@")) \
             & any_(n, L.EMAIL_CONTEXTS)
-        doc = (has(n, "documento") | has(n, "doc ") | n.endswith("doc")) & hv
+        doc = (has(n, "documento") | has(n, "doc ") | T.raw(n).endswith("doc")) & hv
         arquivo = has(n, "arquivo") & (hv | has(lt, "baixar") | has(n, "compartilhado"))
         calendar = (has(n, "agenda") | has(n, "calendar")) & hv & ~has(n, "tempo")
         share = has(lt, "compartilhar") & any_(n, L.SHARE_CONTEXTS)
@@ -132,7 +133,7 @@ def rules(f: Features) -> list[tuple[str, Column]]:
         ("R35", T.is_question(o)),
         ("R36", f.complex_or_personal()),
         ("R37", (T.piece_sum(o) > 2) | (len_o > 150)),
-        ("R38", any_(F.concat(F.lit(" "), n, F.lit(" ")), L.PERSONAL_PRONOUNS)),
+        ("R38", any_(F.concat(F.lit(" "), T.raw(n), F.lit(" ")), L.PERSONAL_PRONOUNS)),
         ("R39", (len_o < 10) & any_(n, L.FALLBACK_GREETINGS)),
         ("R40", len_o < 10),
         ("R41", F.exists(F.col("tokens"), lambda t: t.isin(L.FALLBACK_INTERROGATIVES))
@@ -199,6 +200,26 @@ def bucket_of(rule_id: Column) -> Column:
     return F.try_element_at(F.expr(f"map({kv})"), rule_id)
 
 
+_INDEX: T.LiteralIndex | None = None
+
+
+def literal_index() -> T.LiteralIndex:
+    """Every literal that a rule or a reason looks for in ``norm``, learnt from the rules."""
+    global _INDEX
+    if _INDEX is None:
+        seen = T.LiteralCollector()
+        f = Features(Lexicon(), text=seen)
+        rules(f)
+        _reason(f, F.lit(""))
+        _INDEX = T.LiteralIndex(seen.literals)
+    return _INDEX
+
+
+def with_literals(df: DataFrame, lex: Lexicon) -> DataFrame:
+    """``literals_found``: what one scan of ``norm`` finds of all rules' literals."""
+    return df.withColumn("literals_found", _tree(lex, "literals_found", lambda: literal_index().scan(F.col("norm"))))
+
+
 def prepare(df: DataFrame, lex: Lexicon, text_col: str = "message") -> DataFrame:
     """message (stripped), norm and lemmas."""
     return (df.withColumn("message", T.strip_ws(F.coalesce(F.col(text_col).cast("string"),
@@ -214,10 +235,11 @@ def classify(df: DataFrame, lex: Lexicon | None = None, text_col: str = "message
     lex = lex or default_lexicon()
     if not prepared:
         df = prepare(df, lex, text_col)
+    df = with_literals(df, lex)
     f = Features(lex)
     return (df.withColumn("rule_id", first_rule(f))
               .withColumn("bucket", bucket_of(F.col("rule_id")))
-              .withColumn("reason", reason(f)))
+              .withColumn("reason", reason(f)).drop("literals_found"))
 
 
 def evidence(df: DataFrame, lex: Lexicon | None = None, text_col: str = "message",
@@ -226,10 +248,11 @@ def evidence(df: DataFrame, lex: Lexicon | None = None, text_col: str = "message
     lex = lex or default_lexicon()
     if not prepared:
         df = prepare(df, lex, text_col)
+    df = with_literals(df, lex)
     f = Features(lex)
     hits = _tree(lex, ("evidence", *f.columns),
                  lambda: F.array(*[F.when(cond, F.lit(rid)) for rid, cond in rules(f)]))
-    return df.withColumn("matched_rules", F.filter(hits, lambda x: x.isNotNull()))
+    return df.withColumn("matched_rules", F.filter(hits, lambda x: x.isNotNull())).drop("literals_found")
 
 
 def reclassify(df: DataFrame) -> DataFrame:

@@ -259,7 +259,7 @@ def _flags_sql(src):
 
 def _flags(df):
     lex = C.default_lexicon()
-    p = C.prepare(df, lex)
+    p = C.with_literals(C.prepare(df, lex), lex)
     f = C.Features(lex)
     return p.select(F.col("msg_id").cast("bigint").alias("msg_id"),
                     *[T.has_any(F.col("norm"), lits).cast("int").alias(name)

@@ -69,8 +69,7 @@ def classify_distinct_stream(spark, sf):
 
 
 def _distinct(ms):
-    keyed = ms.withColumn("msg_key", F.md5(T.normalize(T.strip_ws(F.col("message")))))
-    out = K.classify_distinct(keyed, lambda d: C.classify(d).select("msg_key", "rule_id", "bucket"))
+    out = K.classify_distinct(ms, lambda d: C.classify(d).select("msg_key", "rule_id", "bucket"), K.text_key)
     return out.select(F.col("msg_id").cast("bigint").alias("msg_id"), "msg_key", "rule_id", "bucket")
 
 

@@ -84,3 +84,26 @@ def test_blank_and_whitespace_messages(spark):
     r = _classify(spark, ["   oi  ", " sim ", "\t"])
     assert r[0].rule_id == "R01" and r[1].rule_id == "R02"
     assert r[2].message == ""
+
+
+def test_literal_index_finds_what_a_plain_search_finds(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from sortwise.functions import text as T
+    r = random.Random(6)
+    literals = ["aba", "abab", "bab", "ba", "a", "cab.", "b c", " ca", "ccc", "cccc"]
+    texts = ["".join(r.choice("abc .") for _ in range(r.randint(0, 40))) for _ in range(300)]
+    index = T.LiteralIndex(literals)
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("found", index.scan(F.col("t")))
+    seen = T.IndexedText(F.col("t"), F.col("found"), index)
+    lists = [literals, ["bab", "a"], ["cccc", " ca"]]
+    got = df.select("t", *[T.has(seen, x).alias(f"h{i}") for i, x in enumerate(literals)],
+                    *[T.has_any(seen, xs).alias(f"a{i}") for i, xs in enumerate(lists)],
+                    T.found_in_order(seen, [x for x in literals if len(x) > 2]).alias("o")).collect()
+    for row in got:
+        t = row.t
+        assert [row[f"h{i}"] for i in range(len(literals))] == [x in t for x in literals]
+        assert [row[f"a{i}"] for i in range(3)] == [any(x in t for x in xs) for xs in lists]
+        assert row.o == [x for x in literals if len(x) > 2 and x in t]

@@ -42,11 +42,9 @@ def test_ttl_with_ties_and_exact_boundary(spark):
 
 
 def test_classify_distinct_equals_direct(spark):
-    from sortwise.operators.dedupe import classify_distinct
-    from sortwise.functions import text as T
+    from sortwise.operators.dedupe import classify_distinct, text_key
     ms = TB.msg_stream(spark, SF_SMALL)
-    keyed = ms.withColumn("msg_key", F.md5(T.normalize(T.strip_ws(F.col("message")))))
-    k1 = classify_distinct(keyed, lambda d: C.classify(d).select("msg_key", "rule_id"))
+    k1 = classify_distinct(ms, lambda d: C.classify(d).select("msg_key", "rule_id"), text_key)
     direct = C.classify(ms).select("msg_id", F.col("rule_id").alias("direct"))
     j = k1.select("msg_id", "rule_id").join(direct, "msg_id")
     assert j.count() == ms.count()
@@ -63,9 +61,10 @@ def test_ttl_hot_key_in_one_hour(spark):
 
 
 def test_distinct_takes_the_first_request(spark):
-    from sortwise.operators.dedupe import classify_distinct
+    from sortwise.operators.dedupe import classify_distinct, text_key
     t0 = datetime.datetime(2024, 1, 1)
-    df = spark.createDataFrame([(2, t0, "k", "curriculo"), (1, t0, "k", "currículo"), (3, t0, "k", "CURRICULO")],
-                               "msg_id long, ts timestamp_ntz, msg_key string, message string")
-    out = classify_distinct(df, lambda d: d.withColumn("seen", F.col("message")))
-    assert {r.seen for r in out.collect()} == {"currículo"} and out.count() == 3
+    df = spark.createDataFrame([(2, t0, "curriculo"), (1, t0, "currículo"), (3, t0, "CURRICULO"), (3, t0, "CURRICULO"),
+                                (0, t0 + datetime.timedelta(microseconds=1), "Curriculo"), (9, t0, None)],
+                               "msg_id long, ts timestamp_ntz, message string")
+    out = classify_distinct(df, lambda d: d.withColumn("seen", F.col("message")), text_key).collect()
+    assert [r.seen for r in sorted(out, key=lambda r: r.msg_id)] == ["currículo"] * 5 + [None]
