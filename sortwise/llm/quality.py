@@ -7,11 +7,12 @@ Expectation-maximisation over the counts of vote patterns (all documents; there
 at most 3 to the power of the labellers, 4 MB, so the table is bounded) estimates each
 labeller's accuracies and the share of bad documents, and gives each pattern the
 posterior probability that its documents are good.  Posterior labels train a hashed
-linear scorer (byte 2- and 3-grams, and the votes) on a sample of about ``SAMPLE`` rows drawn by hash;
-the scorer then reads every document.  A document is rejected if its score is under
-``KEEP``.
+linear scorer (byte 2- and 3-grams, and the votes) on ``SAMPLE`` distinct texts, the
+first by hash; copies of a text count once there, so a large group of copies neither
+fills the sample nor changes which other texts are in it.  The scorer then reads every
+document.  A document is rejected if its score is under ``KEEP``.
 
-Null and empty texts have no bytes and no words: their labellers vote bad, and their
+A very long text is a slice of its own, its n-grams are read in blocks.  Null and empty texts have no bytes and no words: their labellers vote bad, and their
 score is the posterior of their votes.  Repeated rows count and are scored each; an
 empty table gives an empty result; a sample of one kind only leaves the posterior of
 the votes as the score.
@@ -28,8 +29,10 @@ from .host_rules import repeated_words
 from .scratch import map_rows
 from .textvec import WHITE, WHITE_BYTES, mix, slices, span_hashes, word_spans
 
-#: Rows on whose posterior labels the scorer is trained.
+#: Distinct texts on whose posterior labels the scorer is trained.
 SAMPLE = 6000
+#: Bytes of text that are judged together; the n-grams of a slice take thirty times that.
+SLICE = 1 << 18
 KEEP = 0.5
 BUCKETS = 1 << 16
 
@@ -114,7 +117,7 @@ _POWERS = 3 ** np.arange(len(LABELLERS))
 def _patterns(batches):
     held = np.zeros(3 ** len(LABELLERS), dtype=np.int64)
     for batch in batches:
-        for _, _, data, offsets in slices(batch.column(0)):
+        for _, _, data, offsets in slices(batch.column(0), SLICE):
             held += np.bincount(votes(data, offsets) @ _POWERS, minlength=len(held))
     some = np.flatnonzero(held)
     yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(held[some], pa.int64())], names=["pattern", "n"])
@@ -123,10 +126,9 @@ def _patterns(batches):
 def pattern_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """How many documents show each vote pattern; summed on the map side."""
     rows = (docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(_patterns, "pattern long, n long")
-            .groupBy("pattern").agg(F.sum("n").alias("n")).collect())
+            .groupBy("pattern").agg(F.sum("n").alias("n")).toArrow())
     out = np.zeros(3 ** len(LABELLERS), dtype=np.int64)
-    for p, n in rows:
-        out[p] = n
+    out[rows["pattern"].to_numpy()] = rows["n"].to_numpy()
     return out
 
 
@@ -149,7 +151,7 @@ def em(counts: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
     for _ in range(rounds):
-        prior = np.clip((weight * p).sum() / max(weight.sum(), 1), 0.5, 0.99)
+        prior = np.clip((weight * p).sum() / max(weight.sum(), 1), 0.01, 0.99)
         for j in range(k):
             for c, q in ((BAD, 1 - p), (GOOD, p)):
                 # pseudo-counts hold labellers to being right more often than not
@@ -160,18 +162,31 @@ def em(counts: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
     return posterior(np.arange(3 ** k)), table
 
 
-def buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and text of every byte 2-gram and 3-gram."""
+def bucket_sums(data: np.ndarray, offsets: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of the weights of every text's byte 2-grams and 3-grams, and their number."""
+    n = len(offsets) - 1
+    size = np.maximum(np.diff(offsets) - 1, 0) + np.maximum(np.diff(offsets) - 2, 0)
+    total = np.zeros(n)
+    for k in range(0, len(data), SLICE):  # one very long text: block by block
+        part = data[k: k + SLICE + 2]
+        at, owner = buckets(part, np.clip(offsets - k, 0, len(part)), SLICE)
+        total += np.bincount(owner, weights=weight[at], minlength=n)
+    return total, size
+
+
+def buckets(data: np.ndarray, offsets: np.ndarray, begin: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and text of every byte 2-gram and 3-gram that starts before ``begin``."""
     if len(data) < 2:
-        z = np.zeros(0, dtype=np.int64)
-        return z, z
-    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        return np.zeros(0, dtype=np.uint16), np.zeros(0, dtype=np.int32)
+    owner = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
     wide = data.astype(np.uint64)
     two = wide[:-1] << np.uint64(8) | wide[1:]
     three = two[:-1] << np.uint64(8) | wide[2:]
     a, b = owner[:-1] == owner[1:], owner[:-2] == owner[2:]
-    grams = np.concatenate([mix(two[a]), mix(three[b] | np.uint64(1 << 24))])
-    return (grams >> np.uint64(48)).astype(np.int64), np.concatenate([owner[:-1][a], owner[:-2][b]])
+    if begin is not None:
+        a[begin:], b[begin:] = False, False
+    at = np.concatenate([mix(two[a]) >> np.uint64(48), mix(three[b] | np.uint64(1 << 24)) >> np.uint64(48)])
+    return at.astype(np.uint16), np.concatenate([owner[:-1][a], owner[:-2][b]])
 
 
 class LinearScorer:
@@ -185,18 +200,19 @@ class LinearScorer:
         self.weight, self.vote, self.bias = np.zeros(BUCKETS), np.zeros(3 * len(LABELLERS)), 0.0
 
     def _read(self, data, offsets):
-        n = len(offsets) - 1
         at, owner = buckets(data, offsets)
-        size = np.bincount(owner, minlength=n) + self.SHRINK
+        size = np.bincount(owner, minlength=len(offsets) - 1) + self.SHRINK
         cast = votes(data, offsets)
-        return at, owner, size, cast + 3 * np.arange(len(LABELLERS)), cast != NONE
+        return at, owner, size, cast
 
-    def _logits(self, at, owner, size, cast, some) -> np.ndarray:
-        grams = np.bincount(owner, weights=self.weight[at], minlength=len(size)) / size
-        return grams + (self.vote[cast] * some).sum(axis=1) + self.bias
+    def _logits(self, grams, size, cast) -> np.ndarray:
+        own = self.vote[cast + 3 * np.arange(len(LABELLERS))]
+        return grams / size + (own * (cast != NONE)).sum(axis=1) + self.bias
 
-    def logits(self, data, offsets) -> np.ndarray:
-        return self._logits(*self._read(data, offsets))
+    def logits(self, data, offsets, cast) -> np.ndarray:
+        """``cast``: the texts' votes."""
+        grams, size = bucket_sums(data, offsets, self.weight)
+        return self._logits(grams, size + self.SHRINK, cast)
 
     def train(self, texts: list[bytes], target: np.ndarray, epochs: int = 8, batch: int = 50, rate: float = 1.0, seed: int = 5):
         rng = np.random.default_rng(seed)
@@ -209,12 +225,13 @@ class LinearScorer:
             for k in range(0, len(order), batch):
                 part = order[k: k + batch]
                 offsets = np.concatenate([[0], np.cumsum([len(texts[i]) for i in part])])
-                at, owner, size, cast, some = self._read(np.frombuffer(b"".join([texts[i] for i in part]), dtype=np.uint8), offsets)
-                z = self._logits(at, owner, size, cast, some)
+                at, owner, size, cast = self._read(np.frombuffer(b"".join([texts[i] for i in part]), dtype=np.uint8), offsets)
+                z = self._logits(np.bincount(owner, weights=self.weight[at], minlength=len(size)), size, cast)
+                some, column = cast != NONE, cast + 3 * np.arange(len(LABELLERS))
                 err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target[part]) * weight[part] / len(part)
                 step += 1
                 for name, grad in (("weight", np.bincount(at, weights=(err / size)[owner], minlength=BUCKETS)),
-                                   ("vote", np.bincount(cast.ravel(), weights=(err[:, None] * some).ravel(), minlength=len(self.vote)))):
+                                   ("vote", np.bincount(column.ravel(), weights=(err[:, None] * some).ravel(), minlength=len(self.vote)))):
                     m, s = state[name]
                     m *= 0.9
                     m += 0.1 * grad
@@ -234,10 +251,11 @@ class Classifier:
 
     def judge(self, data, offsets) -> tuple[np.ndarray, np.ndarray]:
         """(posterior of the votes, score) of every text."""
-        p = self.posterior[votes(data, offsets) @ _POWERS]
+        cast = votes(data, offsets)
+        p = self.posterior[cast @ _POWERS]
         if self.scorer is None:
             return p, p
-        score = 1 / (1 + np.exp(-np.clip(self.scorer.logits(data, offsets), -30, 30)))
+        score = 1 / (1 + np.exp(-np.clip(self.scorer.logits(data, offsets, cast), -30, 30)))
         return p, np.where(np.diff(offsets) < 2, p, score)
 
 
@@ -246,9 +264,10 @@ def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Classi
     posterior, _ = em(counts)
     total = int(counts.sum())
     texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).where("text IS NOT NULL")
-    if total > sample:
+    if total > sample:  # about ``sample`` texts if all are distinct; order and limit settle the rest
         share = int(sample / total * (1 << 31))
-        texts = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 31)) < share).limit(2 * sample)
+        texts = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 31)) < share)
+    texts = texts.distinct().orderBy(F.pmod(F.xxhash64("text"), F.lit(1 << 31)), "text").limit(sample)
     rows = sorted(t.encode() for t in texts.toArrow()["text"].to_pylist())
     if not rows:
         return Classifier(posterior, None)
@@ -266,7 +285,7 @@ def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Classi
 def _judge(model):
     def run(batches):
         for batch in batches:
-            for lo, hi, data, offsets in slices(batch.column(1)):
+            for lo, hi, data, offsets in slices(batch.column(1), SLICE):
                 p, score = model.value.judge(data, offsets)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), pa.array(p), pa.array(score), pa.array(score >= KEEP)],
@@ -289,7 +308,7 @@ def keep_good(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) ->
 
     def run(batches):
         for batch in batches:
-            for lo, hi, data, offsets in slices(batch.column(at)):
+            for lo, hi, data, offsets in slices(batch.column(at), SLICE):
                 _, score = model.value.judge(data, offsets)
                 yield batch.slice(lo, hi - lo).filter(pa.array(score >= KEEP))
     return map_rows(docs, run)
