@@ -17,13 +17,17 @@ without words has the empty set and links with nothing.  Two texts link when
    other row is paired with its block's leader and its predecessor, if what the
    filters say of any shared shingle allows it, and with nothing else.  So a block of k near copies gives under 2k pairs.
    Of these, pairs that enough of their prefix proposes are verified.
-4. Pairs are verified on whole sets, once each; links give components.
+4. Pairs are verified on whole sets, once each; links give components.  The texts of
+   all nodes that meet another one are written once, with a bitmap of each set: bit
+   ``hash mod 64 k`` is its parity among the set's shingles.
 5. Components that meet in blocks are contracted: each pairs with the largest
    component of its blocks, two pairs of documents for a pair of components.
 6. Shingles that still connect different components are joined on the shingle,
    all pairs of rows from different components that pass the filters; those not yet
-   verified are verified.  Every pair of linked texts is thus either verified or
-   inside one component already, so no link is lost.
+   verified are verified.  Here the suffix filter also compares the bitmaps: where
+   they differ, the sets do, so they may differ in no more bits than linked sets in
+   shingles.  Every pair of linked texts is thus either verified or inside one
+   component already, so no link is lost.
 
 Null texts count as empty.  Rows that repeat a doc_id are documents of their own.
 A null doc_id takes part, but is never a component's id; a component without any id
@@ -50,10 +54,13 @@ HEAVY = 1 << 18
 BLOCK = 20_000
 #: Share of a document's prefix that must propose a pair before the last pass.
 SUPPORT = 0.15
-#: Contractions of components before the last pass.
-ROUNDS = 2
+#: Contractions of components before the last pass, which leaves nothing out in any case.
+ROUNDS = 1
 #: Bits of the broadcast filter of nodes whose texts are wanted (1 MB).
 FILTER_BITS = 23
+#: Bits of a set's bitmap for four of its shingles, at least: a set that differs from
+#: another in a quarter of its shingles then shows four fifths of that in its bits.
+SPREAD_BITS = 7
 
 _SEED = np.uint64(0x5851F42D4C957F2D)
 
@@ -86,6 +93,26 @@ def node_of(shingles: np.ndarray) -> int:
     return int(mix(np.array([total], dtype=np.uint64)).view(np.int64)[0])
 
 
+def bitmap_of(shingles: np.ndarray) -> np.ndarray:
+    """Parity of a set's hashes per bit, as 64-bit words; their number is a power of two, so
+    the bitmap of a set in half as many words is the two halves' exclusive or."""
+    words = 1 << max(0, ((SPREAD_BITS * len(shingles) + 3) // 4 - 1 >> 6).bit_length())
+    odd = np.bincount((shingles & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _bits_apart_sql(a, b):
+    """Bits in which two bitmaps (arrays of long) differ; the longer one is folded."""
+    def folded(x, y):
+        half = F.size(x) / 2
+        return F.when(F.size(x) > F.size(y), F.zip_with(
+            F.slice(x, F.lit(1), half.cast("int")), F.slice(x, (half + 1).cast("int"), half.cast("int")),
+            lambda p, q: p.bitwiseXOR(q))).otherwise(x)
+
+    apart = F.zip_with(folded(a, b), folded(b, a), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    return F.aggregate(apart, F.lit(0), lambda total, x: total + x)
+
+
 def _sets(batches):
     """Per slice: the ids (first column) and the sets of its texts (last column)."""
     for batch in batches:
@@ -234,8 +261,11 @@ def _allowed_sql(a: str, b: str):
     apart = p1 + p2
     for c in range(4):
         apart = apart + F.abs(F.shiftright(s1, 16 * c).bitwiseAND(0xFFFF) - F.shiftright(s2, 16 * c).bitwiseAND(0xFFFF))
-    return ((5 * F.least(n1, n2) >= 4 * F.greatest(n1, n2)) & (F.least(n1 - p1, n2 - p2) >= need)
-            & (apart <= n1 + n2 - 2 * need))
+    most = n1 + n2 - 2 * need
+    return ((5 * F.least(n1, n2) >= 4 * F.greatest(n1, n2)) & (F.least(n1 - p1, n2 - p2) >= need) & (apart <= most)
+            & F.when(F.size(F.col(f"{a}.bits")) > 2 * F.size(F.col(f"{b}.bits")), False)
+               .when(F.size(F.col(f"{b}.bits")) > 2 * F.size(F.col(f"{a}.bits")), False)
+               .otherwise(_bits_apart_sql(F.col(f"{a}.bits"), F.col(f"{b}.bits")) <= most))
 
 
 _SHARED = "key long, node long, n int, pos int, suffix long, leader long, before long"
@@ -343,20 +373,41 @@ def _wanted(nodes: DataFrame) -> np.ndarray:
     return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
 
 
+_TEXTS = "node long, text string, bits array<long>"
+
+
 def _texts(wanted):
-    """(node, text) of documents whose node may be wanted; a task emits a node once."""
+    """(node, text, bitmap) of documents whose node may be wanted; a task emits a node once."""
     def run(batches):
         bits, seen = wanted.value, set()
         for batch, sets in _sets(batches):
-            pick, nodes = [], []
+            pick, nodes, maps = [], [], []
             for i, s in enumerate(sets):
                 node = node_of(s)
                 if bits[(node & 0xFFFFFFFFFFFFFFFF) >> (64 - FILTER_BITS)] and node not in seen:
                     seen.add(node)
                     pick.append(i)
                     nodes.append(node)
+                    maps.append(bitmap_of(s))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes, pa.int64()), batch.column(1).take(pa.array(pick, pa.int64()))], names=["node", "text"])
+                [pa.array(nodes, pa.int64()), batch.column(1).take(pa.array(pick, pa.int64())),
+                 pa.array(maps, pa.list_(pa.int64()))], names=["node", "text", "bits"])
+    return run
+
+
+def texts_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text, bits) of ``nodes`` (node), in one narrow pass over ``docs`` (text column
+    last): all of them, and few others; a node may come from several tasks."""
+    wanted = docs.sparkSession.sparkContext.broadcast(_wanted(nodes))
+    return materialise(docs.mapInArrow(_texts(wanted), _TEXTS), "texts")
+
+
+def _picked(wanted):
+    def run(batches):
+        bits = wanted.value
+        for batch in batches:
+            node = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            yield batch.filter(pa.array(bits[(node >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]))
     return run
 
 
@@ -383,17 +434,14 @@ def _set_of(text) -> np.ndarray:
     return shingle_sets(raw, np.array([0, len(raw)]))[0]
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b: nodes) that link.  Texts are fetched in one narrow
-    pass over ``docs`` (text column last) and meet their pairs in two equi-joins."""
-    spark = docs.sparkSession
-    nodes = materialise(pairs.select(F.col("a").alias("node")).unionByName(
-        pairs.select(F.col("b").alias("node"))).distinct(), "nodes")
-    wanted = spark.sparkContext.broadcast(_wanted(nodes))
-    texts = docs.mapInArrow(_texts(wanted), "node long, text string").join(nodes, "node", "left_semi")
-    texts = materialise(texts.dropDuplicates(["node"]), "texts")
-    one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b: nodes) that link.  Texts that no pair wants are left out
+    before the shuffle; the others meet their pairs in two equi-joins."""
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = pairs.sparkSession.sparkContext.broadcast(_wanted(nodes))
+    some = texts.select("node", "text").mapInArrow(_picked(wanted), "node long, text string").dropDuplicates(["node"])
+    one = some.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    two = some.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     met = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
     return materialise(met.mapInArrow(_verify, "a long, b long"), "links")
 
@@ -410,8 +458,9 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = materialise(
         source.mapInArrow(_prefixes(heavy), _ROWS).repartition("key", "salt")
               .sortWithinPartitions("key", "salt", "n", "node").mapInArrow(_blocks, _SHARED), "shared")
+    texts = texts_of(shared.select("node"), source)
     tried = materialise(_pairs(shared), "pairs")
-    links = verified(tried, source)
+    links = verified(tried, texts)
     rows_only = shared.drop("leader", "before")
 
     def place(links):
@@ -423,19 +472,21 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = materialise(_contracted(placed).join(tried, ["a", "b"], "left_anti"), "contracted")
         if pairs.isEmpty():
             break
-        found = verified(pairs, source)
+        found = verified(pairs, texts)
         tried, links = tried.unionByName(pairs), links.unionByName(found)
         if found.isEmpty():
             break
         placed = place(links)
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    open_rows = materialise(placed.join(mixed.select("key"), "key", "left_semi"), "open")
+    # not written: both sides of the join below read one shuffle of it
+    open_rows = placed.join(mixed.select("key"), "key", "left_semi").join(
+        texts.select("node", "bits").dropDuplicates(["node"]), "node")
     a, b = open_rows.alias("a"), open_rows.alias("b")
     apart = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node"))
                    & (F.col("a.component") != F.col("b.component")) & _allowed_sql("a", "b"))
     more = apart.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
     more = materialise(more.join(tried, ["a", "b"], "left_anti"), "more")
-    found = components(links.unionByName(verified(more, source)))
+    found = components(links.unionByName(verified(more, texts)))
     classed = rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     classed = materialise(classed, "classed")
     named = classed.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -445,12 +496,18 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose component has a smaller id; columns as they were.
-
-    Rows are told apart by id: rows that repeat an id stay or go together, rows without
-    an id stay.  Only ids are joined to the texts, as an anti-join."""
-    classes = similar_classes(docs, id_col, text_col)
-    gone = materialise(classes.groupBy("doc_id").agg(F.min("component_id").alias("least"))
-                       .where("least < doc_id").select("doc_id"), "gone")
-    key = F.col(f"`{id_col}`").cast("long")
-    return docs.join(gone.select(F.col("doc_id").alias("_gone")), key == F.col("_gone"), "left_anti")
+    """``docs`` without the rows that link, directly or over others, with a row that stays:
+    of each component the row with the least id (null ids last); columns as they were.
+
+    Rows are told apart by a number of their own, whatever their ids.  Only numbers are
+    joined to the texts, as an anti-join."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    numbered = materialise(plain.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    id_at, text_at = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
+    classes = similar_classes(numbered, "row", text_at).select(F.col("doc_id").alias("row"), "component_id")
+    ranked = classes.join(numbered.select("row", F.col(id_at).cast("long").alias("id")), "row")
+    place = F.struct(F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(0)).alias("id"), "row")
+    stays = ranked.groupBy("component_id").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("size"))
+    stays = stays.where("size > 1").select("component_id", F.col("first.row").alias("kept_row"))
+    gone = materialise(ranked.join(stays, "component_id").where("row <> kept_row").select("row"), "gone")
+    return numbered.join(gone, "row", "left_anti").drop("row").toDF(*docs.columns)

@@ -50,9 +50,50 @@ def test_similar_classes_of_odd_tables(spark):
     df = frame(spark, near_rows())
     out = ngram_join.drop_similar(df)
     assert out.columns == df.columns
-    kept = [r.doc_id for r in out.collect()]
-    want = [i for i, _, c in components(near_rows()) if i is None or i == c]
-    assert sorted(map(str, kept)) == sorted(map(str, want))
+    assert_one_stays(near_rows(), out.collect())
+    odd = [(1, prose(1), "en", "a", 1), (5, prose(1) + " x", "en", "a", 1), (5, prose(2), "en", "a", 1),
+           (None, prose(3), "en", "a", 1), (None, prose(3), "en", "b", 1), (7, prose(7), "en", "a", 1), (7, prose(7), "en", "b", 1)]
+    kept = ngram_join.drop_similar(frame(spark, odd)).collect()
+    assert_one_stays(odd, kept)
+    assert sorted(str(r.doc_id) for r in kept) == ["1", "5", "7", "None"]
+
+
+def assert_one_stays(rows, kept):
+    """Of every group of linked rows one stays, with the group's least id."""
+    numbered = [(k, r[1]) for k, r in enumerate(rows)]
+    groups = {}
+    for k, _, c in components(numbered):
+        groups.setdefault(c, []).append(k)
+    want = []
+    for members in groups.values():
+        ids = [rows[k][0] for k in members if rows[k][0] is not None]
+        least = min(ids) if ids else None
+        texts = {rows[k][1] for k in members if rows[k][0] == least}
+        want.append((least, texts))
+    left = [(r.doc_id, r.text) for r in kept]
+    assert len(left) == len(want)
+    for least, texts in want:
+        assert any(i == least and t in texts for i, t in left)
+
+
+def test_bitmaps_never_part_linked_sets(spark):
+    r = random.Random(9)
+    rows, want = [], []
+    for _ in range(200):
+        a = np.unique(np.array([r.getrandbits(64) for _ in range(r.randint(1, 300))], dtype=np.uint64))
+        b = np.unique(np.concatenate([a[r.randint(0, len(a) // 8):], np.array([r.getrandbits(64) for _ in range(r.randint(0, 40))],
+                                                                            dtype=np.uint64)]))
+        x, y = (ngram_join.bitmap_of(s) for s in (a, b))
+        rows.append((x.tolist(), y.tolist()))
+        want.append((len(np.setxor1d(a, b)), len(a), len(b)))
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>")
+    got = [v[0] for v in df.select(ngram_join._bits_apart_sql(df["a"], df["b"])).collect()]
+    near = 0
+    for apart, (differ, n, m) in zip(got, want, strict=True):
+        if 5 * min(n, m) >= 4 * max(n, m):  # others never come here
+            near += 1
+            assert apart <= differ and apart >= 0.5 * differ - 2
+    assert near > 50
 
 
 def test_filters_never_lose_a_linked_pair():
@@ -375,3 +416,80 @@ def test_lm_scores_count_bigrams_of_rare_tokens(spark):
     df = frame(spark, rows)
     got = {r.doc_id: r.score for r in lm_scoring.scores(df.repartition(3), df.doc_id % 2 == 1, BYTE).collect()}
     assert max(got[i] for i in got if i % 2) + 0.5 < min(got[i] for i in got if i % 2 == 0)
+
+
+def plain_votes(text):
+    """Every labeller, one text at a time, from its definition."""
+    w, raw = words(text), (text or "").encode()
+    n, ink = len(w), [b for b in raw if b not in b" \t\n\x0b\x0c\r"]
+    chars = max(sum(1 for c in (text or "") if c not in " \t\n\x0b\x0c\r"), 1)
+    def letter(b):
+        return b >= 0x80 or chr(b).isalnum()
+
+    def low(share, good, bad, least=0):
+        return quality.NONE if n < least else quality.BAD if share > bad else quality.GOOD if share <= good else quality.NONE
+    m = max(n, 1)
+    grams = collections.Counter(tuple(w[i:i + 3]) for i in range(n - 2))
+    again = set()
+    for i in range(n - 2):
+        if grams[tuple(w[i:i + 3])] > 1:
+            again |= {i, i + 1, i + 2}
+    lines = [x for x in (text or "").split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+    repeated = len(lines) - len(set(lines))
+    length, stops = chars / m, sum(b in b".!?" for b in raw) / m
+    return [low(sum(b in b"#*$%&|<>" for b in raw) / m, 0.02, 0.2),
+            low(1 - sum(map(letter, raw)) / max(len(ink), 1), 0.06, 0.12, 5),
+            low(sum(not any(map(letter, x.encode())) for x in w) / m, 0.03, 0.15, 5),
+            low(sum(not letter(x.encode()[-1]) for x in w) / m, 0.35, 0.6, 5),
+            low(sum(65 <= b < 91 for b in raw) / chars, 0.1, 0.4), low(raw.count(b"!") / m, 0.02, 0.2),
+            low(len(again) / m, 0.1, 0.5), low(1 - len(set(w)) / m, 0.6, 0.75, 50),
+            low(repeated / max(len(lines), 1), 0.1, 0.3) if repeated >= 3 else quality.GOOD if not repeated else quality.NONE,
+            quality.BAD if n < 10 else quality.NONE if n < 30 else quality.GOOD,
+            quality.BAD if length > 14 or length < 2 else quality.GOOD if 3 < length < 9 else quality.NONE,
+            quality.NONE if n < 60 else quality.BAD if stops < 0.005 or stops > 0.5 else quality.GOOD if stops > 0.02
+            else quality.NONE]
+
+
+def test_labellers_and_score_equal_a_plain_version(monkeypatch):
+    texts = [t or "" for _, t, *_ in edge_rows() if t is None or len(t) < 60_000] + [junk(k) for k in range(40)]
+    texts += [prose(k, 20 + 7 * k) for k in range(40)] + ["Same line here\n" * 5 + prose(3, 40), "a! b! c! " * 30, "ABC DEF " * 30]
+    raw = [t.encode() for t in texts]
+    data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in raw])])
+    cast = quality.votes(data, offsets)
+    assert cast.tolist() == [plain_votes(t) for t in texts]
+    model = quality.LinearScorer()
+    r = np.random.default_rng(2)
+    model.weight, model.vote, model.bias = r.normal(size=quality.BUCKETS), r.normal(size=3 * len(quality.LABELLERS)), 0.3
+    mix = lambda x: int(quality.mix(np.array([x], dtype=np.uint64))[0] >> np.uint64(48))
+    want = []
+    for t, v in zip(raw, cast.tolist(), strict=True):
+        t2 = t[:3000] if len(t) > 3000 else t  # the sum below is slow in plain Python
+        sums = sum(model.weight[mix(t2[i] << 8 | t2[i + 1])] for i in range(len(t2) - 1))
+        sums += sum(model.weight[mix(t2[i] << 16 | t2[i + 1] << 8 | t2[i + 2] | 1 << 24)] for i in range(len(t2) - 2))
+        size = max(len(t2) - 1, 0) + max(len(t2) - 2, 0) + model.SHRINK
+        want.append(sums / size + sum(model.vote[3 * j + x] for j, x in enumerate(v) if x != quality.NONE) + model.bias)
+    short = [i for i, t in enumerate(raw) if len(t) <= 3000]
+    for block in (7, 1 << 18):  # blocks of n-grams join without a seam
+        monkeypatch.setattr(quality, "SLICE", block)
+        some = [raw[i] for i in short[:60]]
+        off = np.concatenate([[0], np.cumsum([len(t) for t in some])])
+        got = model.logits(np.frombuffer(b"".join(some), dtype=np.uint8), off, cast[short[:60]])
+        assert np.allclose(got, [want[i] for i in short[:60]])
+
+
+def test_quality_sample_ignores_copies_and_order(spark):
+    rows = [(k, prose(k, 60 + k % 40), "en", "a", 1) for k in range(150)] + [(200 + k, junk(k), "en", "a", 1) for k in range(100)]
+    copies = [(1000 + k, prose(7, 67), "en", "a", 1) for k in range(400)]
+    runs = []
+    for table, parts in ((rows + copies, 2), ((rows + copies)[::-1], 5)):
+        out = quality.classify(frame(spark, table).repartition(parts), sample=40)
+        runs.append({r.doc_id: (round(r.score, 9), r.kept) for r in out.collect()})
+    assert runs[0] == runs[1]
+
+
+def test_mostly_junk_is_rejected(spark):
+    """The share of bad documents may exceed one half."""
+    rows = [(k, prose(k, 80), "en", "a", 1) for k in range(60)] + [(200 + k, junk(k), "en", "a", 1) for k in range(240)]
+    kept = {r.doc_id for r in quality.keep_good(frame(spark, rows)).collect()}
+    assert len([i for i in kept if i >= 200]) <= 24 and len([i for i in kept if i < 200]) >= 57
