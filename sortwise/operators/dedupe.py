@@ -149,10 +149,17 @@ def ttl_hits(df: DataFrame, key_col: str = "msg_key", ts_col: str = "ts",
     return out.withColumn("is_hit", F.col("_miss").isNull()).drop("_miss_id", "_miss")
 
 
+def _hit_rates(grouped) -> DataFrame:
+    return grouped.agg(F.count(F.lit(1)).alias("requests"), F.sum(F.col("is_hit").cast("int")).alias("hits")).withColumn(
+        "hit_rate_pct", F.round(F.col("hits") / F.col("requests") * 100, 2))
+
+
 def hit_rate_by_hour(df: DataFrame, ts_col: str = "ts") -> DataFrame:
     """K3: requests, hits and hit rate per hour."""
-    return (df.groupBy(F.window(F.col(ts_col).cast("timestamp"), "1 hour").alias("w"))
-              .agg(F.count(F.lit(1)).alias("requests"),
-                   F.sum(F.col("is_hit").cast("int")).alias("hits"))
-              .select(F.col("w.start").alias("hour"), "requests", "hits",
-                      F.round(F.col("hits") / F.col("requests") * 100, 2).alias("hit_rate_pct")))
+    rates = _hit_rates(df.groupBy(F.window(F.col(ts_col).cast("timestamp"), "1 hour").alias("w")))
+    return rates.select(F.col("w.start").alias("hour"), "requests", "hits", "hit_rate_pct")
+
+
+def hit_rate_by_key(df: DataFrame, key_col: str = "msg_key") -> DataFrame:
+    """K3: requests, hits and hit rate per message key."""
+    return _hit_rates(df.groupBy(key_col))

@@ -181,6 +181,16 @@ def hit_rate_hourly(spark, sf):
                       F.col("hits").cast("bigint").alias("hits"), "hit_rate_pct")
 
 
+@register("hit_rate_by_key", "K3", _ttl_sql() + """
+SELECT kb.msg_key, CAST(count(*) AS BIGINT) AS requests,
+       CAST(sum(CAST(hits.is_hit AS INTEGER)) AS BIGINT) AS hits,
+       round(sum(CAST(hits.is_hit AS INTEGER)) / count(*) * 100, 2) AS hit_rate_pct
+FROM kb JOIN hits USING (msg_id) GROUP BY 1""")
+def hit_rate_by_key(spark, sf):
+    p = prepared_stream(spark, sf).withColumn("msg_key", K.message_key())
+    return K.hit_rate_by_key(K.ttl_hits(p.select("msg_id", "ts", "msg_key")))
+
+
 # ---------------------------------------------------------------------------
 # A1 / A2 / A3
 # ---------------------------------------------------------------------------

@@ -116,3 +116,13 @@ def stream_learned_candidates(spark, sf):
     stream, out, ck = _scratch(spark, sf, "candidates")
     ST.learned_candidates_job(stream, LX.verb_forms_df(spark), LX.read_learned(spark), out, ck)
     return ST.read_candidates(spark, out)
+
+
+@register("stream_learned_lexicon", "T5,J6,S5,S6", _tok_sql(S.msg_stream_sql()) + """
+SELECT DISTINCT token AS form, l_lemma AS lemma FROM lt WHERE s_lemma IS NULL AND l_lemma IS NOT NULL""")
+def stream_learned_lexicon(spark, sf):
+    """The newest version that a stream has published, starting from an empty lexicon; what
+    it may learn is the shipped table."""
+    stream, out, ck = _scratch(spark, sf, "lexicon")
+    ST.learned_lexicon_job(stream, LX.verb_forms_df(spark), LX.read_learned(spark), out, ck)
+    return LX.read_learned_versioned(spark, out)

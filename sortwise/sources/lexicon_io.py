@@ -69,29 +69,49 @@ def read_learned(spark: SparkSession, path: str | None = None) -> DataFrame:
     return raw.select(F.explode(F.from_json("value", "map<string,string>")).alias("form", "lemma"))
 
 
-def _versions(spark: SparkSession, root: str) -> list[str]:
-    """Names of the version folders under ``root``, by the file system of its URI."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+#: A version folder counts once this file stands in it; it is written after the data.
+COMMITTED = "_COMMITTED"
+
+
+def _fs(spark: SparkSession, path: str):
+    """(file system, path) by the URI."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _is_committed(spark: SparkSession, folder: str) -> bool:
+    fs, marker = _fs(spark, f"{folder}/{COMMITTED}")
+    return fs.exists(marker)
+
+
+def versions(spark: SparkSession, root: str) -> list[str]:
+    """Names of the committed version folders under ``root``, oldest first."""
+    fs, path = _fs(spark, root)
     if not fs.exists(path):
         return []
-    names = (s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory())
-    return sorted(n for n in names if n.startswith("v="))
+    names = sorted(s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory())
+    return [n for n in names if n.startswith("v=") and _is_committed(spark, f"{root}/{n}")]
 
 
 def read_learned_versioned(spark: SparkSession, root: str) -> DataFrame:
-    """Latest version written by ``save_learned`` (parquet), else empty."""
-    versions = _versions(spark, root)
-    if not versions:
+    """Newest committed version under ``root``, else empty; a version whose writer died, or
+    is still at work, isn't seen."""
+    found = versions(spark, root)
+    if not found:
         return spark.createDataFrame([], LEARNED_SCHEMA)
-    return spark.read.schema(LEARNED_SCHEMA).parquet(f"{root}/{versions[-1]}")
+    return spark.read.schema(LEARNED_SCHEMA).parquet(f"{root}/{found[-1]}")
 
 
 def save_learned(df: DataFrame, root: str, version: int) -> str:
-    """Write the learned lexicon sorted by form as a new version directory
-    (one batch per run); earlier versions stay readable."""
-    path = f"{root}/v={version:06d}"
-    df.select("form", "lemma").orderBy("form").write.mode("errorifexists").parquet(path)
+    """Write the learned lexicon sorted by form as a new version (one batch per run):
+    the data first, then the marker that commits it.  Earlier versions stay readable.  What
+    a dead writer left of this version is replaced; a committed version is an error."""
+    spark, path = df.sparkSession, f"{root}/v={version:06d}"
+    if _is_committed(spark, path):
+        raise ValueError(f"version is committed already: {path}")
+    df.select("form", "lemma").orderBy("form").write.mode("overwrite").parquet(path)
+    fs, marker = _fs(spark, f"{path}/{COMMITTED}")
+    fs.create(marker, False).close()
     return path
 
 

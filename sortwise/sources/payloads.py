@@ -27,12 +27,14 @@ def parse_payloads(df: DataFrame, json_col: str = "payload") -> DataFrame:
               .withColumn("ctx", F.col("_p.ctx"))
               .withColumn("history", F.coalesce(F.col("_p.history"),
                                                 F.array().cast(f"array<{MSG_SCHEMA}>")))
-              .withColumn("corrupt", F.col("_p._corrupt"))
-              .withColumn("reject_reason", F.when(
-                  F.col(json_col).isNull() | F.col(json_col).rlike(r"^\s*(\{\s*\}|null)?\s*$"), "NO_PAYLOAD")
-                  .when(F.col("corrupt").isNotNull(), "MALFORMED"))
-              .withColumn("rejected", F.col("reject_reason").isNotNull())
-              .drop("_p"))
+              .withColumns(_refusal(json_col)).drop("_p"))
+
+
+def _refusal(json_col: str, empty: str = r"^\s*(\{\s*\}|null)?\s*$") -> dict:
+    """corrupt, reject_reason and rejected, out of the parsed ``_p``."""
+    reason = (F.when(F.col(json_col).isNull() | F.col(json_col).rlike(empty), "NO_PAYLOAD")
+              .when(F.col("_p._corrupt").isNotNull(), "MALFORMED"))
+    return {"corrupt": F.col("_p._corrupt"), "reject_reason": reason, "rejected": reason.isNotNull()}
 
 
 def split_rejected(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -42,7 +44,10 @@ def split_rejected(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def parse_webhooks(df: DataFrame, json_col: str = "payload") -> DataFrame:
     """{from, message} -> request with from defaulting to 'unknown', a
-    fixed ctx {lang 'pt', temperature 0.3} and an empty history."""
+    fixed ctx {lang 'pt', temperature 0.3} and an empty history.
+
+    A body that is no JSON object never reaches triage: it is kept in ``corrupt`` and
+    refused as in S1.  An empty object is a request of an unknown sender."""
     p = F.from_json(F.col(json_col), WEBHOOK_SCHEMA,
                     {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
     ctx = F.struct(F.lit(L.WEBHOOK_CTX_LANG).alias("lang"), F.lit(None).cast("string").alias("model"),
@@ -52,7 +57,7 @@ def parse_webhooks(df: DataFrame, json_col: str = "payload") -> DataFrame:
               .withColumn("message", T.strip_ws(F.coalesce(F.col("_p.message"), F.lit(""))))
               .withColumn("ctx", ctx)
               .withColumn("history", F.array().cast(f"array<{MSG_SCHEMA}>"))
-              .drop("_p"))
+              .withColumns(_refusal(json_col, r"^\s*(null)?\s*$")).drop("_p"))
 
 
 def split_empty(df: DataFrame) -> tuple[DataFrame, DataFrame]:

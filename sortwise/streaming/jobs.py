@@ -18,6 +18,7 @@ from ..operators import dedupe as K
 from ..operators import reports as A
 from ..operators import tokens as J
 from ..operators.triage import triage
+from ..sources import lexicon_io as LX
 from ..sources import payloads as SP
 from ..sources import tables as TB
 from ..sources.phrases import phrases_df
@@ -151,3 +152,27 @@ def learned_candidates_job(stream: DataFrame, static: DataFrame, learned: DataFr
                .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     return q
+
+
+def publish_learned(batch: DataFrame, batch_id: int, static: DataFrame, suggestions: DataFrame, root: str) -> None:
+    """One turn of the learned-lexicon loop (T5, J6, S6, S5): tokens of the micro-batch that
+    neither ``static`` nor the newest committed version knows and ``suggestions`` (form,
+    lemma) can lemmatise become a new version.  A replayed batch finds its version
+    committed and does nothing; one whose writer died half-way writes it anew."""
+    spark, name = batch.sparkSession, f"v={batch_id + 1:06d}"
+    if name in LX.versions(spark, root):
+        return
+    learned = LX.read_learned_versioned(spark, root)
+    seen = batch.groupBy(F.col("token").alias("form")).agg(F.min("ts").alias("seen_at"))
+    known = F.broadcast(static.select("form"))
+    candidates = seen.join(known, "form", "left_anti").join(suggestions, "form")
+    LX.save_learned(J.merge_learned(learned, candidates), root, batch_id + 1)
+
+
+def learned_lexicon_job(stream: DataFrame, static: DataFrame, suggestions: DataFrame, root: str, checkpoint: str):
+    """Publishes a version of the learned lexicon under ``root`` per micro-batch."""
+    tokens = C.prepare(stream, C.default_lexicon()).select("ts", F.explode("tokens").alias("token"))
+    q = (tokens.writeStream.foreachBatch(lambda b, i: publish_learned(b, i, static, suggestions, root))
+               .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return q

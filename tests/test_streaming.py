@@ -105,3 +105,38 @@ def test_replayed_batches_write_once(spark):
     ST.write_candidates(counts.withColumn("freq", F.lit(3).cast("long")), 1, f"{path}/tok")
     assert spark.read.parquet(f"{path}/ok").count() == spark.read.parquet(f"{path}/err").count() == 1
     assert [tuple(r) for r in ST.read_candidates(spark, f"{path}/tok").collect()] == [("a", 3)]
+
+
+def test_learned_lexicon_versions(spark):
+    """Two versions by one stream; what a dead writer leaves is neither read nor in the way."""
+    from sortwise.sources import lexicon_io as LX
+    root = tempfile.mkdtemp(prefix="lexicon-")
+    static = spark.createDataFrame([("cria", "criar")], "form string, lemma string")
+    known = spark.createDataFrame([("oi", "saudar"), ("bip", "bipar"), ("cria", "outra")], "form string, lemma string")
+
+    def batch(*tokens):
+        return spark.createDataFrame([(T0, t) for t in tokens], "ts timestamp, token string")
+
+    def newest():
+        return {tuple(r) for r in LX.read_learned_versioned(spark, root).collect()}
+
+    spark.createDataFrame([("half", "written")], "form string, lemma string").write.parquet(f"{root}/v=000001")
+    assert newest() == set() and LX.versions(spark, root) == []
+    ST.publish_learned(batch("oi", "cria", "zzz"), 0, static, known, root)
+    assert newest() == {("oi", "saudar")}
+    spark.createDataFrame([], "form string, lemma string").write.parquet(f"{root}/v=000002")  # died before the marker
+    assert newest() == {("oi", "saudar")}
+    for _ in range(2):  # the batch is replayed
+        ST.publish_learned(batch("bip", "oi"), 1, static, known.replace("saudar", "nunca"), root)
+    assert newest() == {("oi", "saudar"), ("bip", "bipar")}
+    assert LX.versions(spark, root) == ["v=000001", "v=000002"]
+
+
+def test_malformed_webhooks_are_refused(spark):
+    from sortwise.sources import payloads as SP
+    texts = ['{"from": "a", "message": " oi "}', "{", "plain words", None, "null", " ", "{}", '{"message": null}']
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, payload string")
+    got = {r.id: (r.sender, r.message, r.reject_reason, r.corrupt) for r in SP.parse_webhooks(df).collect()}
+    assert got[0] == ("a", "oi", None, None)
+    assert [got[k][2] for k in range(1, 8)] == ["MALFORMED", "MALFORMED", "NO_PAYLOAD", "NO_PAYLOAD", "NO_PAYLOAD", None, None]
+    assert got[1][3] == "{" and got[2][3] == "plain words" and got[6][:2] == ("unknown", "")
