@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .dedupe import _checkpoint as checkpointed
+
 
 def _pct(num: Column, den: Column) -> Column:
     return F.when(den > 0, F.round(num / den * 100, 2)).otherwise(F.lit(0.0))
@@ -136,6 +138,37 @@ def first_errors(df: DataFrame, k: int = 10, pred: str = "bucket", label: str =
     return ranked.where((F.col("err_rank") <= k) & (F.col(pred) != F.col(label)))
 
 
+def case_positions(df: DataFrame, label: str = "expected", order: str = "msg_id") -> DataFrame:
+    """``df`` with ``position``, from 1, of every row within its class.
+
+    Rows are range-sorted by (class, order) and written, so a class that holds most rows is
+    many tasks; a row's position is its number in its task's stretch of the class plus
+    the sizes of the class's stretches before.  The table of stretches has a row a task
+    and class, and is broadcast."""
+    rows = checkpointed(df.repartitionByRange(label, order).sortWithinPartitions(label, order)
+                        .withColumn("_at", F.monotonically_increasing_id()))
+    task = F.shiftright("_at", 33)  # the id's upper bits number the task, the others its rows
+    parts = rows.groupBy(F.col(label).alias("_class"), task.alias("_task")).agg(
+        F.min("_at").alias("_from"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_class").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    met = rows.withColumn("_row_task", task).join(
+        F.broadcast(parts), F.col(label).eqNullSafe(F.col("_class")) & (F.col("_row_task") == F.col("_task")))
+    return met.withColumn("position", F.col("_at") - F.col("_from") + F.col("_before") + 1).drop(
+        "_at", "_row_task", "_class", "_task", "_from", "_before")
+
+
+# FIXED VALUES: what the evaluation shows besides errors: the first cases of a class, and each so-many-th
+SHOWN_FIRST, SHOWN_EVERY = 5, 20
+
+
+def case_samples(df: DataFrame, pred: str = "bucket", label: str = "expected", order: str = "msg_id") -> DataFrame:
+    """The cases that the evaluation shows: every misclassified one, the first of each
+    class, and each ``SHOWN_EVERY``-th."""
+    rows = case_positions(df, label, order).withColumn("correct", F.col(pred) == F.col(label))
+    return rows.where(~F.col("correct") | (F.col("position") <= SHOWN_FIRST) | (F.col("position") % SHOWN_EVERY == 0))
+
+
 def lexicon_coverage(lemmatised: DataFrame, by: str) -> DataFrame:
     """A10: share of tokens that are static forms, learned forms or unknown."""
     c = lemmatised.groupBy(by).agg(

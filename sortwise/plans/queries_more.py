@@ -350,6 +350,15 @@ def first_errors(spark, sf):
                       F.col("msg_id").cast("bigint").alias("msg_id"), "message", "bucket")
 
 
+@register("case_samples", "A8", _CLS + """,
+numbered AS (SELECT *, row_number() OVER (PARTITION BY expected ORDER BY msg_id) AS i FROM cl)
+SELECT expected, CAST(i AS BIGINT) AS position, CAST(msg_id AS BIGINT) AS msg_id, bucket,
+       bucket = expected AS correct FROM numbered WHERE bucket <> expected OR i <= 5 OR i % 20 = 0""")
+def case_samples(spark, sf):
+    cases = C.classify(TB.msg_stream(spark, sf)).select("expected", F.col("msg_id").cast("bigint").alias("msg_id"), "bucket")
+    return A.case_samples(cases).select("expected", "position", "msg_id", "bucket", "correct")
+
+
 # ---------------------------------------------------------------------------
 # Top-k reasons and keywords
 # ---------------------------------------------------------------------------

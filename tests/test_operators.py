@@ -114,3 +114,25 @@ def test_emoji_and_marks_are_dropped(spark):
     assert {r.message: r.rule_id for r in classify(df).collect()} == want
     nfd = spark.createDataFrame([(1, "reunia\u0303o")], "msg_id long, message string")
     assert classify(nfd).first().norm == "reuniao"
+
+
+def test_case_positions_with_one_large_class(spark):
+    """One class holds 90 % of the rows, over many tasks; ids come in no order."""
+    from sortwise.operators import reports as A
+    n = 3000
+    df = spark.range(n).selectExpr("(id * 7919) % 3000 AS msg_id", "CASE WHEN id % 10 = 0 THEN 'few' ELSE 'many' END AS expected",
+                                   "CASE WHEN id % 700 = 1 THEN 'wrong' WHEN id % 10 = 0 THEN 'few' ELSE 'many' END AS bucket")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = df.collect()
+        got = {(r.expected, r.position, r.msg_id) for r in A.case_samples(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    want = set()
+    for c in ("few", "many"):
+        mine = sorted((r.msg_id, r.bucket) for r in rows if r.expected == c)
+        want |= {(c, i, m) for i, (m, b) in enumerate(mine, 1) if b != c or i <= 5 or i % 20 == 0}
+    assert got == want
