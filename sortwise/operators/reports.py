@@ -83,6 +83,27 @@ def stage_latency(log: DataFrame) -> DataFrame:
                                   F.percentile_approx("ms", 0.95).alias("p95_ms"))
 
 
+#: Size parameter of a quantile sketch: a rank is off by 0.7 % with it (99 % of the time).
+SKETCH_K = 400
+
+
+def stage_sketches(log: DataFrame, ts_col: str = "ts") -> DataFrame:
+    """A3 as a table to keep: per hour and stage, the samples and a mergeable quantile sketch."""
+    e = log.select(F.date_trunc("hour", ts_col).alias("hour"), F.explode_outer("latencies").alias("stage", "ms"))
+    return e.where(F.col("stage").isNotNull() & F.col("ms").isNotNull()).groupBy("hour", "stage").agg(
+        F.count(F.lit(1)).alias("samples"), F.kll_sketch_agg_double("ms", SKETCH_K).alias("sketch"))
+
+
+def stage_quantiles(sketches: DataFrame, *by: str) -> DataFrame:
+    """Median and p95 per stage (and ``by``, such as a day of the hour), rolled up from the
+    sketches alone; no latency is read again."""
+    merged = sketches.groupBy(*by, "stage").agg(
+        F.sum("samples").alias("samples"), F.kll_merge_agg_double("sketch", SKETCH_K).alias("s"))
+    return merged.select(*by, "stage", "samples",
+                         F.kll_sketch_get_quantile_double("s", F.lit(0.5)).alias("p50_ms"),
+                         F.kll_sketch_get_quantile_double("s", F.lit(0.95)).alias("p95_ms"))
+
+
 def bucket_distribution(df: DataFrame, by: str) -> DataFrame:
     """A4: messages per (by, bucket) and the share within ``by`` (window over
     the aggregated rows only)."""

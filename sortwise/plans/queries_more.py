@@ -266,6 +266,13 @@ def stage_latency(spark, sf):
     return out.select("stage", F.col("samples").cast("bigint").alias("samples"), "avg_ms")
 
 
+@register("stage_quantiles", "A3")
+def stage_quantiles(spark, sf):
+    """Median and p95 per stage, from hourly sketches.  A sketch draws at random what it
+    keeps, so there is no SQL for the values; a test holds their ranks to the bound."""
+    return A.stage_quantiles(A.stage_sketches(TB.with_latencies(request_log(spark, sf))))
+
+
 # ---------------------------------------------------------------------------
 # A4 - A8 (evaluation uses the raw cascade verdict, like the reference's
 # evaluation script, against the expected final label)

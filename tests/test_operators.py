@@ -136,3 +136,23 @@ def test_case_positions_with_one_large_class(spark):
         mine = sorted((r.msg_id, r.bucket) for r in rows if r.expected == c)
         want |= {(c, i, m) for i, (m, b) in enumerate(mine, 1) if b != c or i <= 5 or i % 20 == 0}
     assert got == want
+
+
+def test_stage_quantiles_are_within_the_sketch_bound(spark):
+    """Rolled up from many hours; compared with the exact ranks."""
+    from sortwise.operators import reports as A
+    df = spark.range(20_000).selectExpr("timestamp_seconds(id * 97) AS ts", "map('a', (id * 7919 % 20011) / 7.0, 'b', "
+                                        "CASE WHEN id % 3 = 0 THEN double(id % 10) END) AS latencies")
+    got = {r.stage: r for r in A.stage_quantiles(A.stage_sketches(df)).collect()}
+    values = {"a": [], "b": []}
+    for r in df.collect():
+        for k, v in r.latencies.items():
+            if v is not None:
+                values[k].append(v)
+    for k, exact in values.items():
+        assert got[k].samples == len(exact)
+        for q, v in ((0.5, got[k].p50_ms), (0.95, got[k].p95_ms)):
+            below, upto = sum(x < v for x in exact) / len(exact), sum(x <= v for x in exact) / len(exact)
+            assert below - 0.02 <= q <= upto + 0.02
+    days = A.stage_quantiles(A.stage_sketches(df).withColumn("day", F.date_trunc("day", "hour")), "day")
+    assert days.count() > 20 and days.columns == ["day", "stage", "samples", "p50_ms", "p95_ms"]

@@ -44,8 +44,8 @@ def test_every_query_has_a_builder_and_most_have_oracles():
     assert set(o) <= set(q)
     assert len(q) >= 55
     from sortwise.plans.catalog import REGISTRY
-    # every query of the triage operators has an SQL oracle, but for one whose rows are not fixed
-    assert set(REGISTRY) - set(o) == {"stream_ttl_approximate"}
+    # every query of the triage operators has an SQL oracle, but for two whose rows are not fixed
+    assert set(REGISTRY) - set(o) == {"stream_ttl_approximate", "stage_quantiles"}
 
 
 def test_entry_smoke(spark):
