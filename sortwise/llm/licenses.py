@@ -20,7 +20,8 @@ show, and key phrases.
 Base phrases are templates with share 1 and no drift, so each place of one is a match.
 Of the other templates the best match per text is kept (greatest share, then first).
 
-Words are looked up by 64-bit hashes; what is reported has been compared by its bytes.
+Words are looked up by 64-bit hashes; key phrases, and so base phrases, are compared by
+their bytes.
 A word that is in no text has the IDF of one in none.  Null, empty and wordless texts
 have no matches.  Repeated rows count and are scanned each; an empty table gives an
 empty result.  A very long text is a slice of its own, its candidates are weighed in
