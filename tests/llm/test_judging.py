@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from llm_cases import components, edge_rows, frame, prose, rows_of, words
 from tokenizers import Tokenizer
@@ -214,8 +215,77 @@ def test_character_network_finds_held_out_secrets(spark):
     fit, held, test = order[:180], order[180:240], order[240:]
     net = secrets.CharNet().train(x[fit], y[fit])
     net.calibrate(x[held], y[held], 0.98)
-    found = net.probability(x[test]) >= net.threshold
-    assert (found == (y[test] == 1)).mean() > 0.95 and net.threshold >= 0.5
+    p = net.probability(x[test])
+    assert ((p >= 0.5) == (y[test] == 1)).mean() > 0.95
+    # The threshold is set by recall alone: the highest with 98 % of the held-out findings.
+    scores = np.sort(net.probability(x[held][y[held] == 1]))
+    assert net.threshold == scores[int(0.02 * len(scores))] and (p[y[test] == 1] >= net.threshold).mean() >= 0.95
+
+
+def found_in(text):
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], names=["i", "t"])
+    (out,) = secrets._find([batch])
+    return {text[c["start"]: c["end"]]: c["plain"] for c in out.column(2).to_pylist()[0]}
+
+
+def test_every_run_that_may_be_a_secret_is_a_candidate():
+    rest = "x9/" + "deadbeef" * 4 + "-QzT8kPwL0aa"
+    small, capital = "qwhzkfjvmxprtslbdngcyweoia", "QWHZKFJVMXPRTSLBDNGC"
+    got = found_in(f"é {rest} and {small} or {capital}, ghp_{'QwZx' * 9}; on 2024-01-15 the overwhelming WEATHER")
+    assert got == {"-QzT8kPwL0aa": False, small: False, capital: False, "ghp_" + "QwZx" * 9: False, "2024-01-15": True}
+    assert found_in("the bearer: lkjhgfds") == {"lkjhgfds": True} and found_in("") == {} and found_in(None) == {}
+    assert secrets.rests([(0, 30), (40, 50)], [(8, 12), (10, 20), (45, 46)]) == [(0, 8), (20, 30)]
+
+
+def test_character_network_against_plain_loops():
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.integers(0, 256, (6, secrets.WIDTH)), rng.integers(0, 2, (6, secrets.WIDTH))], axis=1).astype(np.uint8)
+    y = np.array([1.0, 0, 1, 0, 0, 1])
+    net = secrets.CharNet(filters=3, size=4, dim=2)
+
+    def plain_logit(row):
+        places = [[*net.w["e"][row[i]], float(row[secrets.WIDTH + i])] for i in range(secrets.WIDTH)]
+        total = net.w["b"][0]
+        for f in range(3):
+            sums = []
+            for at in range(secrets.WIDTH - 3):
+                flat = [v for place in places[at: at + 4] for v in place]
+                order = [place * 3 + channel for place in range(4) for channel in range(3)]
+                sums.append(sum(flat[o] * net.w["k"][o, f] for o in order) + net.w["c"][f])
+            total += net.w["v"][f] * max(max(sums), 0)
+        return total
+
+    assert np.allclose(net.logits(x), [plain_logit(r) for r in x])
+    # One step of training moves every weight against the sign of its numerical gradient.
+    def loss():
+        z = net.logits(x)
+        return np.mean(np.log1p(np.exp(-z)) * y + np.log1p(np.exp(z)) * (1 - y))
+
+    slopes = {}
+    for name, w in net.w.items():
+        for at in [tuple(rng.integers(0, n) for n in w.shape) for _ in range(12)]:
+            old = w[at]
+            w[at] = old + 1e-5
+            up = loss()
+            w[at] = old - 1e-5
+            slopes[name, at] = (up - loss()) / 2e-5
+            w[at] = old
+    before = {k: w.copy() for k, w in net.w.items()}
+    net.train(x, y, epochs=1, batch=6)
+    for (name, at), slope in slopes.items():
+        if abs(slope) > 1e-6:
+            assert np.sign(before[name][at] - net.w[name][at]) == np.sign(slope)
+
+
+def test_model_adds_keys_of_other_kinds_and_leaves_words(spark):
+    r = random.Random(12)
+    key = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(32))
+    odd = [(1000 + i, f"{prose(i, 12)} {key()} {prose(i + 1, 12)}", "en", "a", 1) for i in range(40)]
+    rows = secret_rows(150) + [(2000 + i, prose(i, 40), "en", "a", 1) for i in range(300)]
+    spans = {q.doc_id: q.spans for q in secrets.scan(frame(spark, rows + odd), sample=600).collect()}
+    hit = sum(any(s.kind == "model" and t[s.start: s.end] == t.split(" ")[12] for s in spans[i]) for i, t, *_ in odd)
+    false = sum(len(spans[2000 + i]) for i in range(300))
+    assert hit >= 36 and false <= 3
 
 
 def test_mask(spark):
