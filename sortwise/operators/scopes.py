@@ -74,21 +74,48 @@ def with_scopes(df: DataFrame, bucket_col: str = "bucket") -> DataFrame:
                                          norm_scopes()).otherwise(empty()))
 
 
-def scope_pattern_table(spark) -> DataFrame:
-    rows = [(i, p, s) for i, (p, s) in enumerate(L.SCOPE_PATTERNS)]
+def scope_pattern_table(spark, patterns=L.SCOPE_PATTERNS) -> DataFrame:
+    rows = [(i, p, list(s)) for i, (p, s) in enumerate(patterns)]
     return spark.createDataFrame(rows, "prio int, pattern string, scopes array<string>")
 
 
+#: Length of the substrings that ``first_pattern_join`` indexes.
+GRAM = 3
+
+
+def _substrings(text: Column, size: int) -> Column:
+    last = F.length(text) - F.lit(size - 1)
+    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(text, i, F.lit(size)))) \
+        .otherwise(empty())
+
+
 def first_pattern_join(df: DataFrame, patterns: DataFrame, key: str = "msg_id") -> DataFrame:
-    """J10 as a non-equi join: every (row, pattern) with instr(norm, pattern) > 0,
-    then the lowest-priority pattern per row.  The pattern table is a fixed,
-    29-row relation, so broadcasting it is bounded; rows are pre-filtered by
-    one trie regex so only candidate rows enter the nested loop."""
-    cand = df.select(key, "norm").where(T.has_any(F.col("norm"), [p for p, _ in L.SCOPE_PATTERNS]))
-    pairs = cand.join(F.broadcast(patterns), F.instr(F.col("norm"), F.col("pattern")) > 0)
-    return pairs.groupBy(key).agg(F.min_by(F.struct("pattern", "scopes"), F.col("prio"))
-                                  .alias("first"))\
-        .select(key, F.col("first.pattern").alias("pattern"), F.col("first.scopes").alias("scopes"))
+    """J10 as a join, for a pattern table of any size: (key, pattern, scopes) of the first
+    pattern, by ``prio``, that each row's ``norm`` contains.
+
+    ``patterns`` has ``prio`` (unique), ``pattern`` (an empty or null one matches nothing)
+    and ``scopes``.  Distinct texts are indexed by their distinct substrings of ``GRAM``
+    characters and fewer.  A pattern is looked up by the one of its own that fewest texts
+    hold, with an equi-join, and verified on the text; both sides may be large, nothing
+    is broadcast by hint.  A pattern shorter than ``GRAM`` is its own substring.  Rows of
+    equal text share the work, so a frequent message weighs once."""
+    digest = F.unhex(F.md5("norm"))
+    texts = df.where(F.col("norm").isNotNull()).select("norm").distinct().select(digest.alias("digest"), "norm")
+    grams = texts.select("digest", F.explode(F.array_distinct(F.concat(
+        *[_substrings(F.col("norm"), n) for n in range(1, GRAM + 1)]))).alias("gram"))
+    own = F.least(F.length("pattern"), F.lit(GRAM))
+    parts = patterns.where(F.length("pattern") > 0).select("prio", F.explode(F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.length("pattern") - own + 1), lambda i: F.substr(F.col("pattern"), i, own)))).alias("gram"))
+    spread = grams.join(parts.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    # A pattern with a substring that no text holds matches nothing.
+    rarest = parts.join(spread, "gram", "left").groupBy("prio").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least"))
+    looked_up = patterns.join(rarest.where("least.n > 0"), "prio").select("prio", "pattern", F.col("least.gram").alias("gram"))
+    first = (grams.join(looked_up, "gram").join(texts, "digest")
+             .where(F.instr(F.col("norm"), F.col("pattern")) > 0)
+             .groupBy("digest").agg(F.min("prio").alias("prio")))
+    return (df.select(key, digest.alias("digest")).join(first, "digest")
+              .join(patterns.select("prio", "pattern", "scopes"), "prio").select(key, "pattern", "scopes"))
 
 
 def scope_demand(df: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from ..operators import classify as C
 from ..operators import scopes as D
 from ..operators.triage import triage
 from ..sources import tables as TB
+from ..sources.variants import literals
 from . import sqlgen as S
 from .catalog import register
 
@@ -147,9 +148,8 @@ def scope_demand_all(spark, sf):
 
 
 # J10 -----------------------------------------------------------------------
-def _first_pattern_sql(src):
-    pats = ", ".join(f"({i}, {S.q(p)}, {S.list_lit(s)})" for i, (p, s) in
-                     enumerate(L.SCOPE_PATTERNS))
+def _first_pattern_sql(src, patterns=L.SCOPE_PATTERNS):
+    pats = ", ".join(f"({i}, {S.q(p)}, {S.list_lit(s)})" for i, (p, s) in enumerate(patterns))
     return f"""WITH {S.features_cte(src)},
 pt AS (SELECT * FROM (VALUES {pats}) AS t(prio, pattern, scopes)),
 pr AS (SELECT feat.msg_id, pt.prio, pt.pattern, pt.scopes FROM feat JOIN pt ON contains(feat.norm, pt.pattern)),
@@ -165,6 +165,19 @@ def first_scope_pattern(spark, sf):
                       F.array_join("scopes", ",").alias("scopes"))
 
 
+_SCOPES_OF = dict(L.SCOPE_PATTERNS)
+_ALL_PATTERNS = [(x, _SCOPES_OF.get(x, [])) for x in sorted(literals())]
+
+
+@register("first_literal_variants", "J10", _first_pattern_sql(S.msg_variants_sql(), _ALL_PATTERNS))
+def first_literal_variants(spark, sf):
+    """J10 with every literal of every list as a pattern, in alphabetical order."""
+    df = C.prepare(TB.msg_variants(spark, sf), C.default_lexicon())
+    out = D.first_pattern_join(df, D.scope_pattern_table(spark, _ALL_PATTERNS))
+    return out.select(F.col("msg_id").cast("bigint").alias("msg_id"), "pattern",
+                      F.array_join("scopes", ",").alias("scopes"))
+
+
 # P1 / P2 / P3 ----------------------------------------------------------------
 def _text_sql(src):
     return (f"WITH {S.features_cte(src)} SELECT CAST(msg_id AS BIGINT) AS msg_id, "

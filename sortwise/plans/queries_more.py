@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import uuid
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
@@ -14,6 +18,7 @@ from ..operators import reports as A
 from ..operators import scopes as D
 from ..operators import tokens as J
 from ..operators.triage import triage
+from ..session import ensure_checkpoint_dir
 from ..sources import lexicon_io as LX
 from ..sources import payloads as SP
 from ..sources import sinks as SK
@@ -636,6 +641,21 @@ def assembled_payloads_stream(spark, sf):
                     F.col("payload.max_tokens").cast("int").alias("max_tokens"))
 
 
+@register("results_replaced", "S7", _payload_sql("""SELECT CAST(msg_id AS BIGINT) AS msg_id, bucket, rule_id,
+  m AS message, norm, model FROM pl WHERE bucket <> 'unclear' OR event_type <> 'error'"""))
+def results_replaced(spark, sf):
+    """All results written by bucket; then ``unclear`` replaced by its requests without an
+    error, the other buckets' files untouched; then each bucket read on its own."""
+    path = f"{ensure_checkpoint_dir(spark)}/results/{uuid.uuid4().hex}"
+    a = _assembled(spark, sf)
+    SK.write_results(SK.result_rows(a), path)
+    SK.replace_buckets(SK.result_rows(a.where((F.col("bucket") == "unclear") & (F.col("event_type") != "error"))), path)
+    parts = [SK.read_results(spark, path, bucket).select(
+        "msg_id", "bucket", F.col("classification.rule_id").alias("rule_id"), F.col("mensagem_completa").alias("message"),
+        F.col("texto_normalizado").alias("norm"), F.col("openaiPayload.model").alias("model")) for bucket in L.BUCKETS]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 @register("history_from_conversations", "B4", """WITH w AS (
   SELECT conv_id, turn, role,
     list(role) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS roles,

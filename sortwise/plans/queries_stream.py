@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 from ..sources import lexicon_io as LX
+from ..sources import payloads as SP
 from ..sources import tables as TB
 from ..streaming import jobs as ST
 from . import sqlgen as S
 from .catalog import register
 from .queries_core import _flat_sql
-from .queries_more import _tok_sql, _ttl_sql
+from .queries_more import _payload_src, _tok_sql, _ttl_sql
 
 
 def _scratch(spark, sf, tag):
@@ -109,6 +110,29 @@ def stream_quarantine(spark, sf):
     return ok.unionByName(bad).groupBy("status").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
 
 
+@register("stream_ingest", "S1,S3,T4", f"""WITH {S.features_cte(_payload_src())}
+SELECT CAST(msg_id AS BIGINT) AS msg_id,
+  CASE WHEN msg_id % 10 IN (0, 6) THEN 'MALFORMED' WHEN msg_id % 10 < 6 THEN 'NO_PAYLOAD'
+       WHEN m = '' THEN 'EMPTY_INPUT' ELSE 'accepted' END AS status,
+  CASE WHEN msg_id % 10 IN (0, 6) THEN CASE msg_id % 10 WHEN 0 THEN {S.q(SP.REFUSED[0])} ELSE {S.q(SP.REFUSED[6])} END
+       WHEN msg_id % 10 > 6 AND m <> '' THEN m END AS body FROM feat""")
+def stream_ingest(spark, sf):
+    """Bodies as a stream of several micro-batches into three sinks, all read back."""
+    root = f"{ensure_checkpoint_dir(spark)}/streams/ingest-{uuid.uuid4().hex}"
+    files = spark.sparkContext.defaultParallelism
+    bodies = SP.with_refused(SP.stream_payloads(TB.msg_stream(spark, sf))).select("msg_id", "payload")
+    bodies.repartition(2 * files).write.json(f"{root}/in")
+    ST.ingest_job(ST.body_stream(spark, f"{root}/in", files), f"{root}/out", f"{root}/checkpoint")
+
+    def sink(name, status, body):
+        return spark.read.parquet(f"{root}/out/{name}").select(
+            F.col("msg_id").cast("bigint").alias("msg_id"), status.alias("status"), body.cast("string").alias("body"))
+    refused = F.when(F.col("reject_reason") == "MALFORMED", F.col("payload"))
+    return (sink("accepted", F.lit("accepted"), F.col("message"))
+            .unionByName(sink("empty", F.col("error"), F.lit(None)))
+            .unionByName(sink("refused", F.col("reject_reason"), refused)))
+
+
 @register("stream_learned_candidates", "T5", _tok_sql(S.msg_stream_sql()) + """
 SELECT token, CAST(count(*) AS BIGINT) AS freq FROM lt
 WHERE s_lemma IS NULL AND l_lemma IS NULL GROUP BY token""")

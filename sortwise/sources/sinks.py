@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Columns of the full result row.
@@ -24,6 +24,18 @@ def write_results(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     df.write.mode("overwrite").partitionBy("bucket").format(fmt).save(path)
 
 
+def replace_buckets(df: DataFrame, path: str) -> None:
+    """Replaces the buckets that ``df`` has rows of, and leaves the others' files alone."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def read_results(spark: SparkSession, path: str, *buckets: str) -> DataFrame:
+    """Written results, of the named ``buckets`` only if there are any: the others'
+    folders are pruned, their files never opened."""
+    df = spark.read.parquet(path)
+    return df.where(F.col("bucket").isin(*buckets)) if buckets else df
+
+
 def event_log(df: DataFrame) -> DataFrame:
     """One record per processed message (bucket, scopes, length, model, and the
     measured latency of each stage: map<string,double> ``latencies`` of the input)."""

@@ -131,6 +131,40 @@ def quarantine_job(stream: DataFrame, ok_path: str, err_path: str, checkpoint: s
     return q
 
 
+# S1 / S2 as a stream ----------------------------------------------------------
+BODIES_SCHEMA = "msg_id long, payload string"
+
+
+def body_stream(spark: SparkSession, path: str, max_files: int = 1) -> DataFrame:
+    """Request bodies as they came: JSON lines of (msg_id, payload), at most ``max_files``
+    a micro-batch."""
+    return spark.readStream.schema(BODIES_SCHEMA).option("maxFilesPerTrigger", max_files).json(path)
+
+
+def write_ingested(batch: DataFrame, batch_id: int, root: str) -> None:
+    """One micro-batch of parsed bodies into three sinks under ``root``: ``accepted``,
+    ``empty`` (S3) and ``refused`` (dead letters, with their text).  Each gets a folder
+    of its own, which a replay of the batch replaces."""
+    batch.persist()
+    try:
+        valid, refused = SP.split_rejected(batch)
+        accepted, blank = SP.split_empty(valid)
+        for name, rows in (("accepted", accepted.select("msg_id", "message", "ctx", "history")),
+                           ("empty", blank.select("msg_id", "error", "reply")),
+                           ("refused", refused.select("msg_id", "reject_reason", "payload"))):
+            rows.write.mode("overwrite").parquet(f"{root}/{name}/batch={batch_id}")
+    finally:
+        batch.unpersist()
+
+
+def ingest_job(bodies: DataFrame, root: str, checkpoint: str, parse=SP.parse_payloads):
+    """S1 (or S2, with ``parse_webhooks``) over a stream of bodies: see ``write_ingested``."""
+    q = (parse(bodies).writeStream.foreachBatch(lambda b, i: write_ingested(b, i, root))
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return q
+
+
 # T5 -------------------------------------------------------------------------
 def write_candidates(batch: DataFrame, batch_id: int, root: str) -> None:
     """The counts that a micro-batch changed, as a folder of its own (a replay replaces it)."""

@@ -156,3 +156,37 @@ def test_stage_quantiles_are_within_the_sketch_bound(spark):
             assert below - 0.02 <= q <= upto + 0.02
     days = A.stage_quantiles(A.stage_sketches(df).withColumn("day", F.date_trunc("day", "hour")), "day")
     assert days.count() > 20 and days.columns == ["day", "stage", "samples", "p50_ms", "p95_ms"]
+
+
+def test_indexed_pattern_join_against_brute_force(spark):
+    from sortwise.operators import scopes as D
+    texts = ["abra a planilha", "a", "ab", "", None, "planilha de planos", "ção e é", "x" * 500 + "fim"] + ["abra a planilha"] * 40
+    pats = ["planilha", "plan", "a", "bra", "é", "xf", "xxfim", "nada disso", "", None, "abra a planilha inteira", "planos"]
+    df = spark.createDataFrame(list(enumerate(texts)), "msg_id long, norm string")
+    table = spark.createDataFrame([(i, p, [str(p)]) for i, p in enumerate(pats)], "prio int, pattern string, scopes array<string>")
+    for order in (1, -1):
+        out = D.first_pattern_join(df, table.withColumn("prio", F.col("prio") * order))
+        want = {i: next((p for p in pats[::order] if p and p in t), None) for i, t in enumerate(texts) if t}
+        assert {r.msg_id: r.pattern for r in out.collect()} == {i: p for i, p in want.items() if p}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert D.first_pattern_join(df, table.limit(0)).count() == D.first_pattern_join(df.limit(0), table).count() == 0
+
+
+def test_one_bucket_replaced_and_read_alone(spark):
+    path = os.path.join(tempfile.mkdtemp(prefix="results-"), "r")
+
+    def files():
+        return {f: os.path.getmtime(os.path.join(d, f)) for d, _, names in os.walk(path) for f in names
+                if f.startswith("part-") and "bucket=user" in d}
+
+    rows = spark.createDataFrame([(i, "user" if i % 2 else "unclear") for i in range(20)], "msg_id long, bucket string")
+    SK.write_results(rows, path)
+    before = files()
+    SK.replace_buckets(rows.where("bucket = 'unclear' AND msg_id < 6"), path)
+    assert files() == before and before
+    one = SK.read_results(spark, path, "unclear")
+    assert sorted(r.msg_id for r in one.collect()) == [0, 2, 4]
+    scan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in scan or "PartitionFilters: [bucket" in scan
+    assert SK.read_results(spark, path).count() == 13

@@ -140,3 +140,30 @@ def test_malformed_webhooks_are_refused(spark):
     assert got[0] == ("a", "oi", None, None)
     assert [got[k][2] for k in range(1, 8)] == ["MALFORMED", "MALFORMED", "NO_PAYLOAD", "NO_PAYLOAD", "NO_PAYLOAD", None, None]
     assert got[1][3] == "{" and got[2][3] == "plain words" and got[6][:2] == ("unknown", "")
+
+
+def test_bodies_go_to_three_sinks_once(spark):
+    from sortwise.sources import payloads as SP
+    path = tempfile.mkdtemp(prefix="ingest-")
+    good = ['{"message": " oi "}', '{"message": ""}', '{"ctx": {"lang": "en"}}', '{"message": "tudo bem?", "history": []}']
+    bodies = list(enumerate(good + SP.REFUSED))
+    for k in range(2):  # two micro-batches
+        spark.createDataFrame(bodies[k::2], ST.BODIES_SCHEMA).coalesce(1).write.mode("append").json(f"{path}/in")
+
+    def sinks(root):
+        return {n: sorted(r.msg_id for r in spark.read.parquet(f"{root}/{n}").collect()) for n in ("accepted", "empty", "refused")}
+
+    ST.ingest_job(ST.body_stream(spark, f"{path}/in"), f"{path}/out", f"{path}/ck")
+    want = {"accepted": [0, 3], "empty": [1, 2], "refused": list(range(4, 4 + len(SP.REFUSED)))}
+    assert sinks(f"{path}/out") == want
+    kept = {r.msg_id: (r.reject_reason, r.payload) for r in spark.read.parquet(f"{path}/out/refused").collect()}
+    assert kept[4] == ("MALFORMED", SP.REFUSED[0]) and kept[5] == ("NO_PAYLOAD", None)
+    # A batch that is run again replaces its own rows.
+    batch = SP.parse_payloads(spark.createDataFrame(bodies, ST.BODIES_SCHEMA))
+    for _ in range(2):
+        ST.write_ingested(batch, 0, f"{path}/again")
+    assert sinks(f"{path}/again") == want
+    # Webhooks: a body that is no JSON object is a dead letter, an empty object a blank message.
+    ST.ingest_job(ST.body_stream(spark, f"{path}/in"), f"{path}/hooks", f"{path}/ck2", SP.parse_webhooks)
+    hooks = sinks(f"{path}/hooks")
+    assert hooks["accepted"] == [0, 3] and 4 in hooks["refused"] and 10 in hooks["refused"] and 6 in hooks["empty"]
