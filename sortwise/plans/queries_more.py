@@ -647,9 +647,10 @@ def results_replaced(spark, sf):
     """All results written by bucket; then ``unclear`` replaced by its requests without an
     error, the other buckets' files untouched; then each bucket read on its own."""
     path = f"{ensure_checkpoint_dir(spark)}/results/{uuid.uuid4().hex}"
-    a = _assembled(spark, sf)
-    SK.write_results(SK.result_rows(a), path)
-    SK.replace_buckets(SK.result_rows(a.where((F.col("bucket") == "unclear") & (F.col("event_type") != "error"))), path)
+    SK.write_results(SK.result_rows(_assembled(spark, sf)), path)
+    fine = TB.read(spark, sf, "events", "event_id", "event_type").where(F.col("event_type") != "error")
+    kept = SK.read_results(spark, path, "unclear").join(fine, F.col("msg_id") == F.col("event_id"), "left_semi")
+    SK.replace_buckets(kept.checkpoint(), path)  # a table of its own: the bucket's old files go
     parts = [SK.read_results(spark, path, bucket).select(
         "msg_id", "bucket", F.col("classification.rule_id").alias("rule_id"), F.col("mensagem_completa").alias("message"),
         F.col("texto_normalizado").alias("norm"), F.col("openaiPayload.model").alias("model")) for bucket in L.BUCKETS]
