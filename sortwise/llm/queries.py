@@ -41,7 +41,27 @@ def op1_lm_scoring(spark, sf_dir):
     return lm_scoring.scores(docs, F.col("target"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-@query()
+#: All pairs that share a shingle, then all documents that links reach.
+_NGRAM_JOIN = r"""WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS words FROM documents),
+word AS (SELECT doc_id, len(words) AS n, generate_subscripts(words, 1) AS i, unnest(words) AS word FROM w),
+shingle AS (
+  SELECT DISTINCT doc_id, md5(concat_ws(' ', word, b, c, d, e)) AS s FROM (
+    SELECT doc_id, n, i, word, lead(word, 1) OVER t AS b, lead(word, 2) OVER t AS c, lead(word, 3) OVER t AS d,
+           lead(word, 4) OVER t AS e FROM word WINDOW t AS (PARTITION BY doc_id ORDER BY i))
+  WHERE i = 1 OR i <= n - 4),
+size AS (SELECT doc_id, count(s) AS n FROM documents LEFT JOIN shingle USING (doc_id) GROUP BY doc_id),
+link AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id <> b.doc_id
+  JOIN size p ON p.doc_id = a.doc_id JOIN size q ON q.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, p.n, q.n HAVING 100 * count(*) >= 80 * (p.n + q.n - count(*))),
+reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, link.y FROM reach JOIN link ON link.x = reach.r)
+SELECT doc_id, CAST(size.n AS BIGINT) AS n_shingles, c.component_id
+FROM size JOIN (SELECT doc_id, CAST(min(r) AS BIGINT) AS component_id FROM reach GROUP BY doc_id) c USING (doc_id)"""
+
+
+@query(_NGRAM_JOIN)
 def op2_ngram_join(spark, sf_dir):
     return ngram_join.similar_classes(documents(spark, sf_dir))
 
