@@ -563,3 +563,27 @@ def test_mostly_junk_is_rejected(spark):
     rows = [(k, prose(k, 80), "en", "a", 1) for k in range(60)] + [(200 + k, junk(k), "en", "a", 1) for k in range(240)]
     kept = {r.doc_id for r in quality.keep_good(frame(spark, rows)).collect()}
     assert len([i for i in kept if i >= 200]) <= 24 and len([i for i in kept if i < 200]) >= 57
+
+
+def test_host_prior_and_shrunk_rates_against_the_formula(spark):
+    r = random.Random(3)
+    counts = {f"h{i}": (n := r.randint(1, 40), r.randint(0, 3 * n // 4) if i % 3 == 0 else r.randint(0, n // 4)) for i in range(24)}
+    counts[None] = (30, 24)  # documents without a host are one host
+    rows = [(h, k < failed) for h, (n, failed) in counts.items() for k in range(n)]
+    got = host_rules.host_verdicts(spark.createDataFrame(rows, "host string, fails boolean")).collect()
+    rates = np.array([f / n for n, f in counts.values()])
+    sizes = np.array([n for n, _ in counts.values()])
+    mean = rates.mean()
+    beyond = rates.var(ddof=1) - (rates * (1 - rates) / sizes).mean()
+    strength = mean * (1 - mean) / beyond - 1
+    assert 1 < strength < 1e4
+    assert len(got) == len(counts)
+    for q in got:
+        n, failed = counts[q.host]
+        rate = (failed + mean * strength) / (n + strength)
+        assert (q.docs, q.failed) == (n, failed) and math.isclose(q.host_rate, rate, rel_tol=1e-9) and q.host_bad == (rate >= 0.5)
+    assert 0 < sum(q.host_bad for q in got) < len(got)
+    # One host: no spread to fit, so the prior is as strong as it gets, at the hosts' mean.
+    a, b = host_rules.beta_prior(spark.createDataFrame([("h", 10, 4)], "host string, docs long, failed long"))
+    assert math.isclose(a / (a + b), 0.4) and math.isclose(a + b, 1e4)
+    assert host_rules.beta_prior(spark.createDataFrame([], "host string, docs long, failed long")) == (1.0, 1.0)
