@@ -113,7 +113,8 @@ def failures(strict: bool):
 
 def beta_prior(hosts: DataFrame) -> tuple[float, float]:
     """(a, b) of a beta distribution with the mean of the hosts' rates and their
-    variance beyond what binomial counts alone would show.  One aggregated row."""
+    variance beyond what binomial counts alone would show.  Its strength a + b stays
+    between 1 and 10,000; (1, 1) where there are no hosts.  One aggregated row."""
     rate = F.col("failed") / F.col("docs")
     m, var, noise = hosts.agg(F.avg(rate), F.var_samp(rate), F.avg(rate * (1 - rate) / F.col("docs"))).first()
     if m is None:
