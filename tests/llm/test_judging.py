@@ -288,6 +288,35 @@ def test_model_adds_keys_of_other_kinds_and_leaves_words(spark):
     assert hit >= 36 and false <= 3
 
 
+def test_network_learns_from_every_window(spark, monkeypatch):
+    rows = secret_rows(300) + [(3000 + i, prose(i, 40) + f" 10.{i}.7.1{i} on 2024-01-{i}", "en", "a", 1) for i in range(200)]
+    texts = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], names=["i", "t"])
+    held = {}
+    for batch in secrets._find([texts]):
+        for row in batch.to_pylist():
+            plain = [w for c in row["other"] if c["plain"] for w in c["windows"]]
+            for k, ws in enumerate((row["labelled"], plain, row["words"])):
+                for w in ws:
+                    held[k, w] = held.get((k, w), False) or row["held"]
+    found = frame(spark, rows).select("doc_id", "text").mapInArrow(secrets._find, secrets._FOUND)
+    got = {(r.sort, bytes(r.w)): r.held for r in secrets.labelled_findings(found).collect()}
+    assert got == held and len(held) > 200
+    # Shards of 64 windows: every one is in exactly one, and shards together train one network, the same each time.
+    monkeypatch.setattr(secrets, "SHARD", 64)
+    windows = spark.createDataFrame([(k, bytearray(w), h) for (k, w), h in held.items()], "sort int, w binary, held boolean")
+    for part in (True, False):
+        n = sum(h == part for h in held.values())
+        sizes = secrets._shards(windows, part, n).count().collect()
+        assert sum(r["count"] for r in sizes) == n and len(sizes) == -(-n // 64)
+    one, two = secrets.train(found), secrets.train(found)
+    assert np.array_equal(one.weights(), two.weights()) and one.threshold == two.threshold
+    # Calibrated on all held-out windows: the threshold keeps RECALL of their findings and drawn keys.
+    y, z, n = np.array([tuple(r) for r in secrets._shards(windows, True, sum(held.values()))
+                        .applyInArrow(secrets._logits(one), "y long, z long, n long").collect()]).T
+    good = one._probability(z[y == 1] / secrets.GRID) >= one.threshold
+    assert n[y == 1][good].sum() >= secrets.RECALL * n[y == 1].sum()
+
+
 def test_mask(spark):
     df = frame(spark, secret_rows(40))
     out = secrets.mask(df)
