@@ -275,7 +275,7 @@ def _flags(df):
     p = C.with_literals(C.prepare(df, lex), lex)
     f = C.Features(lex)
     return p.select(F.col("msg_id").cast("bigint").alias("msg_id"),
-                    *[T.has_any(F.col("norm"), lits).cast("int").alias(name)
+                    *[T.has_any(f.n, lits).cast("int").alias(name)
                       for name, lits in _flag_lists()],
                     f.integration_intent().cast("int").alias("intent"))
 

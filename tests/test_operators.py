@@ -190,3 +190,24 @@ def test_one_bucket_replaced_and_read_alone(spark):
     scan = one._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(bucket" in scan or "PartitionFilters: [bucket" in scan
     assert SK.read_results(spark, path).count() == 13
+
+
+def test_long_texts_are_dealt_over_all_cores(spark, tmp_path):
+    from sortwise.sources import tables as TB
+    rows = [(i, None if i == 5 else f"texto {i}", "pt", "a") for i in range(200)] + [(7, "texto 7", "pt", "a"), (None, "x", None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1) \
+        .write.parquet(str(tmp_path / "documents.parquet"))
+    docs = TB.msg_docs(spark, str(tmp_path))
+    sizes = [r["count"] for r in docs.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) >= spark.sparkContext.defaultParallelism and max(sizes) < len(rows) / 2
+    assert sorted(map(tuple, docs.collect()), key=str) == sorted(rows, key=str)
+
+
+def test_normalize_by_letter_is_the_same_as_by_text(spark):
+    from sortwise.functions import text as T
+    many = "".join(map(chr, range(0xC0, 0x250))) + "αβγ жщ € ½ — … 中文 é é \U0001f600 ßﬁ"
+    texts = ["Ação é não ÇÉÀ", "œuvre — £5 ½ … “x”", many, "".join(sorted(set(many)))[:T.FEW_LETTERS], "İstanbul ‍á中", "", "ascii Only", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = df.select(T.normalize(F.col("t")).alias("a"), T._transliterate(F.lower("t")).alias("b")).collect()
+    assert [r.a for r in got] == [r.b for r in got]
+    assert got[0].a == "acao e nao cea" and got[1].a == 'oeuvre -- ps5 1/2 ... "x"'
