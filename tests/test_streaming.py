@@ -76,6 +76,18 @@ def test_ttl_of_a_key_with_many_waiting_rows(spark):
     assert n > r.n > 99_000 or r.n == n
 
 
+def test_waiting_rows_cost_by_slice_not_by_key(spark):
+    """37 messages of one slice wait in a few states with a timer each, and all come back."""
+    from sortwise.streaming import ttl as TTL
+    path = _files(spark, [[(k, T0 + datetime.timedelta(seconds=k)) for k in range(1, 75)], [(111, T0 + datetime.timedelta(hours=9))]])
+    rows = TTL.buffered(ST.keyed_events(ST.message_stream(spark, f"{path}/in")), "2 hours")
+    q = ST.run_available_now(rows, f"{path}/out", f"{path}/ck")
+    timers = max(int(p.stateOperators[0].customMetrics["numRegisteredTimers"]) for p in q.recentProgress if p.stateOperators)
+    got = spark.read.parquet(f"{path}/out")
+    assert sorted(r.msg_id for r in got.collect()) == list(range(1, 75))
+    assert got.select("msg_key").distinct().count() > TTL.BUCKETS >= timers
+
+
 def test_approximate_ttl_forgets_keys(spark):
     hour = datetime.timedelta(hours=1)
     path = _files(spark, [[(37, T0), (74, T0 + hour / 2)], [(111, T0 + 3 * hour)], [(148, T0 + 6 * hour)],
