@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .bpe import encoder
 from .scratch import materialise
-from .textvec import slices
+from .textvec import slices, tidy
 
 LENGTH = 2048
 #: Open windows per task.
@@ -38,6 +38,8 @@ WINDOWS = 64
 CUT = 64
 #: Tasks whose leftovers meet in one group of a merge level.
 FAN_IN = 16
+#: Bytes of text that are encoded together.
+SLICE = 1 << 19
 #: Sequence ids of one task or group start at its number times this.
 BLOCK = 1 << 36
 
@@ -132,7 +134,7 @@ def _pack_task(vocabulary: str, end_id: int, length: int, windows: int, cut: int
         enc = encoder(vocabulary)
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1)
-            for lo, hi, _, _ in slices(texts):
+            for lo, hi, _, _ in slices(texts, SLICE):
                 part = ["" if t is None else t for t in texts.slice(lo, hi - lo).to_pylist()]
                 rows, stops = enc.encode(part)
                 ids = enc.flat_ids(rows)
@@ -142,6 +144,7 @@ def _pack_task(vocabulary: str, end_id: int, length: int, windows: int, cut: int
                     yield names[lo + k], np.append(ids[first:last], np.uint32(end_id))
                     first = last
 
+    @tidy
     def run(batches):
         part, held = TaskContext.get().partitionId(), []
         for window in pack_ids(documents(batches), length, windows, cut):

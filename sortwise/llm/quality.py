@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .host_rules import repeated_words
 from .scratch import map_rows
-from .textvec import WHITE, WHITE_BYTES, mix, slices, span_hashes, word_spans
+from .textvec import WHITE, WHITE_BYTES, mix, slices, span_hashes, tidy, word_spans
 
 #: Distinct texts on whose posterior labels the scorer is trained.
 SAMPLE = 6000
@@ -114,6 +114,7 @@ def votes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 _POWERS = 3 ** np.arange(len(LABELLERS))
 
 
+@tidy
 def _patterns(batches):
     held = np.zeros(3 ** len(LABELLERS), dtype=np.int64)
     for batch in batches:
@@ -283,6 +284,7 @@ def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Classi
 
 
 def _judge(model):
+    @tidy
     def run(batches):
         for batch in batches:
             for lo, hi, data, offsets in slices(batch.column(1), SLICE):
@@ -306,6 +308,7 @@ def keep_good(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) ->
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, text_col, sample))
     at = docs.columns.index(text_col)
 
+    @tidy
     def run(batches):
         for batch in batches:
             for lo, hi, data, offsets in slices(batch.column(at), SLICE):

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from .scratch import map_rows, materialise
-from .textvec import runs, slices
+from .textvec import runs, slices, tidy
 
 KINDS = ("assign", "access", "hex", "model")
 #: Bytes of a candidate at least, and of one with no other sign.
@@ -475,8 +475,9 @@ def mask(docs: DataFrame, text_col: str = "text", size_col: str = "n_chars", sam
     at = docs.columns.index(text_col)
     size_at = docs.columns.index(size_col) if size_col in docs.columns else -1
 
+    @tidy
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(lo, hi - lo) for b in batches for lo, hi, _, _ in slices(b.column(at))):
             texts = batch.column(at)
             plain = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), texts], names=["doc_id", "text"])
             rows = [r for b in _score(model)(b.select([0, 1, 2]) for b in _find([plain])) for r in b.column(1).to_pylist()]

@@ -8,6 +8,8 @@ boundaries agree in UTF-8.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +34,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the multiplier and of its inverse modulo 2^64, at least n of each."""
     global _pow, _inv
     if len(_pow) < n:
-        size = max(n, SLICE_BYTES + 65536)
+        size = 1 << max(n - 1, 65535).bit_length()
         with np.errstate(over="ignore"):
             p = np.full(size, _MULT, dtype=np.uint64)
             q = np.full(size, _INV, dtype=np.uint64)
@@ -76,6 +78,35 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
+#: Bytes of text after which a worker gives free memory back.
+RELEASE = 8 << 20
+_read = 0
+
+
+def release(size: int) -> None:
+    """Give the allocators' free pages back to the system after every ``RELEASE`` bytes of
+    text: an executor's Python workers live on between stages beside its heap."""
+    global _read
+    _read += size
+    if _read >= RELEASE:
+        _read = 0
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim:
+            trim(0)
+
+
+def tidy(run):
+    """``run``, a task's function over batches, that gives free memory back at its end."""
+    @functools.wraps(run)
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release(RELEASE)
+    return whole
+
+
 def slices(column, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets from 0) of runs of whole texts with at
     most ``most`` bytes, or one longer text."""
@@ -87,6 +118,7 @@ def slices(column, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarr
         hi = int(np.searchsorted(offsets, offsets[lo] + most, side="right")) - 1
         hi = min(n, max(hi, lo + 1))
         yield lo, hi, data[offsets[lo]: offsets[hi]], offsets[lo: hi + 1] - offsets[lo]
+        release(int(offsets[hi] - offsets[lo]))
         lo = hi
 
 

@@ -13,7 +13,7 @@ import pytest
 from llm_cases import components, edge_rows, frame, prose, rows_of, words
 from tokenizers import Tokenizer
 
-from sortwise.llm import host_rules, lm_scoring, ngram_join, quality, secrets, toxicity
+from sortwise.llm import host_rules, lm_scoring, ngram_join, quality, secrets, textvec, toxicity
 from sortwise.llm.components import components as spark_components
 
 BYTE = P.path("byte_bpe_50k.json")
@@ -77,6 +77,25 @@ def assert_one_stays(rows, kept):
         assert any(i == least and t in texts for i, t in left)
 
 
+def test_workers_give_memory_back():
+    """Tables of powers were 2 million entries long for a text of any length, and what a
+    slice had used stayed with the worker's allocator."""
+    slice_of = pa.array(["word " * 1000] * 20)
+    textvec._pow = textvec._inv = np.ones(1, dtype=np.uint64)
+    for _, _, data, offsets in textvec.slices(slice_of, 10_000):
+        textvec.word_hashes(data, offsets)
+    assert len(textvec._pow) == len(textvec._inv) == 65536
+    assert [len(x) > n for n in (65535, 65536, 1 << 17) for x in textvec._powers(n + 1)] == [True] * 6
+    given = []
+    pool = pa.default_memory_pool()
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(textvec, "RELEASE", 20_000)
+        patch.setattr(textvec, "_read", 0)
+        patch.setattr(textvec.pa, "default_memory_pool", lambda: given.append(1) or pool)
+        assert len(list(textvec.slices(slice_of, 10_000))) == 10
+    assert len(given) == 5
+
+
 def test_bitmaps_never_part_linked_sets(spark):
     r = random.Random(9)
     rows, want = [], []
