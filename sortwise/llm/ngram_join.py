@@ -26,7 +26,9 @@ without words has the empty set and links with nothing.  Two texts link when
    all pairs of rows from different components that pass the filters; those not yet
    verified are verified.  Here the suffix filter also compares the bitmaps: where
    they differ, the sets do, so they may differ in no more bits than linked sets in
-   shingles.  Every pair of linked texts is thus either verified or inside one
+   shingles.  A bitmap is far longer than a row, so only rows of shingles with more
+   than ``CROWD`` of them carry it; other pairs, few a row, meet it once they are
+   distinct.  Every pair of linked texts is thus either verified or inside one
    component already, so no link is lost.
 
 Null texts count as empty.  Rows that repeat a doc_id are documents of their own.
@@ -43,7 +45,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import materialise
-from .textvec import LOWER, mix, slices, windows, word_hashes
+from .textvec import LOWER, mix, slices, tidy, windows, word_hashes
 
 SIZE = 5
 #: Shingles whose counts are taken together; what one chunk meets once isn't reported.
@@ -56,6 +58,10 @@ BLOCK = 20_000
 SUPPORT = 0.15
 #: Contractions of components before the last pass, which leaves nothing out in any case.
 ROUNDS = 1
+#: Rows of a shingle beyond which they carry their bitmaps in the last pass.
+CROWD = 16
+#: Bytes of text whose shingles are taken together; temporaries take forty times that.
+SLICE = 1 << 19
 #: Bits of the broadcast filter of nodes whose texts are wanted (1 MB).
 FILTER_BITS = 23
 #: Bits of a set's bitmap for four of its shingles, at least: a set that differs from
@@ -117,13 +123,14 @@ def _sets(batches):
     """Per slice: the ids (first column) and the sets of its texts (last column)."""
     for batch in batches:
         texts = batch.column(batch.num_columns - 1)
-        for lo, hi, data, offsets in slices(texts):
+        for lo, hi, data, offsets in slices(texts, SLICE):
             yield batch.slice(lo, hi - lo), shingle_sets(data, offsets)
 
 
 _SCAN = "doc_id long, n_shingles long, node long, key long, count long"
 
 
+@tidy
 def _scan(batches):
     """Document rows (key null) and rows of shingles met twice or more (key set)."""
     held, size, seen = [], 0, set()
@@ -179,6 +186,7 @@ def prefix_length(n: int) -> int:
 
 
 def _prefixes(heavy):
+    @tidy
     def run(batches):
         keys, counts = heavy.value
         seen: set[int] = set()
@@ -254,18 +262,22 @@ def _possible_sql(a, b):
 
 
 def _allowed_sql(a: str, b: str):
-    """The same filters as a join condition."""
+    """``allowed`` as a join condition."""
     n1, n2 = F.col(f"{a}.n"), F.col(f"{b}.n")
     p1, p2, s1, s2 = F.col(f"{a}.pos"), F.col(f"{b}.pos"), F.col(f"{a}.suffix"), F.col(f"{b}.suffix")
     need = F.floor((4 * (n1 + n2) + 8) / 9)
     apart = p1 + p2
     for c in range(4):
         apart = apart + F.abs(F.shiftright(s1, 16 * c).bitwiseAND(0xFFFF) - F.shiftright(s2, 16 * c).bitwiseAND(0xFFFF))
-    most = n1 + n2 - 2 * need
-    return ((5 * F.least(n1, n2) >= 4 * F.greatest(n1, n2)) & (F.least(n1 - p1, n2 - p2) >= need) & (apart <= most)
-            & F.when(F.size(F.col(f"{a}.bits")) > 2 * F.size(F.col(f"{b}.bits")), False)
-               .when(F.size(F.col(f"{b}.bits")) > 2 * F.size(F.col(f"{a}.bits")), False)
-               .otherwise(_bits_apart_sql(F.col(f"{a}.bits"), F.col(f"{b}.bits")) <= most))
+    return ((5 * F.least(n1, n2) >= 4 * F.greatest(n1, n2)) & (F.least(n1 - p1, n2 - p2) >= need)
+            & (apart <= n1 + n2 - 2 * need))
+
+
+def _alike_sql(n1, bits1, n2, bits2):
+    """Whether bitmaps of sets of these sizes differ in no more bits than linked sets may."""
+    most = n1 + n2 - 2 * F.floor((4 * (n1 + n2) + 8) / 9)
+    return (F.when(F.size(bits1) > 2 * F.size(bits2), False).when(F.size(bits2) > 2 * F.size(bits1), False)
+            .otherwise(_bits_apart_sql(bits1, bits2) <= most))
 
 
 _SHARED = "key long, node long, n int, pos int, suffix long, leader long, before long"
@@ -294,6 +306,7 @@ def _met_twice(batches):
         yield held
 
 
+@tidy
 def _blocks(batches):
     """Rows of shingles of several nodes, each with its block's leader and the row
     before it to pair with (null where the filters rule them out).  A row too long
@@ -347,11 +360,15 @@ def _contracted(placed: DataFrame) -> DataFrame:
     block with: two of those that their blocks propose, if enough do.  All aggregations
     combine on the map side."""
     row = F.struct("node", "n", "pos", "suffix")
-    per = placed.groupBy("key", "component").agg(
+    # the join below asks one side alone for a component that isn't null, the other alone for
+    # the size: asked of both, they read one shuffle
+    known = placed.where("key IS NOT NULL AND component IS NOT NULL")
+    per = known.groupBy("key", "component").agg(
         F.count(F.lit(1)).alias("size"), F.min_by(row, F.xxhash64("node", "key")).alias("r"))
     lead = (per.groupBy("key").agg(F.max_by(F.struct("component", "r"), F.struct("size", "component")).alias("l"),
                                    F.count(F.lit(1)).alias("parts")).where("parts > 1"))
-    met = per.join(lead, "key").select("component", F.col("l.component").alias("other"), "r", F.col("l.r").alias("o"))
+    met = per.where("size > 0").join(lead, "key").select(
+        "component", F.col("l.component").alias("other"), "r", F.col("l.r").alias("o"))
     met = met.where((F.col("component") != F.col("other")) & _possible_sql(F.col("r"), F.col("o")))
     met = met.withColumns({"a": F.least("r.node", "o.node"), "b": F.greatest("r.node", "o.node"), "n": F.col("r.n")})
     pair = F.struct("a", "b")
@@ -378,6 +395,7 @@ _TEXTS = "node long, text string, bits array<long>"
 
 def _texts(wanted):
     """(node, text, bitmap) of documents whose node may be wanted; a task emits a node once."""
+    @tidy
     def run(batches):
         bits, seen = wanted.value, set()
         for batch, sets in _sets(batches):
@@ -403,6 +421,7 @@ def texts_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _picked(wanted):
+    @tidy
     def run(batches):
         bits = wanted.value
         for batch in batches:
@@ -411,6 +430,7 @@ def _picked(wanted):
     return run
 
 
+@tidy
 def _verify(batches):
     """(a, b) of the pairs whose whole sets link."""
     last_node, last_set = None, None
@@ -446,6 +466,32 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return materialise(met.mapInArrow(_verify, "a long, b long"), "links")
 
 
+def _open_pairs(placed: DataFrame, texts: DataFrame, tried: DataFrame) -> DataFrame:
+    """Pairs (a, b) not in ``tried`` of nodes of different components that share a shingle
+    and pass all filters."""
+    mixed = (placed.groupBy("key")
+                   .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("rows"))
+                   .where("lo < hi").select("key", (F.col("rows") > CROWD).alias("crowded")))
+    rows = materialise(placed.join(mixed, "key"), "open")
+    bits = texts.select("node", "bits").dropDuplicates(["node"])
+
+    def met(rows, alike):
+        a, b = rows.alias("a"), rows.alias("b")
+        apart = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node"))
+                       & (F.col("a.component") != F.col("b.component")) & _allowed_sql("a", "b") & alike)
+        return apart.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"),
+                            F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b"))
+
+    few = met(rows.where("NOT crowded"), F.lit(True))
+    many = met(rows.where("crowded").join(bits, "node"),
+               _alike_sql(F.col("a.n"), F.col("a.bits"), F.col("b.n"), F.col("b.bits")))
+    pairs = few.unionByName(many).distinct().join(tried, ["a", "b"], "left_anti")
+    seen = (pairs.join(bits.select(F.col("node").alias("a"), F.col("bits").alias("bits_a")), "a")
+                 .join(bits.select(F.col("node").alias("b"), F.col("bits").alias("bits_b")), "b"))
+    alike = _alike_sql(F.col("n_a"), F.col("bits_a"), F.col("n_b"), F.col("bits_b"))
+    return materialise(seen.where(alike).select("a", "b"), "more")
+
+
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (least doc_id
     reachable by links, its own included)."""
@@ -477,15 +523,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if found.isEmpty():
             break
         placed = place(links)
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    # not written: both sides of the join below read one shuffle of it
-    open_rows = placed.join(mixed.select("key"), "key", "left_semi").join(
-        texts.select("node", "bits").dropDuplicates(["node"]), "node")
-    a, b = open_rows.alias("a"), open_rows.alias("b")
-    apart = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node"))
-                   & (F.col("a.component") != F.col("b.component")) & _allowed_sql("a", "b"))
-    more = apart.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
-    more = materialise(more.join(tried, ["a", "b"], "left_anti"), "more")
+    more = _open_pairs(placed, texts, tried)
     found = components(links.unionByName(verified(more, texts)))
     classed = rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     classed = materialise(classed, "classed")

@@ -14,6 +14,7 @@ from llm_cases import components, edge_rows, frame, prose, rows_of, words
 from tokenizers import Tokenizer
 
 from sortwise.llm import host_rules, lm_scoring, ngram_join, quality, secrets, textvec, toxicity
+from sortwise.llm.scratch import materialise
 from sortwise.llm.components import components as spark_components
 
 BYTE = P.path("byte_bpe_50k.json")
@@ -44,6 +45,25 @@ def test_similar_classes_equal_all_pairs(spark, block, monkeypatch):
     assert rows_of(ngram_join.similar_classes(frame(spark, rows).repartition(3))) == components(rows)
 
 
+@pytest.mark.parametrize("crowd", [0, 3, 10_000])
+def test_only_crowded_shingles_carry_bitmaps(spark, crowd, monkeypatch):
+    """The last join's rows were shuffled with a bitmap each, many times their own size."""
+    tables = {}
+
+    def spied(df, tag):
+        tables[tag] = materialise(df, tag)
+        return tables[tag]
+
+    monkeypatch.setattr(ngram_join, "CROWD", crowd, raising=False)
+    monkeypatch.setattr(ngram_join, "SUPPORT", 1.1)  # nothing is tried before the last join
+    monkeypatch.setattr(ngram_join, "materialise", spied)
+    rows = near_rows()
+    assert rows_of(ngram_join.similar_classes(frame(spark, rows).repartition(3))) == components(rows)
+    seen = tables["open"].groupBy("key").agg({"crowded": "max", "*": "count"}).collect()
+    assert all(r["max(crowded)"] == (r["count(1)"] > crowd) for r in seen) and len(seen) > 100
+    assert "bits" not in tables["open"].columns and tables["more"].count() > 50
+
+
 def test_similar_classes_of_odd_tables(spark):
     assert ngram_join.similar_classes(frame(spark, [])).count() == 0
     rows = [(i, "same words in every text here", "en", "a", 1) for i in range(20)]
