@@ -24,35 +24,39 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .scratch import materialise
-from .textvec import WHITE_BYTES, utf8
+from .textvec import WHITE_BYTES, slices, tidy
 
 #: Counters of a Misra-Gries summary; also the most rows that are broadcast.
 COUNTERS = 4096
+#: Bytes of text that are digested together.
+SLICE = 1 << 19
 
 _DIGEST = T.StructType([T.StructField("_id", T.LongType()), T.StructField("_sha", T.StringType()),
                         T.StructField("_points", T.LongType())])
 
 
+@tidy
 def digest_texts(batches):
     """Append the digest of the white-space-free text and the code points of the
     original text to every row (last column: the text, dropped)."""
     for batch in batches:
-        data, offsets = utf8(batch.column(batch.num_columns - 1))
-        raw = data.tobytes()
-        sha, points = [], []
-        edges = offsets.tolist()
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            text = raw[a:b]
-            sha.append(hashlib.sha256(text.translate(None, WHITE_BYTES)).hexdigest())
-            points.append(len(text) if text.isascii() else len(text.decode()))
-        keep = [batch.column(i) for i in range(batch.num_columns - 1)]
-        names = batch.schema.names[:-1]
-        yield pa.RecordBatch.from_arrays([*keep, pa.array(sha, pa.string()), pa.array(points, pa.int64())],
-                                         names=[*names, "_sha", "_points"])
+        last = batch.num_columns - 1
+        for lo, hi, data, offsets in slices(batch.column(last), SLICE):
+            raw = data.tobytes()
+            sha, points = [], []
+            edges = offsets.tolist()
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                text = raw[a:b]
+                sha.append(hashlib.sha256(text.translate(None, WHITE_BYTES)).hexdigest())
+                points.append(len(text) if text.isascii() else len(text.decode()))
+            keep = [batch.column(i).slice(lo, hi - lo) for i in range(last)]
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(sha, pa.string()), pa.array(points, pa.int64())],
+                                             names=[*batch.schema.names[:-1], "_sha", "_points"])
 
 
 def misra_gries(counters: int):
     """Per task: at most ``counters`` (digest, lower bound of its count) rows."""
+    @tidy
     def run(batches):
         held: dict[str, int] = {}
         for batch in batches:
@@ -68,13 +72,23 @@ def misra_gries(counters: int):
     return run
 
 
-def frequent(digests: DataFrame, counters: int = COUNTERS) -> DataFrame:
-    """Winner and exact count of the digests that the merged summaries rank first:
-    (_sha, _size, _win_points, _win_id), at most ``counters`` rows.
+def digest_summary(counters: int):
+    """``misra_gries`` of the digests of the texts (only column), in one worker: a second
+    Python operator behind the first would hold a second worker for every core."""
+    def run(batches):
+        return misra_gries(counters)(d.select(["_sha"]) for d in digest_texts(batches))
+    return run
+
+
+_SUMMARY = "_sha string, n long"
+
+
+def frequent(digests: DataFrame, summary: DataFrame, counters: int = COUNTERS) -> DataFrame:
+    """Winner and exact count of the digests that the merged summaries (_sha, n) rank
+    first: (_sha, _size, _win_points, _win_id), at most ``counters`` rows.
 
     Only digests seen at least twice are kept, as a text without copies gains
     nothing from a broadcast."""
-    summary = digests.select("_sha").mapInArrow(misra_gries(counters), "_sha string, n long")
     first = (summary.groupBy("_sha").agg(F.sum("n").alias("n")).where("n > 1")
              .orderBy(F.desc("n"), "_sha").limit(counters).select("_sha"))
     return (digests.join(F.broadcast(first), "_sha")
@@ -89,15 +103,14 @@ def _order():
     return F.struct((-F.col("_points")).alias("k"), F.col("_id").isNull().alias("none"), F.col("_id").alias("id"))
 
 
-def settle(digests: DataFrame, counters: int = COUNTERS) -> DataFrame:
+def settle(digests: DataFrame, top: DataFrame) -> DataFrame:
     """Rows of ``digests`` (_id, _sha, _points, any others) with keep_id,
-    group_size and kept.
+    group_size and kept; ``top``: the frequent digests' winners.
 
     A frequent digest's copies are settled against the broadcast winners; only rows
     that carry the winner's id and length go on, so that rows repeating them can be
     told apart by the shuffle that serves all other digests."""
-    top = F.broadcast(frequent(digests, counters))
-    d = digests.join(top, "_sha", "left")
+    d = digests.join(F.broadcast(top), "_sha", "left")
     lost = F.col("_size").isNotNull() & ~((-F.col("_points") == F.col("_win_points"))
                                           & F.col("_id").eqNullSafe(F.col("_win_id")))
     removed = d.where(lost).select(*digests.columns, F.col("_win_id").alias("keep_id"),
@@ -119,7 +132,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     digests = materialise(
         docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
             .mapInArrow(digest_texts, _DIGEST), "digests")
-    return settle(digests, counters).select(
+    summary = digests.select("_sha").mapInArrow(misra_gries(counters), _SUMMARY)
+    return settle(digests, frequent(digests, summary, counters)).select(
         F.col("_id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("_sha").alias("text_sha256"))
 
 
@@ -128,10 +142,12 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The rows of ``docs`` that stay, all columns as they were.
 
     Frequent copies are removed on the map side; the rest is shuffled once with
-    its rows, so that rows that repeat an id are told apart."""
+    its rows, so that rows that repeat an id are told apart.  The passes that find the
+    frequent ones read ids and texts only."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     schema = T.StructType([_DIGEST.fields[0], T.StructField("_row", docs.schema), *_DIGEST.fields[1:]])
-    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), row,
-                         F.col(f"`{text_col}`").cast("string").alias("_text"))
-    kept = settle(source.mapInArrow(digest_texts, schema), counters).where("kept")
+    own, text = F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text")
+    summary = docs.select(text).mapInArrow(digest_summary(counters), _SUMMARY)
+    top = frequent(docs.select(own, text).mapInArrow(digest_texts, _DIGEST), summary, counters)
+    kept = settle(docs.select(own, row, text).mapInArrow(digest_texts, schema), top).where("kept")
     return kept.select(*[F.col("_row")[c].alias(c) for c in docs.columns])

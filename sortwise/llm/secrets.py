@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from .scratch import map_rows, materialise
-from .textvec import runs, slices, tidy
+from .textvec import runs, slices, tidy, tidy_group
 
 KINDS = ("assign", "access", "hex", "model")
 #: Bytes of a candidate at least, and of one with no other sign.
@@ -52,6 +52,8 @@ CANDIDATE, LONG = 8, 16
 SHARD, EPOCHS, GRID, FINE = 16384, 6, 256, 2 ** 30
 RECALL = 0.98
 EVERY = 61
+#: Bytes of text that are searched together; the places in a slice take thirty times that.
+SLICE = 1 << 19
 _SMALL, _CAPITAL, _FIGURE = b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789"
 ALPHABETS = [_SMALL, _CAPITAL, _SMALL + _CAPITAL, _SMALL + _FIGURE, _SMALL + _CAPITAL + _FIGURE,
              _SMALL + _CAPITAL + _FIGURE + b"+/"]
@@ -162,7 +164,7 @@ def _candidates(raw: bytes, data: np.ndarray, offsets: np.ndarray, spans: dict[i
 def _find(batches):
     names = ["doc_id", "base", "other", "labelled", "words", "held"]
     for batch in batches:
-        for lo, hi, data, offsets in slices(batch.column(1)):
+        for lo, hi, data, offsets in slices(batch.column(1), SLICE):
             raw, edges = data.tobytes(), offsets.tolist()
             spans: dict[int, list] = {}
             for i in range(hi - lo):
@@ -372,6 +374,7 @@ def _shards(windows: DataFrame, held: bool, n: int) -> GroupedData:
 def _round(state: np.ndarray, epoch: int):
     """One round of a shard: the weights after it as whole numbers of 1 / ``FINE``, whose sum
     is the same in any order."""
+    @tidy_group
     def run(key, table):
         shard = key[0].as_py()
         x, y = _examples(table, np.random.default_rng([5, shard]))
@@ -381,6 +384,7 @@ def _round(state: np.ndarray, epoch: int):
 
 
 def _logits(net: CharNet):
+    @tidy_group
     def run(key, table):
         x, y = _examples(table, np.random.default_rng([6, key[0].as_py()]))
         pairs, n = np.unique(np.stack([y.astype(np.int64), net.on_grid(x)]), axis=1, return_counts=True)
@@ -442,9 +446,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample
     """doc_id, spans (kind, start, end, score), by start, then kind as listed."""
     spark = docs.sparkSession
     found = materialise(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"),
-                                    F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(_find, _FOUND), "found")
+                                    F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(tidy(_find), _FOUND), "found")
     model = spark.sparkContext.broadcast(train(found, sample, recall))
-    return found.select("doc_id", "base", "other").mapInArrow(_score(model), _SPANS)
+    return found.select("doc_id", "base", "other").mapInArrow(tidy(_score(model)), _SPANS)
 
 
 def digests(spans: DataFrame) -> DataFrame:
@@ -470,14 +474,14 @@ def mask(docs: DataFrame, text_col: str = "text", size_col: str = "n_chars", sam
     is shuffled."""
     spark = docs.sparkSession
     found = materialise(docs.select(F.lit(None).cast("long").alias("doc_id"),
-                                    F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(_find, _FOUND), "found")
+                                    F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(tidy(_find), _FOUND), "found")
     model = spark.sparkContext.broadcast(train(found, sample, recall))
     at = docs.columns.index(text_col)
     size_at = docs.columns.index(size_col) if size_col in docs.columns else -1
 
     @tidy
     def run(batches):
-        for batch in (b.slice(lo, hi - lo) for b in batches for lo, hi, _, _ in slices(b.column(at))):
+        for batch in (b.slice(lo, hi - lo) for b in batches for lo, hi, _, _ in slices(b.column(at), SLICE)):
             texts = batch.column(at)
             plain = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), texts], names=["doc_id", "text"])
             rows = [r for b in _score(model)(b.select([0, 1, 2]) for b in _find([plain])) for r in b.column(1).to_pylist()]

@@ -107,6 +107,16 @@ def tidy(run):
     return whole
 
 
+def tidy_group(run):
+    """The same for a function over the rows of one key."""
+    def whole(key, table):
+        try:
+            return run(key, table)
+        finally:
+            release(RELEASE)
+    return whole
+
+
 def slices(column, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets from 0) of runs of whole texts with at
     most ``most`` bytes, or one longer text."""

@@ -356,6 +356,25 @@ def test_network_learns_from_every_window(spark, monkeypatch):
     assert n[y == 1][good].sum() >= secrets.RECALL * n[y == 1].sum()
 
 
+def test_secrets_are_sought_in_a_few_texts_at_a_time():
+    """Slices of 2 MB of text took 50 MB more of a worker than those of 256 KB."""
+    texts = [f"{i} token=abc{i}def " + "plain words here " * 6000 for i in range(20)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20)), pa.array(texts)], names=["doc_id", "text"])
+    out = list(secrets._find([batch]))
+    assert len(out) == 4 and [i for b in out for i in b["doc_id"].to_pylist()] == list(range(20))
+    assert [(r[0]["start"], len(r)) for b in out for r in b["base"].to_pylist()] == [(len(str(i)) + 1, 1) for i in range(20)]
+
+
+def test_group_tasks_give_memory_back(monkeypatch):
+    given = []
+    monkeypatch.setattr(textvec, "release", given.append)
+    x = pa.table({"sort": [0, 1, 2], "w": [bytes(2 * secrets.WIDTH)] * 3})
+    net = secrets.CharNet(dtype=np.float32)
+    secrets._round(net.weights(), 0)((pa.scalar(0),), x)
+    secrets._logits(net)((pa.scalar(0),), x)
+    assert given == [textvec.RELEASE] * 2
+
+
 def test_mask(spark):
     df = frame(spark, secret_rows(40))
     out = secrets.mask(df)

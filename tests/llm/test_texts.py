@@ -154,6 +154,28 @@ def test_drop_exact_duplicates_keeps_columns(spark):
     assert exact_dedup.exact_duplicates(frame(spark, [])).count() == 0
 
 
+def test_digests_hold_a_few_texts_at_a_time():
+    """A batch of any size was one copy of all its texts."""
+    import pyarrow as pa
+    long = ["word " * 20_000 + str(i) for i in range(20)] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(22)), pa.array(long)], names=["_id", "_text"])
+    out = list(exact_dedup.digest_texts([batch]))
+    assert len(out) == 4 and [i for b in out for i in b["_id"].to_pylist()] == list(range(22))
+    want = [hashlib.sha256((t or "").replace(" ", "").encode()).hexdigest() for t in long]
+    assert [x for b in out for x in b["_sha"].to_pylist()] == want
+    assert [n for b in out for n in b["_points"].to_pylist()] == [len(t or "") for t in long]
+
+
+def test_drop_exact_duplicates_needs_one_worker_a_core(spark):
+    """The summary read the digests of another Python operator in the same task: two
+    workers for every core, which lived on through the stages behind."""
+    plan = exact_dedup.drop_exact_duplicates(frame(spark, edge_rows()))._jdf.queryExecution().executedPlan().toString()
+    marks = [m for m in ("MapInArrow" if "MapInArrow" in x else "Exchange" if "Exchange" in x else ""
+                         for x in plan.splitlines()) if m]
+    assert marks.count("MapInArrow") >= 3
+    assert ("MapInArrow", "MapInArrow") not in set(zip(marks, marks[1:]))
+
+
 def test_misra_gries_names_every_frequent_item():
     import pyarrow as pa
     r = random.Random(2)
