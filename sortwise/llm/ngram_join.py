@@ -172,10 +172,12 @@ def heavy_shingles(scan: DataFrame, most: int = HEAVY) -> tuple[np.ndarray, np.n
         if total > most:
             break
         least = 1 << p
-    rows = [] if least is None else counted.where(F.col("count") >= least).collect()
-    keys = np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64)
+    if least is None:
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    rows = counted.where(F.col("count") >= least).toArrow()
+    keys = rows["key"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    return keys[order], np.array([r[1] for r in rows], dtype=np.int64)[order]
+    return keys[order], rows["count"].to_numpy()[order]
 
 
 _ROWS = "key long, salt int, node long, n int, pos int, suffix long"
@@ -383,10 +385,9 @@ def _wanted(nodes: DataFrame) -> np.ndarray:
     """Bit table of the nodes' top bits; its size doesn't depend on how many there are."""
     cells = nodes.select(F.shiftrightunsigned("node", 64 - FILTER_BITS).alias("cell"))
     words = cells.groupBy(F.expr("cell div 64").alias("w")).agg(
-        F.expr("bit_or(shiftleft(1L, cast(cell % 64 AS int)))").alias("bits")).collect()
+        F.expr("bit_or(shiftleft(1L, cast(cell % 64 AS int)))").alias("bits")).toArrow()
     out = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
-    for w, bits in words:
-        out[w] = bits
+    out[words["w"].to_numpy()] = words["bits"].to_numpy()
     return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
 
 

@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .textvec import RELEASE, release
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """The cluster's shared folder.  Only a local session (tests), whose driver
@@ -23,7 +25,9 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: computed once, and
-    found again after an executor is lost."""
+    found again after an executor is lost.  What the driver's Python has used before
+    (training, counts) goes back to the system first: the driver is small."""
+    release(RELEASE)
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/sortwise-llm/{uuid.uuid4().hex}/{tag}"
     df.write.parquet(path)

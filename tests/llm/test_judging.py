@@ -365,6 +365,14 @@ def test_secrets_are_sought_in_a_few_texts_at_a_time():
     assert [(r[0]["start"], len(r)) for b in out for r in b["base"].to_pylist()] == [(len(str(i)) + 1, 1) for i in range(20)]
 
 
+def test_driver_gives_memory_back_before_a_stage(spark, monkeypatch):
+    """What training had taken stayed with the driver's Python through all stages behind."""
+    given = []
+    monkeypatch.setattr("sortwise.llm.scratch.release", given.append, raising=False)
+    assert materialise(spark.range(3), "rows").count() == 3
+    assert given == [textvec.RELEASE]
+
+
 def test_group_tasks_give_memory_back(monkeypatch):
     given = []
     monkeypatch.setattr(textvec, "release", given.append)
